@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_topk, html_density, line_dedup
+from . import ball_topk, decontam, html_density, line_dedup, toxicity_fm
 from .common import table
 
 
@@ -54,3 +54,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ball_topk": op9_ball_topk,
 }
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op9_ball_topk": OP9_SQL}
+
+
+def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_fm.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"))
+
+
+QUERIES |= {"op3_toxicity_fm": op3_toxicity_fm, "op8_decontam": op8_decontam}
