@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_topk, decontam, html_density, line_dedup, toxicity_fm
+from . import ball_topk, decontam, gru_lm, html_density, line_dedup, toxicity_fm
 from .common import table
 
 
@@ -66,3 +66,10 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_toxicity_fm": op3_toxicity_fm, "op8_decontam": op8_decontam}
+
+
+def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_gru_lm": op5_gru_lm}
