@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_topk, decontam, gru_lm, html_density, line_dedup, toxicity_fm
+from . import ball_topk, decontam, gru_lm, html_density, line_dedup, toxicity_fm, weak_quality
 from .common import table
 
 
@@ -73,3 +73,10 @@ def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_gru_lm": op5_gru_lm}
+
+
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.score_quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op10_weak_quality": op10_weak_quality}
