@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_topk, decontam, gru_lm, html_density, line_dedup, toxicity_fm, weak_quality
+from . import ball_topk, decontam, gru_lm, html_density, line_dedup, pfair_mix, tiered_shards, toxicity_fm, weak_quality
 from .common import table
 
 
@@ -80,3 +80,15 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_weak_quality": op10_weak_quality}
+
+
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = pfair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "mix_source", "mix_phase", "mix_block", "mix_slot", "mix_order")
+
+
+def op7_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_shards.shard(table(spark, sf_dir, "documents")).select("doc_id", "shard", "position", F.xxhash64("text").alias("text_hash"))
+
+
+QUERIES |= {"op2_pfair_mix": op2_pfair_mix, "op7_tiered_shards": op7_tiered_shards}
