@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_topk, decontam, gru_lm, html_density, line_dedup, pfair_mix, tiered_shards, toxicity_fm, weak_quality
+from . import ball_topk, chosen_path, decontam, gru_lm, html_density, line_dedup, pfair_mix, tiered_shards, toxicity_fm, weak_quality
 from .common import table
 
 
@@ -92,3 +92,11 @@ def op7_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_pfair_mix": op2_pfair_mix, "op7_tiered_shards": op7_tiered_shards}
+
+
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.col("node").alias("set_id"), "n_links")
+
+
+QUERIES |= {"op4_chosen_path": op4_chosen_path}
