@@ -103,19 +103,17 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, buckets: int, keep: int,
     return machine
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3,
+def teach(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     held_out_mod: int = 4, held_out: int = 2, max_train: int = 20_000, bits: int = 18, keep: int = 4096, least: float = 12.0,
-    teachers: DataFrame | None = None,
-) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs. teachers: the documents to learn from, docs if not given."""
+) -> tuple[FactorizationMachine, int]:
+    """The machine fitted to the labelled rows that are not held out, and its number of hash bits."""
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
     buckets = 1 << bits
     truth = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null")
     truth = truth.where(remainder_of_id(F.col("id"), held_out_mod) != held_out).groupBy("id").agg(F.max("y").alias("y"))
-    teachers = docs if teachers is None else teachers
-    texts = teachers.select(teachers[id_col].cast("long").alias("id"), teachers[text_col].cast("string").alias("text"))
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     chosen = truth.orderBy(F.xxhash64("id"), "id").limit(max_train)  # ids and labels only: bounded, so it may be broadcast
     sample = texts.join(F.broadcast(chosen), "id")
 
@@ -130,28 +128,48 @@ def score_toxicity(
 
     taught = sample.mapInPandas(occur, "id long, y int, f binary").toPandas().sort_values(["id", "f"])
     rows = [np.frombuffer(f, np.int32).astype(np.int64) for f in taught["f"]]
-    machine = fit_machine(rows, taught["y"].to_numpy(np.float64), buckets, keep, least)
+    return fit_machine(rows, taught["y"].to_numpy(np.float64), buckets, keep, least), bits
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes(seed=3)
 
-        class Slots(dict):
-            def __missing__(self, word: str) -> int:
-                if len(self) > 400_000:
-                    self.clear()
-                s = self[word] = machine.slot.get(hashes[word] & (buckets - 1), -1)
-                return s
+def scorer(machine: FactorizationMachine, bits: int):
+    """A pandas function from texts to scores."""
+    mask = (1 << bits) - 1
+
+    class Slots(dict):
+        def __init__(self):
+            super().__init__()
+            self.hashes = WordHashes(seed=3)
+
+        def __missing__(self, word: str) -> int:
+            if len(self) > 400_000:
+                self.clear()
+            s = self[word] = machine.slot.get(self.hashes[word] & mask, -1)
+            return s
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         slots = Slots()
-        for b in batches:
+        for texts in batches:
             rows = []
-            for t in b["text"]:
+            for t in texts:
                 found = set(map(slots.__getitem__, set(WORD.findall(t.lower())))) if isinstance(t, str) else set()
                 found.discard(-1)
                 rows.append(np.fromiter(sorted(found), np.int64, len(found)))
             z, _ = machine.raw(*_flat(rows), len(rows))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), (remainder_of_id(docs[id_col].cast("long"), held_out_mod) == held_out).alias("held_out"), docs[text_col].cast("string").alias("text"))
-    out = slim.mapInPandas(score, "doc_id long, held_out boolean, score double")
+    return score
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, held_out_mod: int = 4, held_out: int = 2, **options) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of docs."""
+    score = scorer(*teach(docs, labels, id_col, text_col, held_out_mod=held_out_mod, held_out=held_out, **options))
+    ids = docs[id_col].cast("long")
+    out = docs.select(ids.alias("doc_id"), (remainder_of_id(ids, held_out_mod) == held_out).alias("held_out"), score(docs[text_col].cast("string")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
+    """docs without the rows that score at least the threshold; columns as they were, and nothing is shuffled."""
+    score = scorer(*teach(docs, labels, id_col, text_col, **options))
+    return docs.where(score(docs[text_col].cast("string")) < threshold)
