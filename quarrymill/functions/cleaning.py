@@ -61,18 +61,18 @@ def city_key(c: Column) -> Column:
 def split_present(c: Column, separators: tuple[str, ...] = ("*", ";", "|", ",")) -> Column:
     """Split at the first of the separators that occurs at all; parts trimmed, empty ones dropped."""
     cut = reduce(lambda rest, s: F.when(F.contains(c, F.lit(s)), F.split(c, "\\" + s if s in "*|" else s)).otherwise(rest), reversed(separators), F.array(c))
-    return F.when(c.isNotNull(), F.filter(F.transform(cut, F.trim), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    return F.when(c.isNotNull(), F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def path_parts(c: Column) -> Column:
     """Parts of an organisation path: at '>>' if there is one, else at '>'."""
     cut = F.when(F.contains(c, F.lit(">>")), F.split(c, ">>")).otherwise(F.split(c, ">"))
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def city_province(c: Column) -> Column:
     """'City, Province' as a struct; a lone part is the province."""
-    parts = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(
         F.when(F.size(parts) >= 2, F.get(parts, F.lit(0))).alias("city"),
         F.when(F.size(parts) >= 2, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))).alias("state_province"),

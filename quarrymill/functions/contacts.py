@@ -95,7 +95,7 @@ def snippet_contacts(results: Column) -> Column:
     """Addresses and numbers in the first five search results (structs with title and snippet), sorted."""
     text = F.array_join(F.transform(F.slice(results, 1, 5), lambda r: F.concat_ws(" ", r["title"], r["snippet"])), "\n")
     e = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(R.EMAIL_PATTERN), F.lit(0)), valid_snippet_email)))
-    p = F.array_sort(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(SNIPPET_PHONE), F.lit(0)), F.trim), valid_snippet_phone)))
+    p = F.array_sort(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(SNIPPET_PHONE), F.lit(0)), lambda x: F.trim(x)), valid_snippet_phone)))
     return F.struct(e.alias("emails"), p.alias("phones"), (F.when(F.size(e) > 0, 0.5).otherwise(0.0) + F.when(F.size(p) > 0, 0.5).otherwise(0.0)).alias("confidence"))
 
 

@@ -110,12 +110,12 @@ def important_table(title: Column, content: Column) -> Column:
 
 
 def _table_lines(content: Column) -> Column:
-    return F.filter(F.transform(F.split(_low(content), "\n"), F.trim), lambda x: F.contains(x, F.lit("|")))
+    return F.filter(F.transform(F.split(_low(content), "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("|")))
 
 
 def _cells(line: Column) -> Column:
     parts = F.split(line, r"\|")
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), F.trim)
+    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.trim(x))
 
 
 def table_type(content: Column) -> Column:
@@ -138,7 +138,7 @@ def table_priority(kind: Column) -> Column:
 
 
 def table_summary(number: Column, title: Column, source: Column, content: Column) -> Column:
-    lines = F.filter(F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = F.greatest(F.lit(0), F.size(F.filter(lines, lambda x: x.startswith("|"))) - 2)
     header = F.coalesce(F.get(F.filter(lines, lambda x: F.contains(x, F.lit("|"))), F.lit(0)), F.lit(""))
     return F.concat(F.lit("Table "), number.cast("string"), F.lit(" ["), title, F.lit("] from "), source, F.lit(": "), rows.cast("string"), F.lit(" data rows, columns: "), F.left(header, F.lit(100)))
@@ -224,7 +224,7 @@ def min_years(text: Column) -> Column:
 
 
 def project_experience(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)experience in ([^.;]+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)experience in ([^.;]+)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def requirements(text: Column) -> Column:
@@ -311,7 +311,7 @@ def naics_codes(text: Column) -> Column:
 
 def scope_title(scope: Column) -> Column:
     """The first line that holds anything, 200 characters at most."""
-    line = F.get(F.filter(F.transform(F.split(scope, r"\r?\n"), F.trim), lambda x: x != ""), F.lit(0))
+    line = F.get(F.filter(F.transform(F.split(scope, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
     return F.when(F.length(line) > 200, F.concat(F.left(line, F.lit(197)), F.lit("..."))).otherwise(line)
 
 

@@ -101,7 +101,8 @@ def stream_key(uei: Column, duns: Column, found_domain: Column, name: Column) ->
 
 def title_to_name(title: Column) -> Column:
     """A page title cut at the first place of each known ending, whatever its case; the title itself if nothing is left."""
-    cut = reduce(lambda c, s: F.when(F.instr(F.lower(c), s.lower()) > 0, F.left(c, F.instr(F.lower(c), s.lower()) - 1)).otherwise(c), TITLE_ENDINGS, title)
+    endings = "|".join(e.replace("|", r"\|") for e in TITLE_ENDINGS)
+    cut = F.regexp_replace(title, f"(?is)(?:{endings}).*$", "")
     return F.coalesce(F.nullif(F.trim(cut), F.lit("")), title)
 
 

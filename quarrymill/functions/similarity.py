@@ -50,7 +50,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Lower-case words of three letters or more that are no stopwords, in order, repeats kept."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-z]+\b"), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
 
 

@@ -47,7 +47,7 @@ def merged_codes(*lists: str):
 
 def key_requirements(texts: DataFrame, key: str = "tender_id", most: int = 20) -> DataFrame:
     """Requirements as REQ-001, ...: lines of the mandatory part that oblige."""
-    lines = F.filter(F.transform(F.split("mandatory_requirements", r"\n+"), F.trim), lambda x: F.lower(x).rlike(r"\b(must|shall|required)\b"))
+    lines = F.filter(F.transform(F.split("mandatory_requirements", r"\n+"), lambda x: F.trim(x)), lambda x: F.lower(x).rlike(r"\b(must|shall|required)\b"))
     rows = texts.select(key, F.posexplode(F.slice(F.array_distinct(lines), 1, most)).alias("i", "text"))
     return rows.select(key, F.concat(F.lit("REQ-"), F.lpad((F.col("i") + 1).cast("string"), 3, "0")).alias("requirement_id"), "text")
 

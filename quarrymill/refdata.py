@@ -54,7 +54,7 @@ SNIPPET_BAD_DOMAINS = ["example.com", "test.com", "placeholder.com", "google.com
 SNIPPET_BAD_PREFIXES = ["noreply@", "no-reply@", "info@example"]
 
 # Patterns of contact details, in the order in which they are tried.
-EMAIL_PATTERN = r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+EMAIL_PATTERN = r"(?iU)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE_PATTERNS = [
     r"\+1[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
     r"\(\d{3}\)\s?\d{3}[-.\s]?\d{4}",

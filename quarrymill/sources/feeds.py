@@ -93,7 +93,7 @@ def business_registry(spark: SparkSession, path: str) -> DataFrame:
 def sam_export(spark: SparkSession, path: str) -> DataFrame:
     """A registrations export: alternative headers, lists cut at '~', flags as booleans."""
     df = read_csv(spark, path)
-    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "~"), F.trim), lambda x: x != "")
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "~"), lambda x: F.trim(x)), lambda x: x != "")
     flag = lambda c: F.coalesce(F.upper(c).isin("Y", "YES", "TRUE", "1"), F.lit(False))
     return df.select(
         "ord", _col(df, "UNIQUE ENTITY ID", "UEI").alias("uei"), _col(df, "LEGAL BUSINESS NAME").alias("legal_name"), _col(df, "DBA NAME").alias("dba_name"), _col(df, "CAGE CODE").alias("cage_code"),
