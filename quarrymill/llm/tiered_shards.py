@@ -114,8 +114,13 @@ class Store:
 
     def _write(self, df: DataFrame) -> list[dict]:
         """Files of a folder of its own, by name; what a failed attempt leaves is in no manifest."""
-        folder = f"data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        folder, together = f"data/{uuid.uuid4().hex}", "spark.sql.unionOutputPartitioning"
+        before = self.spark.conf.get(together, None)
+        self.spark.conf.set(together, "false")  # else a union of single partitions becomes a single partition
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        finally:
+            self.spark.conf.unset(together) if before is None else self.spark.conf.set(together, before)
         found = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(folder))]
         return [{"name": f"{folder}/{n}", "bytes": size} for n, size in sorted(found) if n.endswith(".parquet")]
 
