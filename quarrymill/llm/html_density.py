@@ -172,7 +172,7 @@ def measure(root: Node) -> list[Node]:
             plain = max(n.chars - n.link_chars, 1)
             base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
             arg = (n.chars / max(n.link_chars, 1)) * (tags / max(n.link_tags, 1))
-            n.density = n.chars / tags * math.log(max(arg, 1.0)) / max(math.log(base), 1.0)
+            n.density = n.chars / tags * math.log(1.0 + arg) / max(math.log(base), 1.0)
     return nodes
 
 

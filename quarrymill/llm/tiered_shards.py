@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 
+TAKEN = {"shard", "position", "_name", "_f", "_i"}
+
+
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
@@ -125,10 +128,12 @@ class Store:
         return [{"name": f"{folder}/{n}", "bytes": size} for n, size in sorted(found) if n.endswith(".parquet")]
 
     def append(self, df: DataFrame, in_order: bool = False) -> dict:
-        """in_order: df reads files, and the order of their names and rows is kept: one shard per file."""
+        """in_order: df reads files, and the order of their names and rows is kept: one shard per file.
+        Columns named as those that read() adds are stored with _given behind their names."""
         files = sorted(df.inputFiles()) if in_order else []
         if files:
             df = self._one_by_one([[f] for f in files], df.schema)
+        df = df.select(*[df[c].alias(f"{c}_given") if c in TAKEN else df[c] for c in df.columns])
         base = self.manifest()
         new = self._write(df)
         first = base["shards"][-1]["seq"] + 1 if base["shards"] else 0
@@ -198,9 +203,6 @@ def _schema(text: str):
 
 def shard(docs: DataFrame, root: str | None = None, target: int = 128 << 20, fanout: int = 4, in_order: bool = False) -> DataFrame:
     """Appends docs to a new store (or the one at root), compacts it, and reads it: docs' columns, shard, position."""
-    clash = {"shard", "position", "_name", "_f", "_i"} & set(docs.columns)
-    if clash:
-        docs = docs.select(*[docs[c].alias(f"{c}_given") if c in clash else docs[c] for c in docs.columns])
     store = Store(docs.sparkSession, root)
     store.append(docs, in_order)
     store.compact(target, fanout)
