@@ -78,7 +78,7 @@ def contact_bundle(text: Column) -> Column:
     )
 
 
-SNIPPET_PHONE = r"\+?1?[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
+SNIPPET_PHONE = r"(?U)\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 
 
 def valid_snippet_email(email: Column) -> Column:

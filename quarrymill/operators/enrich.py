@@ -13,8 +13,11 @@ from ..functions.names import base_url, compact, domain, given
 from ..functions.pages import readable, site_text
 from ..functions.similarity import indel_similarity, site_score
 
-# Social sites, which are no vendor's own.
-SOCIAL = ["linkedin.com", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "tiktok.com", "pinterest.com"]
+# Social and directory sites, which are no vendor's own.
+SOCIAL = [
+    "facebook.com", "m.facebook.com", "instagram.com", "twitter.com", "linkedin.com", "ca.linkedin.com", "zoominfo.com", "mapquest.com", "yelp.com", "squarespace.com",
+    "finance.yahoo.com", "yahoo.com", "news.yahoo.com",
+]
 
 
 def is_social(url: Column) -> Column:
