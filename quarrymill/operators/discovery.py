@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
+from html import unescape
+from urllib.parse import parse_qs, urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import compact, title_to_name
+from ..functions.names import MATCH_SUFFIXES, compact, domain, given, title_to_name
 from .resolve import first_by_key, search_result_key
 
 # Terms that do not fit a kind of contract; domains and words that are no vendors'.
@@ -111,3 +116,65 @@ def discover(terms: DataFrame, places: list[tuple[str, str | None]], captured: D
 def number(rows: DataFrame, *order: str) -> DataFrame:
     """ord: places of a bounded list in the given order."""
     return rows.withColumn("ord", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+# query texts and result pages
+
+
+def website_query(name: Column, city: Column, state: Column, country: Column) -> Column:
+    """The name without its legal suffix, and the parts of its place that it does not hold."""
+    short = F.trim(F.regexp_replace(name, MATCH_SUFFIXES, ""))
+    part = lambda c: F.when(given(c) & ~F.contains(short, c), c)
+    return F.concat_ws(" ", short, part(city), part(state), part(country))
+
+
+def contact_query(name: Column, website: Column, city: Column, state: Column) -> Column:
+    own, quoted = domain(website), lambda c: F.when(given(c), F.concat(F.lit('"'), c, F.lit('"')))
+    base = F.concat(F.lit('"'), name, F.lit('"'))
+    on_site = F.concat(F.lit("site:"), own, F.lit(' ("sales@" OR "contact@" OR "info@" OR "hello@" OR "inquiry@") '), base)
+    anywhere = F.concat(base, F.lit(" sales@ OR contact@ OR info@ OR email contact"))
+    return F.concat_ws(" ", F.when(given(own), on_site).otherwise(anywhere), quoted(city), quoted(state))
+
+
+def vendor_queries(terms: list[str], keywords: list[str], sector: str, city: str | None, region: str | None, most: int = 5) -> list[str]:
+    """Queries for one tender: two of its terms, then its first keyword and its sector as suppliers near the place."""
+    kinds, where = "supplier manufacturer", region or "Canada"
+    out = terms[:2]
+    if keywords and len(out) < 3:
+        out = [*out, f"{keywords[0]} {kinds} {where}"]
+    if city and len(out) < 4:
+        out = [*out, f"{sector} {kinds} {city} {region or ''}".strip()]
+    return list(dict.fromkeys(out or [f"{sector} {kinds} {where}"]))[:most]
+
+
+_BLOCK = re.compile(r'<div[^>]*\bclass="[^"]*\bresult\b[^"]*"[^>]*>', re.I)
+_LINK = re.compile(r'<a\b([^>]*\bclass="[^"]*\bresult__(a|snippet)\b[^"]*"[^>]*)>(.*?)</a>', re.I | re.S)
+_HREF = re.compile(r'\bhref="([^"]*)"', re.I)
+
+
+def result_blocks(html: str | None, most: int = 10) -> list[tuple[int, str, str, str]]:
+    """(position, url, title, snippet) of a result page; a redirect is replaced by its target."""
+    text = lambda x: " ".join(unescape(re.sub(r"<[^>]*>", "", x)).split())
+    out = []
+    for position, block in enumerate(_BLOCK.split(html or "")[1 : most + 1], 1):
+        links = {kind.lower(): (attributes, body) for attributes, kind, body in reversed(_LINK.findall(block))}
+        if "a" not in links:
+            continue
+        href = unescape((_HREF.search(links["a"][0]) or [None, ""])[1])
+        if href.startswith("//") and "uddg=" in href:
+            href = parse_qs(urlparse("https:" + href).query)["uddg"][0]
+        if href.startswith("http"):
+            out.append((position, href, text(links["a"][1]), text(links["snippet"][1]) if "snippet" in links else ""))
+    return out
+
+
+def parse_result_pages(pages: DataFrame, key: str = "vendor_key") -> DataFrame:
+    """Rows of search results from pages (key, html), without those of ignored domains."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, *r) for k, h in zip(b[key], b["html"]) for r in result_blocks(h)], columns=[key, "position", "url", "title", "snippet"])
+
+    rows = pages.select(key, "html").mapInPandas(run, f"{key} {kind}, position int, url string, title string, snippet string")
+    return rows.withColumn("domain", domain(F.col("url"))).where(~_any(F.col("domain"), IGNORED) & (F.col("domain") != ""))

@@ -45,11 +45,23 @@ def merged_codes(*lists: str):
     return F.array_distinct(F.filter(F.concat(*[F.coalesce(F.col(c), empty) for c in lists]), lambda x: F.trim(x) != ""))
 
 
-def key_requirements(texts: DataFrame, key: str = "tender_id", most: int = 20) -> DataFrame:
-    """Requirements as REQ-001, ...: lines of the mandatory part that oblige."""
-    lines = F.filter(F.transform(F.split("mandatory_requirements", r"\n+"), lambda x: F.trim(x)), lambda x: F.lower(x).rlike(r"\b(must|shall|required)\b"))
-    rows = texts.select(key, F.posexplode(F.slice(F.array_distinct(lines), 1, most)).alias("i", "text"))
-    return rows.select(key, F.concat(F.lit("REQ-"), F.lpad((F.col("i") + 1).cast("string"), 3, "0")).alias("requirement_id"), "text")
+def key_requirements(structured: DataFrame, key: str = "tender_id") -> DataFrame:
+    """(key, requirement_id, type, description, must_have) from the fields of a document: experience, licences and
+    certificates; capabilities only where none of these is asked for."""
+    r = F.col("vendor_requirements")
+    words = F.col("technical_keywords") if "technical_keywords" in structured.columns else F.array().cast("array<string>")
+    one = lambda kind, text, must: F.struct(F.lit(kind).alias("type"), text.alias("description"), F.lit(must).alias("must_have"))
+    listed = lambda label, c, n: F.concat(F.lit(label), F.array_join(F.slice(c, 1, n), ", "))
+    asked = F.array_compact(
+        F.array(
+            F.when(r["min_years"] > 0, one("experience", F.concat(F.lit("Minimum "), r["min_years"].cast("string"), F.lit(" years of relevant project experience")), True)),
+            F.when(F.size(r["licences"]) > 0, one("license", listed("Licenses: ", r["licences"], 5), True)),
+            F.when(F.size(r["certificates"]) > 0, one("certification", listed("Certifications: ", r["certificates"], 5), True)),
+        )
+    )
+    other = F.array_compact(F.array(F.when(F.size(words) > 0, one("capability", listed("Capabilities: ", words, 6), False))))
+    rows = structured.select(key, F.posexplode(F.when(F.size(asked) > 0, asked).otherwise(other)).alias("i", "q"))
+    return rows.select(key, F.concat(F.lit("REQ-"), F.lpad((F.col("i") + 1).cast("string"), 3, "0")).alias("requirement_id"), "q.*")
 
 
 def requirement_summary(row_cols: dict[str, str], each: int = 600):

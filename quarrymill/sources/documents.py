@@ -120,21 +120,32 @@ def unzip(path: str, into: str, suffixes: tuple[str, ...] = (".pdf", ".docx", ".
     return out
 
 
-def relevant(files: DataFrame, skip: tuple[str, ...] = ("logo", "signature", "banner"), pricing: tuple[str, ...] = ("pric", "bid form"), least: int = 50_000, large: int = 500_000) -> DataFrame:
-    """Documents of a known kind that are large enough and not named as trifles; pricing sheets only if they are large.
+# Names of documents that hold no content, and those of them that count if they are large.
+TRIFLES = [
+    r"bid\s*form", r"price\s*sheet", r"signature\s*page", r"cover\s*page", r"payment\s*form", r"submittal\s*form", r"draft", r"old", r"previous", r"superseded",
+]
+PRICE_LISTS = [r"clin\s*pricing\s*list", r"pricing\s*list\s*only"]
+
+
+def relevant(files: DataFrame, least: int = 50_000, large: int = 500_000) -> DataFrame:
+    """Documents of a known kind that are large enough and not named as trifles; price lists only if they are large.
     If nothing is left, the largest PDF."""
     name, size = F.lower(F.element_at(F.split("path", "/"), -1)), F.col("length")
 
-    def named(words: tuple[str, ...]) -> Column:
-        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(name, w))
+    def named(patterns: list[str]) -> Column:
+        return name.rlike("|".join(patterns))
 
-    known = F.element_at(F.split(name, r"\."), -1).isin("pdf", "docx", "xlsx", "txt", "md")
-    good = files.where(known & (size >= least) & ~named(skip) & (~named(pricing) | (size > large)))
+    known = F.element_at(F.split(name, r"\."), -1).isin("pdf", "docx", "doc")
+    good = files.where(known & (size >= least) & ~named(TRIFLES) & (~named(PRICE_LISTS) | (size > large)))
     if good.isEmpty():
-        return files.where(name.endswith(".pdf")).orderBy(F.desc("length")).limit(1)
+        return files.orderBy(name.endswith(".pdf").desc(), F.desc("length")).limit(1)
     return good
 
 
+def type_histogram(classified: DataFrame) -> DataFrame:
+    return classified.groupBy("doc_type").agg(F.count("*").alias("n"))
+
+
 def read_run(spark: SparkSession, root: str, name: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """A table of a stored run, some of its columns, some of its rows; both reach the scan."""
     df = spark.read.parquet(f"{root}/{name}")

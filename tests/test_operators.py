@@ -172,6 +172,24 @@ def test_sections(spark):
     assert "do it" in sections.smart_context(s.where("tender_id = 1")).first().context
 
 
+def test_requirements_and_profile(spark):
+    from quarrymill.plans import tender as T
+
+    rows = [(1, 0, "Scope of Work", "Trucks. NAICS: 541330. Minimum of 5 years experience, licensed, ISO 9001", "text"), (1, 1, "Vendor qualifications", "At least 3 years experience, must hold a licence, ISO 9001", "text"), (2, 0, "Scope of Work", "paint", "text")]
+    s = spark.createDataFrame(rows, "tender_id long, ord long, title string, content string, section_type string")
+    done = sections.structured(sections.wide(sections.with_field(s)))
+    got = [(r.tender_id, r.requirement_id, r.type) for r in T.key_requirements(done).orderBy("requirement_id").collect()]
+    assert got == [(1, "REQ-001", "experience"), (1, "REQ-002", "license"), (1, "REQ-003", "certification")]
+    more = T.key_requirements(done.withColumn("technical_keywords", F.array(F.lit("a")))).where("tender_id = 2").first()
+    assert (more.description, more.must_have) == ("Capabilities: a", False)
+    api = spark.createDataFrame([(1, ["111111"], "X", None), (2, ["222222"], None, "ON")], "tender_id long, naics array<string>, city string, state_province string")
+    p = {r.tender_id: r for r in T.profile(api, done).collect()}
+    assert p[1].naics == ["541330"] and p[2].naics == ["222222"] and p[2].state_province == "ON"
+    meta = done.withColumns({"external_id": F.lit(""), "title": F.lit(None).cast("string"), "buyer": F.lit("B"), "city": F.lit(None).cast("string"), "state_province": F.lit(None).cast("string"), "country": F.lit(None).cast("string"), "response_deadline": F.lit(None).cast("string"), "posted": F.lit("2024-01-01"), "tender_start": F.lit(None).cast("string"), "tender_end": F.lit(None).cast("string"), "naics": F.array().cast("array<string>"), "technical_keywords": F.array(*map(F.lit, "abcd"))})
+    b = {r.tender_id: r for r in sections.backfill(meta).collect()}
+    assert b[2].title == "paint" and b[2].buyer == "B" and b[2].naics == ["a", "b", "c"] and b[2].posted == "2024-01-01"
+
+
 def test_tables():
     t = "| Line No | Caliber | Description | Qty | Unit |\n|--|--|--|--|--|\n| | Primary | | | |\n| 1 | 9mm | ball | 1,000 ea | box |\n| 2 | x |\n| | | - | | |"
     assert sections.line_items(t) == [("#1 - 9mm - ball", 1000.0, "box")]

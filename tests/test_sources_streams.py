@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions.names import stream_key
-from quarrymill.operators import enrich, ingest
+from quarrymill.operators import discovery, enrich, ingest
 from quarrymill.sources import documents, feeds, sinks
 from quarrymill.streaming import flows
 
@@ -105,10 +105,22 @@ def test_documents(spark, tmp_path):
         z.writestr("q/a.exe", "3")
     (tmp_path / "out").mkdir()
     assert sorted(p.rsplit("/", 1)[1] for p in documents.unzip(str(tmp_path / "x.zip"), str(tmp_path / "out"))) == ["a.txt", "a_1.txt"]
-    files = spark.createDataFrame([("/x/logo.pdf", 90_000), ("/x/small.pdf", 10), ("/x/big.pdf", 80_000)], "path string, length long")
+    files = spark.createDataFrame([("/x/Cover page.pdf", 90_000), ("/x/small.pdf", 10), ("/x/big.pdf", 80_000)], "path string, length long")
+    assert documents.type_histogram(spark.createDataFrame([("a",), ("a",)], "doc_type string")).first().n == 2
     assert [r.path for r in documents.relevant(files).collect()] == ["/x/big.pdf"] and [r.path for r in documents.relevant(files.where("length < 100")).collect()] == ["/x/small.pdf"]
 
 
+def test_search_pages(spark):
+    html = '<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fwww.Acme.com%2Fx&a=1"> Acme <b>Tools</b></a><a class="result__snippet">Best &amp; first</a></div><div class="result"><a class="result__a" href="https://linkedin.com/a">L</a></div><div class="result ad"><a class="result__a" href="/rel">R</a></div>'
+    df = spark.createDataFrame([("k", html), ("n", None)], "vendor_key string, html string")
+    got = discovery.parse_result_pages(df).collect()
+    assert [(r.vendor_key, r.position, r.url, r.domain, r.title, r.snippet) for r in got] == [("k", 1, "https://www.Acme.com/x", "acme.com", "Acme Tools", "Best & first")]
+    v = spark.createDataFrame([("Acme Ltd", "Hull", "QC", "Canada", "https://www.acme.com"), ("Hull Works", "Hull", None, None, None)], "company_name string, city string, state string, country string, website string")
+    q = v.select(discovery.website_query(*[F.col(c) for c in ("company_name", "city", "state", "country")]).alias("w"), discovery.contact_query(*[F.col(c) for c in ("company_name", "website", "city", "state")]).alias("c")).collect()
+    assert [r.w for r in q] == ["Acme Hull QC Canada", "Hull Works"]
+    assert q[0].c.startswith('site:acme.com ("sales@"') and q[1].c == '"Hull Works" sales@ OR contact@ OR info@ OR email contact "Hull"'
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(0, "A, b", ["x"], 1.5), (1, "B", [], 2.5)], "ord long, company_name string, tags array<string>, capability_match_score double")
     sinks.export(rows, str(tmp_path / "e"))
