@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contacts as C
@@ -27,7 +27,10 @@ def is_social(url: Column) -> Column:
 
 def sites(pages: DataFrame, most: int = 3000) -> DataFrame:
     """(domain, website_content) of pages (domain, tier, ord, html, status)."""
-    text = pages.where("tier > 0").withColumn("text", readable(least=0)(F.col("html")))
+    text = pages.where("tier > 0").withColumn("text", readable(least=0)(F.col("html"))).where("text is not null or status = 403")
+    # every page adds a character at least, so no more than `most` pages of a domain can matter
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("tier", "ord"))
+    text = text.withColumn("_place", place).where(F.col("_place") <= most)
     page = F.struct(F.col("tier").cast("int").alias("tier"), F.col("ord").cast("int").alias("ord"), "text", F.coalesce("status", F.lit(200)).alias("status"))
     return text.groupBy("domain").agg(site_text(F.collect_list(page), most).alias("website_content"))
 

@@ -39,8 +39,8 @@ def survivors(vendors: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     open_keys, decided = known, None
     holders = None  # (kind, key, holder): keys of kept vendors
     for _ in range(max_rounds):
-        first = Window.partitionBy("kind", "key")
-        state = open_keys.withColumn("first_open", F.min("ord").over(first))
+        # a minimum and a join, not a window: a key that very many vendors share is summed up before it is moved
+        state = open_keys.join(open_keys.groupBy("kind", "key").agg(F.min("ord").alias("first_open")), ["kind", "key"])
         if holders is not None:
             state = state.join(holders, ["kind", "key"], "left")
         else:
@@ -71,9 +71,12 @@ def first_given(name: str) -> Column:
     return F.min_by(name, F.when(given(F.col(name)), F.col("ord"))).alias(name)
 
 
-def ordered_union(name: str) -> Column:
-    lists = F.array_sort(F.collect_list(F.struct("ord", F.coalesce(F.col(name), F.array().cast("array<string>")).alias("x"))))
-    return F.array_distinct(F.flatten(F.transform(lists, lambda s: s["x"]))).alias(name)
+def ordered_distinct(rows: DataFrame, values: Column, name: str) -> DataFrame:
+    """(survivor, name): distinct values in the order of their first place. Values are made distinct before they are
+    collected, so a list is as long as there are different values, however many rows a survivor has."""
+    each = rows.select("survivor", "ord", F.posexplode(values).alias("i", "x"))
+    first = each.groupBy("survivor", "x").agg(F.min(F.struct("ord", "i")).alias("at"))
+    return first.groupBy("survivor").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(name))
 
 
 def merge(vendors: DataFrame, decided: DataFrame) -> DataFrame:
@@ -88,12 +91,18 @@ def merge(vendors: DataFrame, decided: DataFrame) -> DataFrame:
         mine = F.max(F.when(is_own, F.col(name)))
         return F.when(other.isNull(), mine).otherwise(F.greatest(F.coalesce(mine, F.lit(0)), other)).cast(vendors.schema[name].dataType).alias(name)
 
-    sources = F.array_sort(F.collect_list(F.when(~is_own & given(F.col("source")), F.struct("ord", F.col("source").alias("x")))))
-    out = rows.groupBy(F.col("survivor")).agg(
+    out = rows.groupBy("survivor").agg(
         *[F.first(F.when(is_own, F.struct(F.col(c))), ignorenulls=True)[c].alias(c) for c in own], *[first_given(c) for c in SCALARS],
-        F.bool_or(F.coalesce("is_past_winner", F.lit(False))).alias("is_past_winner"), ordered_union("enrichment_flags"), ordered_union("business_types"),
-        most("total_contract_value"), most("contract_count"), F.array_distinct(F.transform(sources, lambda s: s["x"])).alias("merged_sources"),
+        F.bool_or(F.coalesce("is_past_winner", F.lit(False))).alias("is_past_winner"), most("total_contract_value"), most("contract_count"),
     )
+    lists = [
+        ordered_distinct(rows, F.col("enrichment_flags"), "enrichment_flags"), ordered_distinct(rows, F.col("business_types"), "business_types"),
+        ordered_distinct(rows, F.array_compact(F.array(F.when(~is_own & given(F.col("source")), F.col("source")))), "merged_sources"),
+    ]
+    for one in lists:
+        out = out.join(one, "survivor", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(F.col(c), none) for c in ("enrichment_flags", "business_types", "merged_sources")})
     return out.withColumnRenamed("survivor", "ord").select(*vendors.columns, "merged_sources")
 
 
