@@ -167,6 +167,13 @@ def vendor_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.select("ord", "company_name", "geo_tier", "geo_score", "preliminary_score", "capability_match_score", "rationale", "match_status")
 
 
+@query(V + f", r AS (SELECT *, {_REASON} AS reason, {_TIER} AS tier FROM v) SELECT count(*) AS total_input, 0 AS duplicates_removed, count(*) FILTER (WHERE tier = 'local') AS local_vendors, count(*) FILTER (WHERE tier = 'national') AS national_vendors, count(*) FILTER (WHERE tier = 'national') AS geo_filtered, count(*) FILTER (WHERE reason IS NOT NULL) AS eligibility_filtered, least(500, count(*) FILTER (WHERE reason IS NULL)) AS final_count FROM r")
+def filter_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the filter that keeps duplicates and sorts by distance."""
+    _, metrics = filtering.run_filter(X.vendors(spark, sf_dir), TENDER, FilterConfig(duplicates=False, sort_by_distance=True))
+    return metrics.drop("filter_reasons")
+
+
 @query()
 def filter_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, metrics = filtering.run_filter(X.vendors(spark, sf_dir), TENDER)
@@ -359,6 +366,12 @@ def phones_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.size("p") > 0).select("doc_id", F.array_join(F.array_sort("p"), " ").alias("phones"))
 
 
+@query(f"WITH e AS (SELECT doc_id, len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '{_MAIL}', 0, 'i'), lambda e: NOT {_BAD}), lambda e: lower(e)))) AS e, len(list_distinct(list_filter(list_transform({_PHS}, lambda p: regexp_replace(p, '[^0-9]', '', 'g')), lambda x: length(x) = 10 OR (length(x) = 11 AND x LIKE '1%')))) AS p FROM documents) SELECT doc_id, CASE WHEN e > 0 AND p > 0 THEN 0.9 ELSE 0.7 END AS confidence, least(e, 5) AS n_emails FROM e WHERE e > 0 OR p > 0")
+def contact_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "documents").select("doc_id", contacts.contact_bundle(F.col("text")).alias("b")).where("b.confidence > 0")
+    return b.select("doc_id", "b.confidence", F.size("b.emails").cast("long").alias("n_emails"))
+
+
 @query()
 def contact_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "documents").select("doc_id", contacts.contact_bundle(F.col("text")).alias("b")).where("b.confidence > 0")
@@ -480,6 +493,76 @@ def table_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.extract_line_items(rows, ("p_partkey",)).withColumn("quantity", F.col("quantity") - 1000)
 
 
+@query("SELECT p_partkey, 'Table ' || p_partkey || ' [' || p_name || '] from a.pdf: ' || (p_size % 4) || ' data rows, columns: | Item | Qty |' AS summary FROM part")
+def table_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.concat(F.lit("intro\n| Item | Qty |\n| --- | --- |"), F.repeat(F.lit("\n| a | 1 |"), F.col("p_size") % 4))
+    return table(spark, sf_dir, "part").select("p_partkey", documents.table_summary(F.col("p_partkey"), F.col("p_name"), F.lit("a.pdf"), content).alias("summary"))
+
+
+# registry rows and captured facts
+
+
+@query(R + "SELECT vendor_key, (CASE WHEN total_contract_value > 10000000 THEN 'high_value_supplier ' ELSE '' END) || (CASE WHEN contract_count > 600 THEN 'frequent_supplier' ELSE '' END) AS flags FROM r")
+def vendor_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = X.view(spark, sf_dir, X.REGISTRY)
+    f = names.flags(F.col("total_contract_value"), F.col("contract_count"), 10_000_000, 600)
+    return r.select("vendor_key", F.concat(F.when(F.array_contains(f, "high_value_supplier"), "high_value_supplier ").otherwise(""), F.when(F.array_contains(f, "frequent_supplier"), "frequent_supplier").otherwise("")).alias("flags"))
+
+
+@query(R + "SELECT vendor_key, legal_name AS company_name, city || ', ' || state AS location, 'c' || vendor_key || '@x.com' AS email FROM r WHERE source IN ('canada_contracts', 'canada_odbus')")
+def registry_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows as vendors with their first contact."""
+    r = X.view(spark, sf_dir, X.REGISTRY).withColumns({"website": F.lit(None).cast("string"), "country": F.lit(None).cast("string"), "business_types": F.array().cast("array<string>")})
+    people = r.select("vendor_key", F.explode(F.array(F.lit(2), F.lit(1))).alias("contact_id"), F.lit("A").alias("first_name"), F.lit(None).cast("string").alias("last_name"), F.lit(None).cast("string").alias("phone"))
+    people = people.withColumn("email", F.when(F.col("contact_id") == 1, F.concat(F.lit("c"), "vendor_key", F.lit("@x.com"))).otherwise("later@x.com"))
+    return registry.to_vendor(registry.search(r), registry.first_contact(people)).select("vendor_key", "company_name", "location", "email")
+
+
+@query(V + "SELECT ord, CASE WHEN uei IS NOT NULL AND ord % 22 = 0 THEN uei WHEN cage_code IS NOT NULL THEN cage_code ELSE NULL END AS entity_id FROM v")
+def identifier_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of a vendor by uei, else by cage code, else by name: here half of the ueis and all cage codes are known."""
+    v = X.vendors(spark, sf_dir)
+    known = lambda c, test: v.where(f"{c} is not null and {test}").select(F.col(c).alias("entity_id")).distinct()
+    u, c = known("uei", "ord % 22 = 0"), known("cage_code", "true")
+    none = F.lit(None).cast("string")
+    row = lambda df, uei, cage: df.select("entity_id", uei.alias("uei"), cage.alias("cage_code"), none.alias("legal_name"), none.alias("email"), none.alias("phone"))
+    entities = row(u, F.col("entity_id"), none).unionByName(row(c, none, F.col("entity_id")))
+    own = v.withColumn("uei", F.when(F.col("ord") % 22 == 0, F.col("uei")))
+    return registry.identifier_cascade(own, entities).select("ord", "entity.entity_id")
+
+
+@query(V + "SELECT ord, coalesce(email, 'x' || ord || '@y.z') AS email, CASE WHEN ord % 2 = 0 THEN '+100' ELSE phone END AS phone, CASE WHEN ord % 2 = 0 AND phone IS DISTINCT FROM '+100' THEN 1 ELSE 0 END AS n_changes FROM v")
+def facts_and_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured addresses where a vendor has none, then manual numbers with a list of changes."""
+    v = X.vendors(spark, sf_dir).select("vendor_key", "ord", "email", "phone")
+    facts = v.select("vendor_key", F.concat(F.lit("x"), "ord", F.lit("@y.z")).alias("email"))
+    manual = v.where("ord % 2 = 0").select("vendor_key", F.lit("+100").alias("phone"))
+    out = enrich.override(enrich.fill_if_empty(v, facts, ["email"]), manual, "vendor_key", ["phone"])
+    return out.select("ord", "email", "phone", F.size("changes").alias("n_changes"))
+
+
+@query(V + "SELECT ord, 'sales@' || d || ' info@' || d AS candidates FROM (SELECT ord, regexp_replace(lower(regexp_extract(website, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS d FROM v WHERE website LIKE '%://%')")
+def email_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = contacts.email_candidates(F.col("website"), ["sales", "info", "contact"], 2)
+    return X.vendors(spark, sf_dir).select("ord", F.array_join(c, " ").alias("candidates")).where("candidates <> ''")
+
+
+@query("SELECT 'i' || (o_custkey % 50) AS external_id, count(DISTINCT o_orderpriority) AS n_products FROM orders GROUP BY 1")
+def importer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("i"), F.col("o_custkey") % 50).alias("external_id"), F.lit("n").alias("name"), F.lit("c").alias("city"), F.lit("p").alias("province"), F.lit("z").alias("postal_code"), F.col("o_orderpriority").alias("hs_code"), F.lit("d").alias("hs_description"))
+    return ingest.importer_rollup(rows).select("external_id", F.size("products").cast("long").alias("n_products"))
+
+
+@query("SELECT 's' || o_custkey AS external_id, coalesce(nullif(CAST(sum(CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18, 2)) END) AS DOUBLE), 0), CAST(count(*) * 5 AS DOUBLE)) AS total_contract_value FROM orders GROUP BY o_custkey")
+def award_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of values or, where there are none, of amounts."""
+    o = table(spark, sf_dir, "orders")
+    none = F.lit(None).cast("string")
+    cols = {c: none for c in ("standardized_name", "address", "city", "state", "postal_code", "employee_count_range", "gsin", "unspsc", "contact_name", "contact_email", "contact_phone", "contract_number", "description", "category")}
+    rows = o.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("s"), "o_custkey").alias("external_id"), F.concat(F.lit("s"), "o_custkey").alias("legal_name"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_totalprice").cast("decimal(18,2)").cast("decimal(38,6)")).alias("value"), F.lit(5).cast("decimal(38,6)").alias("amount"), F.col("o_orderdate").cast("date").alias("date")).withColumns(cols)
+    return ingest.award_rollup(rows).select("external_id", "total_contract_value")
+
+
 # similarity and search terms
 
 _W = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda w: regexp_full_match(w, '[a-z]{3,}') AND NOT list_contains(['a','an','and','or','the','for','of','in','to','with','by','from'], w))"
