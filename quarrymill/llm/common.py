@@ -65,7 +65,7 @@ def remainder_of_id(col: Column, mod: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound (memory stays bounded on any input)."""
 
-    def __init__(self, seed: int = 0, bound: int = 400_000):
+    def __init__(self, seed: int = 0, bound: int = 100_000):
         super().__init__()
         self.seed, self.bound = seed, bound
 

@@ -105,7 +105,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, buckets: int, keep: int,
 
 def teach(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    held_out_mod: int = 4, held_out: int = 2, max_train: int = 20_000, bits: int = 18, keep: int = 4096, least: float = 12.0,
+    held_out_mod: int = 4, held_out: int = 2, max_train: int = 15_000, bits: int = 18, keep: int = 4096, least: float = 12.0,
 ) -> tuple[FactorizationMachine, int]:
     """The machine fitted to the labelled rows that are not held out, and its number of hash bits."""
     require(docs, id_col, text_col)
@@ -114,7 +114,10 @@ def teach(
     truth = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null")
     truth = truth.where(remainder_of_id(F.col("id"), held_out_mod) != held_out).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    chosen = truth.orderBy(F.xxhash64("id"), "id").limit(max_train)  # ids and labels only: bounded, so it may be broadcast
+    # ids and labels only: bounded, so it may be broadcast; a first cut by hash keeps the top-k itself small on any input
+    share = min(1.0, 1.1 * max_train / max(truth.count(), 1))
+    near = F.pmod(F.shiftrightunsigned(F.xxhash64("id"), 24), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = truth.where(near).orderBy(F.xxhash64("id"), "id").limit(max_train)
     sample = texts.join(F.broadcast(chosen), "id")
 
     def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +130,7 @@ def teach(
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "f": sets})
 
     taught = sample.mapInPandas(occur, "id long, y int, f binary").toPandas().sort_values(["id", "f"])
-    rows = [np.frombuffer(f, np.int32).astype(np.int64) for f in taught["f"]]
+    rows = [np.frombuffer(f, np.int32) for f in taught["f"]]
     return fit_machine(rows, taught["y"].to_numpy(np.float64), buckets, keep, least), bits
 
 
@@ -135,20 +138,14 @@ def scorer(machine: FactorizationMachine, bits: int):
     """A pandas function from texts to scores."""
     mask = (1 << bits) - 1
 
-    class Slots(dict):
-        def __init__(self):
-            super().__init__()
-            self.hashes = WordHashes(seed=3)
-
+    class Slots(WordHashes):
         def __missing__(self, word: str) -> int:
-            if len(self) > 400_000:
-                self.clear()
-            s = self[word] = machine.slot.get(self.hashes[word] & mask, -1)
+            s = self[word] = machine.slot.get(super().__missing__(word) & mask, -1)
             return s
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        slots = Slots()
+        slots = Slots(seed=3)
         for texts in batches:
             rows = []
             for t in texts:
