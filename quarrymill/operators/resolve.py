@@ -2,9 +2,8 @@
 
 Vendors arrive in an order (`ord`). A vendor is a duplicate of the kept vendor that holds its identifier, else its
 website, else its name; only kept vendors hold keys. So the relation is not transitive and depends on the order.
-Vendors in different connected components share no key; the ordered replay runs inside a component. A component is replayed
-by rounds over the whole table: a vendor whose keys were first held by itself is kept, a vendor all of whose earlier
-rivals are decided is decided. No component is gathered in one task.
+It is decided in rounds over the whole table, whatever the components of shared keys look like; none of them is
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -29,41 +28,27 @@ def keys(vendors: DataFrame) -> DataFrame:
     return vendors.select("ord", F.explode(all_keys).alias("k")).select("ord", "k.kind", "k.key").where("key is not null")
 
 
-def survivors(vendors: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def survivors(vendors: DataFrame) -> DataFrame:
     """(ord, survivor): survivor = ord for vendors that stay.
 
-    Every round decides, per key, the first vendor that is still open: if no kept vendor holds any of its keys, and
-    it is the first open one for all its keys, it is kept; if a kept vendor holds a key of it that comes before every
-    key for which an earlier vendor is still open, it is a duplicate. Rounds are as many as vendors wait for one another."""
+    Rounds over all vendors that are still open: one that is the first open holder of each of its keys is kept, and every
+    other one that shares a key with it is a duplicate, whichever key will name its survivor. When all are
+    decided, a duplicate's survivor is the kept vendor before it that holds its identifier, else its website, else its name."""
     known = checkpointed(keys(vendors))
-    open_keys, decided = known, None
-    holders = None  # (kind, key, holder): keys of kept vendors
-    for _ in range(max_rounds):
+    open_keys, holders = known, None
+    while True:
         # a minimum and a join, not a window: a key that very many vendors share is summed up before it is moved
-        state = open_keys.join(open_keys.groupBy("kind", "key").agg(F.min("ord").alias("first_open")), ["kind", "key"])
-        if holders is not None:
-            state = state.join(holders, ["kind", "key"], "left")
-        else:
-            state = state.withColumn("holder", F.lit(None).cast("long"))
-        # a key is settled for a vendor if it is held, or if no earlier vendor may still come to hold it
-        settled = F.col("holder").isNotNull() | (F.col("first_open") == F.col("ord"))
-        per = state.groupBy("ord").agg(
-            F.min(F.when(~settled, F.col("kind"))).alias("waits"),
-            F.min(F.when(F.col("holder").isNotNull(), F.struct("kind", "holder"))).alias("held"),
-        )
-        duplicate = F.col("held").isNotNull() & (F.col("waits").isNull() | (F.col("held.kind") < F.col("waits")))
-        kept = F.col("held").isNull() & F.col("waits").isNull()
-        done = checkpointed(per.where(duplicate | kept).select("ord", F.when(kept, F.col("ord")).otherwise(F.col("held.holder")).alias("survivor")))
-        if done.isEmpty():
-            break
-        decided = done if decided is None else decided.unionByName(done)
-        new = open_keys.join(done.where("ord = survivor").select("ord"), "ord").select("kind", "key", F.col("ord").alias("holder"))
-        holders = checkpointed(new if holders is None else holders.unionByName(new))
-        open_keys = checkpointed(open_keys.join(done.select("ord"), "ord", "left_anti"))
+        state = open_keys.join(open_keys.groupBy("kind", "key").agg(F.min("ord").alias("first")), ["kind", "key"])
+        kept = state.groupBy("ord").agg(F.bool_and(F.col("first") == F.col("ord")).alias("kept")).where("kept")
+        new = checkpointed(open_keys.join(kept, "ord", "left_semi").select("kind", "key", F.col("ord").alias("holder")))
+        holders = new if holders is None else holders.unionByName(new)
+        # whoever shares a key with a vendor that is kept now is decided, the kept ones themselves included
+        gone = open_keys.join(new, ["kind", "key"]).select("ord").distinct()
+        open_keys = checkpointed(open_keys.join(gone, "ord", "left_anti"))
         if open_keys.isEmpty():
             break
-    empty = vendors.select("ord", F.col("ord").alias("survivor")).limit(0)
-    return empty if decided is None else decided
+    match = known.join(holders, ["kind", "key"]).where("holder <= ord")
+    return match.groupBy("ord").agg(F.min(F.struct((F.col("holder") != F.col("ord")).alias("other"), "kind", "holder")).alias("m")).select("ord", F.col("m.holder").alias("survivor"))
 
 
 def first_given(name: str) -> Column:
