@@ -616,10 +616,10 @@ def streamed_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendors through a file stream: unique by key, scored, written per batch, and read again."""
     import uuid
 
-    from .session import shared_dir
+    from .session import step_dir
     from .streaming import flows
 
-    root = f"{shared_dir(spark)}/quarrymill/stream-{uuid.uuid4().hex}"
+    root = f"{step_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = X.vendors(spark, sf_dir)
     rows.repartition(4, "ord").write.parquet(f"{root}/in")
     stream = flows.read_stream(spark, f"{root}/in", rows.schema)

@@ -17,14 +17,25 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def step_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark)}/quarrymill-{spark.sparkContext.applicationId}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrymill/step-{uuid.uuid4().hex}"
+    path = f"{step_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Deletes the steps of this application. To be called when no result of its queries is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(step_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") -> SparkSession:
     """A session for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory)

@@ -179,3 +179,16 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     latest = spark.read.parquet(str(tmp_path / "root/ledger")).agg(F.max("version")).first()[0]
     got = spark.read.parquet(f"{tmp_path}/root/vendors/version={latest}").collect()
     assert latest == 0 and sorted(r.total_contract_value for r in got) == [20.0, 20.0, 20.0]
+
+
+def test_steps_can_be_cleaned_up(spark):
+    import os
+
+    from quarrymill import session
+
+    kept = session.checkpointed(spark.range(3))
+    assert kept.count() == 3
+    folder = session.step_dir(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    session.cleanup(spark)
+    assert not os.path.exists(folder)
