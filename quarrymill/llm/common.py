@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Strings standing for "the largest id": rows without an id sort after every other row.
 LAST_ID = 2**63 - 1
 
@@ -19,22 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a
-    temporary folder of this machine is set, once for the session."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarrymill.shared.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
-        spark.conf.set("quarrymill.shared.dir", known)
+    """The folder of this application's steps, within the one that driver and executors share; checkpoints go to the latter."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
+        spark.sparkContext.setCheckpointDir(session.shared_dir(spark))
+    return session.step_dir(spark)
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Writes a step to the shared folder as Parquet and reads it back, which cuts the lineage. A lost
     executor loses nothing of it: the files are where every other executor reads them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrymill/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -68,7 +68,7 @@ def plan_merges(sizes: list[int], target: int, fanout: int, least: int = 1 << 20
 class Store:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = (root or f"{shared_dir(spark)}/quarrymill/shards-{uuid.uuid4().hex}").rstrip("/")
+        self.root = (root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}").rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
