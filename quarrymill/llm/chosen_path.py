@@ -7,7 +7,8 @@ in a sampled token with probability s.
 A run splits all sets on the values of sampled tokens, three to begin with, then one more for every bucket that
 is still larger than `bucket`, at most `depth` in all. Small buckets are compared by brute force on all tokens; in
 buckets that stay large their members are linked to the smallest one. Runs are repeated until a pair
-at the threshold meets with probability `recall`. What was linked is a candidate group, and inside these groups
+at the threshold meets with probability `recall`. Before a large bucket is split, its members are also compared with a
+few pivots of it, so that one of a large group who is alone after the split still meets the group. What was linked is a candidate group, and inside these groups
 all pairs are compared exactly on whole shingle sets: small groups in one task, larger ones block by
 block, so no task holds more than two blocks. Pairs are counted where they are found and never
 emitted; a task gives one row per set, its links and its root. The classes are the connected components of the
@@ -132,8 +133,20 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, least: float) -> DataFrame:
+    """(u, v): members of large buckets with the first two pivots of their bucket that agree with them. Pivots are the
+    smallest members by `pivots` hashes: picked with partial sums, and a bucket has no more than that many."""
+    chosen = large.groupBy("path").agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(pivots)]).alias("p"))
+    chosen = chosen.select("path", F.explode(F.array_distinct("p")).alias("node")).join(sets.select("node", "signs"), "node")
+    chosen = chosen.groupBy("path").agg(F.collect_list(F.struct("node", "signs")).alias("p"))
+    rows = large.select("path", "node").join(sets.select("node", "signs"), "node").join(chosen, "path")
+    agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+    near = F.filter("p", lambda q: (q["node"] != F.col("node")) & (agree(F.col("signs"), q["signs"]) >= math.ceil(least * tokens)))
+    return rows.select(F.col("node").alias("u"), F.explode(F.slice(F.transform(near, lambda q: q["node"]), 1, 2)).alias("v"))
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.999, tokens: int = 64,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999, tokens: int = 64, pivots: int = 8,
     bucket: int = 64, first_depth: int = 3, depth: int = 10, block: int = 256, width: int = 5,
 ) -> DataFrame:
     """One row per row of docs: (doc_id, d, r, node, class_id, n_links). d is the id (LAST_ID for null) and r a hash
@@ -163,6 +176,7 @@ def near_duplicates(
     token = lambda signs, run, level: F.element_at(signs, F.element_at(F.array(*[F.lit(int(o[level]) + 1) for o in order]), F.col(run) + 1))
     paths = F.array(*[F.struct(F.lit(k).alias("run"), F.xxhash64(F.lit(k), *[F.element_at("signs", o[i] + 1) for i in range(first_depth)]).alias("path")) for k, o in enumerate(order)])
     active = sets.select("node", F.explode(paths).alias("p")).select("node", "p.run", "p.path")
+    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / tokens)
     small, edges, level = None, None, first_depth
     while True:
         sizes = active.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
@@ -172,12 +186,13 @@ def near_duplicates(
         large = sized.where(F.col("n") > bucket)
         if large.isEmpty():
             break
+        if level == first_depth:
+            edges = _to_pivots(large, sets, pivots, tokens, least)
         if level >= depth:
-            edges = large.select(F.col("node").alias("u"), F.col("hub").alias("v"))
+            edges = edges.unionByName(large.select(F.col("node").alias("u"), F.col("hub").alias("v")))
             break
         active = large.join(sets.select("node", "signs"), "node").select("node", "run", F.xxhash64("path", token("signs", "run", level)).alias("path"))
         level += 1
-    least = threshold - 3.6 * math.sqrt(threshold * (1 - threshold) / tokens)
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         u, v = [], []

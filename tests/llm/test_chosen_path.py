@@ -91,3 +91,19 @@ def test_intersections():
     data = [np.unique(rng.integers(0, 50, n).astype(np.uint64)) for n in (1, 5, 30, 60)]
     want = [[len(np.intersect1d(a, b)) for b in data] for a in data]
     assert intersections(data, columns=7).tolist() == want
+
+
+def test_no_link_of_a_large_group_is_lost(spark):
+    """Variants of one text, far more than a bucket holds, each near to some of the others only."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(700):
+        t = list(base)
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = word()
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, bucket=16, block=100).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted(brute(rows))
