@@ -293,5 +293,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs with one row of every class, the one with the smallest id; columns as they were."""
     found = near_duplicates(docs, id_col, text_col, **options)
     stay = found.groupBy("class_id").agg(F.min(F.struct("d", "r")).alias("at")).select(F.col("at.d").alias("_d"), F.col("at.r").alias("_r"))
-    mine = docs.withColumn("_d", F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID))).withColumn("_r", F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    return mine.join(stay, ["_d", "_r"]).dropDuplicates(["_d", "_r"]).select(*docs.columns)
+    # the row goes along as one column, so that no name in it can clash
+    row, d = F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("_d")
+    mine = docs.select(row, d, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_r"))
+    one = mine.join(stay, ["_d", "_r"]).dropDuplicates(["_d", "_r"])
+    return one.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

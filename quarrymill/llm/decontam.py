@@ -131,5 +131,5 @@ def leaks(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that leak an item; columns as they were."""
     found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("d").alias("_leak_d"), F.col("r").alias("_leak_r")).distinct()
-    mine = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == F.col("_leak_d")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_leak_r"))
+    mine = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == found["_leak_d"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == found["_leak_r"])
     return docs.join(found, mine, "left_anti")

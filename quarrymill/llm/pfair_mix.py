@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import require
 
 HASH_BITS = 20
+ADDED = ("mix_source", "mix_phase", "mix_block", "mix_slot", "mix_order")
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -79,12 +80,10 @@ def mix(
     block_rows: int = 16, range_rows: int = 4096, max_sources: int = 2000,
 ) -> DataFrame:
     """docs with mix_source, mix_phase, mix_block (of its source), mix_slot and mix_order (unique, from 0, with gaps
-    where the last block of a source is short). Default weights: tempered() of the sources' rows."""
+    where the last block of a source is short). Default weights: tempered() of the sources' rows. Columns of docs with one of
+    these names get _given behind it."""
     require(docs, id_col, source_col)
     spark = docs.sparkSession
-    taken = {"mix_source", "mix_phase", "mix_block", "mix_slot", "mix_order"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are taken")
     rows = {r[0]: r[1] for r in docs.groupBy(_source(docs[source_col])).count().orderBy(F.desc("count")).limit(max_sources - 1).collect()}
     total = docs.count()
     rest = total - sum(rows.values())
@@ -101,20 +100,23 @@ def mix(
     if rest:
         source = F.when(source.isin(list(rows)), source).otherwise("\0rest")
     ranges = max(1, min(1 << HASH_BITS, -(-total // range_rows)))
-    x = docs.withColumn("mix_source", source).withColumn("_h", F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit(""))))
+    # the row goes along as one column, so that no name in it can clash
+    row, key = F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].cast("string")
+    x = docs.select(row, source.alias("mix_source"), key.alias("_id"), F.xxhash64(F.coalesce(key, F.lit(""))).alias("_h"))
     x = x.withColumn("_top", F.shiftrightunsigned("_h", 64 - HASH_BITS)).withColumn("_range", F.floor(F.col("_top") * ranges / (1 << HASH_BITS)))
     # one row per source and range: at most total / range_rows times the number of sources
     sizes = x.groupBy("mix_source", "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("mix_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("mix_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("mix_source", "_range").orderBy("_top", "_h", F.col(id_col).asc_nulls_last())
+    inside = Window.partitionBy("mix_source", "_range").orderBy("_top", "_h", F.col("_id").asc_nulls_last())
     x = x.withColumn("_place", F.row_number().over(inside) - 1).join(sizes, (F.col("mix_source") == F.col("_s")) & (F.col("_range") == F.col("_r")))
     x = x.withColumn("_at", F.col("_before") + F.col("_place")).withColumn("mix_block", F.floor(F.col("_at") / block_rows))
     j = F.col("mix_block") - F.col("p_first")
     x = x.join(F.broadcast(plan), (F.col("mix_source") == F.col("ps")) & (j >= 0) & (j < F.col("p_n")))  # a row per phase and source
     slot = F.col("p_base") + F.floor(j / F.col("p_weight")) * F.col("p_total") + F.get("p_slots", (j % F.col("p_weight")).cast("int"))
     x = x.withColumn("mix_slot", slot.cast("long")).withColumn("mix_order", F.col("mix_slot") * block_rows + F.col("_at") % block_rows)
-    return x.select(*[docs[c] for c in docs.columns], "mix_source", "mix_phase", "mix_block", "mix_slot", "mix_order")
+    own = [F.col("_doc").getField(c).alias(f"{c}_given" if c in ADDED else c) for c in docs.columns]
+    return x.select(*own, *ADDED)
 
 
 def in_order(docs: DataFrame, chunk_rows: int = 4096, **options) -> DataFrame:
@@ -123,4 +125,5 @@ def in_order(docs: DataFrame, chunk_rows: int = 4096, **options) -> DataFrame:
     mixed = mix(docs, **options)
     parts = max(1, -(-docs.count() // chunk_rows))
     chunk = F.least(F.floor(F.col("mix_order") / chunk_rows), F.lit(parts - 1)).cast("int")
-    return mixed.repartitionById(parts, chunk).sortWithinPartitions("mix_order").select(*docs.columns)
+    out = mixed.repartitionById(parts, chunk).sortWithinPartitions("mix_order")
+    return out.select(*[F.col(f"{c}_given").alias(c) if c in ADDED else F.col(c) for c in docs.columns])

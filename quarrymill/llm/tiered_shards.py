@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 
-TAKEN = {"shard", "position", "_name", "_f", "_i"}
+TAKEN = {"shard", "position", "_name"}
 
 
 class Conflict(RuntimeError):
@@ -145,8 +145,10 @@ class Store:
         def one(files: list[str]) -> DataFrame:
             names = F.array(*[F.lit(f.rsplit("/", 1)[1]) for f in files])
             x = self.spark.read.schema(schema).parquet(*files)
-            x = x.select("*", F.array_position(names, F.col("_metadata.file_name")).alias("_f"), F.col("_metadata.row_index").alias("_i"))
-            return x.coalesce(1).sortWithinPartitions("_f", "_i").drop("_f", "_i")
+            row = F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("_row")  # one column, so that no name in it can clash
+            x = x.select(row, F.array_position(names, F.col("_metadata.file_name")).alias("_file_place"), F.col("_metadata.row_index").alias("_row_place"))
+            x = x.coalesce(1).sortWithinPartitions("_file_place", "_row_place")
+            return x.select(*[F.col("_row").getField(c).alias(c) for c in schema.names])
 
         return reduce(DataFrame.union, map(one, groups))
 

@@ -57,8 +57,9 @@ def test_many_sources_and_empty(spark):
     rows = spark.createDataFrame([(i, f"s{i % 40}") for i in range(200)], "doc_id long, source string")
     assert mix(rows, max_sources=10).count() == 200
     assert mix(rows.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mix(rows.withColumnRenamed("source", "mix_slot").selectExpr("*", "'a' as source"))
+    clash = mix(rows.selectExpr("*", "1 mix_slot", "2 _h", "3 ps", "4 _doc", "5 _range"))
+    assert clash.count() == 200 and {"mix_slot", "mix_slot_given", "_h", "ps", "_doc"} <= set(clash.columns)
+    assert in_order(rows.selectExpr("*", "1 mix_slot", "2 _at")).columns == ["doc_id", "source", "mix_slot", "_at"]
 
 
 def test_files_follow_the_order(spark, tmp_path):

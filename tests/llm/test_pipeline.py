@@ -31,3 +31,15 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_take_any_table(spark):
+    """Nulls in every column, empty and long texts, repeated rows, names that clash, no rows at all."""
+    rows = [(None, None, None, None, None, 1, 1, 1), (1, "", "en", "s", 0, 1, 1, 1), (1, "", "en", "s", 0, 1, 1, 1), (2, "long " * 60_000, None, "s", 5, None, 1, 1), (3, "idiot", "en", None, 5, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _d int, mix_slot int, _f int")
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and 1 <= got.count() <= len(rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    last = P.STAGES[-1][1]
+    assert last(spark, docs, SF).count() == len(rows) and last(spark, docs.limit(0), SF).count() == 0
