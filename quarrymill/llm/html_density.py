@@ -44,6 +44,7 @@ HINTS = re.compile(
     r"share|sharing|social|related|recommend\w*|pagination|pager|toolbar|search|skip\w*|replies|reply|respond|responses|discussion|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond|responses|discussion)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(
@@ -56,32 +57,62 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "cut", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "kids", "parent", "own", "cut", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut, self.kids = tag, parent, cut, []
+    def __init__(self, tag: str, parent: Node | None, own: int):
+        self.tag, self.parent, self.own, self.cut, self.kids = tag, parent, own, False, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _is_cut(tag: str, attributes: str) -> bool:
+def _own_cut(tag: str, attributes: str) -> int:
+    """0: not cut; 1: cut by its element, role or being hidden; 2: by a name that may also be a wrapper's ("has-sidebar");
+    3: by a name of reader comments."""
     if tag in CUT:
-        return True
-    if attributes and tag not in ("body", "html", "article", "main"):
+        return 1
+    out = 0
+    if attributes and tag not in ("body", "html"):
         for name, a, b, c in NAMED.findall(attributes):
             value, name = CAMEL.sub("-", a or b or c).lower(), name.lower()
-            if name in ("class", "id") and HINTS.search(value):
-                return True
-            if name == "role" and value.strip() in ROLES:
-                return True
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                return True
-    return False
+            if name in ("class", "id"):
+                if READERS.search(value):
+                    out = 3
+                elif not out and tag not in ("article", "main") and HINTS.search(value):
+                    out = 2
+            elif (
+                (name == "role" and value.strip() in ROLES)
+                or name == "hidden"
+                or (name == "aria-hidden" and value == "true")
+                or (name == "style" and "display:none" in value.replace(" ", ""))
+            ):
+                return 1
+    return out
+
+
+def settle(root: Node) -> None:
+    """Decides what is cut. A named wrapper is kept if it holds the article, or, on pages without article and main
+    elements, most of the text."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(k for k in n.kids if not isinstance(k, str))
+    semantic = any(n.tag in ("article", "main") and not n.own for n in order)
+    holds: dict[int, bool] = {}
+    text: dict[int, int] = {}
+    for n in reversed(order):
+        kids = [k for k in n.kids if not isinstance(k, str)]
+        holds[id(n)] = n.own not in (1, 3) and (n.tag in ("article", "main") and not n.own or any(holds[id(k)] for k in kids))
+        text[id(n)] = 0 if n.own in (1, 3) else sum(len(k.strip()) for k in n.kids if isinstance(k, str)) + sum(text[id(k)] for k in kids)
+    whole = text[id(root)]
+    for n in order:
+        wrapper = n.own == 2 and (holds[id(n)] if semantic else text[id(n)] * 5 > whole * 3)
+        n.cut = (n.parent is not None and n.parent.cut) or (n.own > 0 and not wrapper)
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Text leaves are plain strings among the children."""
-    root = node = Node("html", None, False)
+    root = node = Node("html", None, 0)
     at, end, lower = 0, len(page), None
     while at < end:
         m = TOKEN.search(page, at)
@@ -118,7 +149,7 @@ def parse(page: str) -> Node:
             continue
         if tag == "br":
             node.kids.append(" ")
-            node.kids.append(Node("br", node, False))
+            node.kids.append(Node("br", node, 0))
             continue
         if tag in CLOSES_P:  # a block ends an open paragraph, and inline elements left open in it
             up = node
@@ -132,10 +163,11 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not None and up.tag in SAME_CLOSES[tag]:
                 node = up.parent
-        new = Node(tag, node, node.cut or _is_cut(tag, attributes))
+        new = Node(tag, node, _own_cut(tag, attributes))
         node.kids.append(new)
         if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
             node = new
+    settle(root)
     return root
 
 

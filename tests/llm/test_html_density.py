@@ -19,6 +19,14 @@ def test_densest_subtree_without_semantic_tags():
     assert main_text(page).count("\n") == 4 and "four" not in main_text(page) and "one" not in main_text(page)
 
 
+def test_wrappers_are_kept_and_comments_are_not():
+    article = "<article class='post has-sidebar'><p>Body of the text.</p><div id='comments'><article class='comment'><p>no</p></article><article><p>no</p></article></div></article>"
+    assert main_text(f"<body><div class='layout with-sidebar'><div class='sidebar'>side</div>{article}</div></body>") == "Body of the text."
+    plain = "<div class='page has-sidebar'>" + "<p>A sentence that belongs to the text of the page.</p>" * 3 + "<div class='sidebar'>side words</div></div>"
+    assert main_text(f"<body>{plain}<div class='cookie-notice'>We use cookies</div></body>") == "\n".join(["A sentence that belongs to the text of the page."] * 3)
+    assert main_text("<body><main><p>text</p><section class='replies'><p>no</p></section><div hidden>x</div><div role=navigation>y</div></main></body>") == "text"
+
+
 @pytest.mark.parametrize(
     "page,text",
     [(None, ""), ("", ""), ("<html></html>", ""), ("plain words", "plain words"), ("<p>a < b", "a < b"), ("<p>x<!-- open", "x"), ("<script>x", ""), ("<p>&am &#233; &eacute;", "&am é é"), ("<div " * 50, None), ("<p>a</p></p></div><p>b", "a\nb")],
