@@ -51,6 +51,49 @@ EXPERIENCE = [r"(\d+)\s+(?:years|year)\s+of\s+experience", r"minimum\s+of\s+(\d+
 VOLUMES = [r"(\d[\d,\.]+)\s*(square\s*meters?|sq\.?\s*m|m2)", r"(\d[\d,\.]+)\s*(square\s*feet|sq\.?\s*ft|ft2)", r"(\d[\d,\.]+)\s*(rounds|cartridges|pcs|pieces)", r"(\d[\d,\.]+)\s*(kg|kilograms?|lbs|pounds?)", r"(\d+)\s+(?:utility\s+)?(vehicles?|utvs?|units?)"]
 STATES = {"New Mexico": "NM", "Georgia": "GA", "South Carolina": "SC", "California": "CA", "Texas": "TX", "New York": "NY", "Florida": "FL", "Virginia": "VA", "Maryland": "MD"}
 
+# Patterns of numbers, contacts, terms and places in tender texts.
+SOLICITATION = [r"(?:solicitation|rfb|rfp|rfq|tender|bid)\s*(?:no\.?|number|#)?\s*[:=]?\s*([A-Za-z0-9\-_/]+)", r"(opp\s*-\s*\d{3,})"]
+REFERENCE = [r"reference\s*(?:no\.?|number|#)?\s*[:=]?\s*([A-Za-z0-9\-_/]+)", r"tender\s*(?:no\.?|number|#)?\s*[:=]?\s*(\d+)", r"(pw-\d{2}-\d{8})"]
+RFB = [r"(?i)RFB[:\s#\-\)]*[#\s]*(OPP-\d+)", r"(?i)RFB[:\s#\-\)]*[#\s]*([A-Z0-9]+-\d+)"]
+TENDER_NUMBER = [r"[Tt]ender[:\s#]*(\d+)"]
+RFX = [r"(?i)RFX[:\s#-]*(\d+)"]
+BUYER_EMAIL = [r"(?i)([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})"]
+BUYER_PERSON = [r"(?:[Cc]ontact|[Nn]ame)[:\s]*([A-Z][a-z]+\s+[A-Z][a-z]+)"]
+BUYER_PHONE = [r"(\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})"]
+BUYER_NAME = [
+    r"(?im)(?:Issued by|Buyer|Purchaser|Client|Contracting Authority):\s*([^\n]+)",
+    r"(?im)(Ontario Provincial Police|OPP|Government of [A-Z][a-z]+)",
+    r"(?im)([A-Z][A-Za-z\s&]+(?:Police|Department|Ministry|Agency|Government))",
+]
+DEADLINE = [
+    r"(?i)(?:Closing Date|Deadline|Due Date|Bid Due):\s*([A-Za-z]+\s+\d{1,2}[a-z]{0,2},?\s+\d{4})",
+    r"(?i)((?:December|November|October|January|February)\s+\d{1,2}[a-z]{0,2},?\s+\d{4})",
+]
+LEAD_DAYS = [r"(?i)within\s+(\d+)\s+(?:calendar|business)\s+days"]
+MAX_BIDS = r"(?:maximum|up\s+to)(?:\s+of)?\s+(?:\w+\s+)?\(?(\d+)\)?\s+bids?\s+per"
+STAGES = [
+    (1, r"stage\s*1|mandatory\s+submission|qualification\s+envelope", True), (2, r"stage\s*2|technical\s+(?:response\s+)?evaluation|technical\s+envelope", True),
+    (3, r"stage\s*3|sample\s+evaluation|sample\s+testing", False), (4, r"stage\s*4|price\s+evaluation|financial\s+evaluation", False),
+]
+SAMPLE_DAYS = [r"(?:thirty\s*\(\s*)?(\d+)\s*\)?\s*(?:calendar|business)\s*days.*?(?:submit|provide).*?sample", r"sample.*?(?:thirty\s*\(\s*)?(\d+)\s*\)?\s*(?:calendar|business)\s*days"]
+START_DATE = [r"(?i)(?:commence|start|effective)[:\s]+([A-Z][a-z]+\s+\d{1,2},?\s+\d{4})"]
+TERM_AND_EXTENSION = r"\(?\s*(\d+)\s*\)?\s+years?\s+with\s+(?:one\s+\(?\s*)?(\d+)\s*\)?\s+additional"
+TERM = [r"\(?\s*(\d+)\s*\)?\s+years?\s+(?:contract\s+)?(?:term)?", r"(?:term|duration)[:\s\-–]+\(?\s*(\d+)\s*\)?\s+year"]
+EXTENSION = [r"(?:extension|additional\s+period)[:\s\-–]+(?:up\s+to\s+)?(?:one\s+)?\(?\s*(\d+)\s*\)?\s+year"]
+IRREVOCABLE = [r"irrevocable.*?(\d+)\s+(?:calendar\s+)?days"]
+STATE_NAMES = (
+    "Alabama|Alaska|Arizona|Arkansas|California|Colorado|Connecticut|Delaware|Florida|Georgia|Hawaii|Idaho|Illinois|Indiana|Iowa|Kansas|Kentucky|Louisiana|Maine|Maryland|"
+    "Massachusetts|Michigan|Minnesota|Mississippi|Missouri|Montana|Nebraska|Nevada|New Hampshire|New Jersey|New Mexico|New York|North Carolina|North Dakota|Ohio|Oklahoma|Oregon|"
+    "Pennsylvania|Rhode Island|South Carolina|South Dakota|Tennessee|Texas|Utah|Vermont|Virginia|Washington|West Virginia|Wisconsin|Wyoming|DC"
+)
+CITY_STATE = [(r"\b(Washington)\s+(DC)\b", False), (rf"(?:in|at|located in)\s+([A-Za-z]+(?:\s+[A-Z][a-z]+)?),\s*({STATE_NAMES})\b", True), (r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?),\s*([A-Z]{2})\s+\d{5}\b", True)]
+NO_CITIES = ["facilities", "systems", "information", "resources", "services", "operations"]
+WIDE_PLACES = [
+    ("Nationwide", "United States", ["nationwide", "throughout the united states", "conus", "all states"]),
+    ("International", "Multiple countries", ["overseas", "oconus", "international"]),
+    ("Multiple locations", "United States", ["multiple locations", "various locations"]),
+]
+
 #: Words by sector, smallest useful default; a fuller dictionary is a parameter of every function that takes one.
 SECTORS = {
     "construction": ["construction", "roofing", "renovation", "concrete", "demolition"],
@@ -236,38 +279,32 @@ def requirements(text: Column) -> Column:
         F.array_compact(F.array(F.when(has_any(low, ["canadian"]), "Canada"), F.when(has_any(low, ["trade agreement"]), "trade-agreement partners"))).alias("jurisdictions"),
         F.when(has_any(low, ["small business"]), "SMALL_ONLY").alias("business_size"),
         F.array_compact(F.array(F.when(has_any(low, ["pallet"]), "special pallet requirements"), F.when(has_any(low, ["styrofoam", "biodegradable"]), "eco packaging"))).alias("packaging"),
-        first_match(text, [r"(?i)within\s+(\d+)\s+(?:calendar|business)\s+days"]).cast("int").alias("lead_days"),
+        first_match(text, LEAD_DAYS).cast("int").alias("lead_days"),
     )
 
 
-def _valid(c: Column) -> Column:
-    return F.when(c.rlike(r"\d"), F.trim(c))
+def _numbered(text: Column, patterns: list[str]) -> Column:
+    """The first match of a pattern if it holds a digit, else that of the next pattern."""
+    found = [F.regexp_extract(F.coalesce(text, F.lit("")), "(?i)" + p, 1) for p in patterns]
+    return F.coalesce(*[F.when(f.rlike(r"\d"), F.trim(f)) for f in found])
 
 
 def identifiers(text: Column) -> Column:
-    """Solicitation and reference numbers: a pattern's first match counts if it holds a digit, else the next pattern is tried."""
-    one = lambda p, g: _valid(F.regexp_extract(F.coalesce(text, F.lit("")), "(?i)" + p, g))
-    found = lambda p: first_match(text, p)
+    """Solicitation and reference numbers, and the numbers of the notice's kinds."""
     return F.struct(
-        F.coalesce(one(r"(?:solicitation|rfb|rfp|rfq|tender|bid)\s*(?:no\.?|number|#)?\s*[:=]?\s*([A-Za-z0-9\-_/]+)", 1), one(r"opp\s*-\s*\d{3,}", 0)).alias("solicitation"),
-        F.coalesce(one(r"reference\s*(?:no\.?|number|#)?\s*[:=]?\s*([A-Za-z0-9\-_/]+)", 1), one(r"tender\s*(?:no\.?|number|#)?\s*[:=]?\s*(\d+)", 1), one(r"pw-\d{2}-\d{8}", 0)).alias("reference"),
-        found([r"(?i)RFB[:\s#\-\)]*[#\s]*(OPP-\d+)", r"(?i)RFB[:\s#\-\)]*[#\s]*([A-Z0-9]+-\d+)"]).alias("rfb"),
-        found([r"[Tt]ender[:\s#]*(\d+)"]).alias("tender"), found([r"(?i)RFX[:\s#-]*(\d+)"]).alias("rfx"),
+        _numbered(text, SOLICITATION).alias("solicitation"), _numbered(text, REFERENCE).alias("reference"), first_match(text, RFB).alias("rfb"),
+        first_match(text, TENDER_NUMBER).alias("tender"), first_match(text, RFX).alias("rfx"),
     )
 
 
 def buyer_contact(text: Column) -> Column:
-    return F.struct(
-        first_match(text, [r"(?i)([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})"]).alias("email"),
-        first_match(text, [r"(?:[Cc]ontact|[Nn]ame)[:\s]*([A-Z][a-z]+\s+[A-Z][a-z]+)"]).alias("name"),
-        first_match(text, [r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"], 0).alias("phone"),
-    )
+    return F.struct(first_match(text, BUYER_EMAIL).alias("email"), first_match(text, BUYER_PERSON).alias("name"), first_match(text, BUYER_PHONE).alias("phone"))
 
 
 def mandatory_flags(text: Column) -> Column:
     low = _low(text)
     has = lambda *w: has_any(low, list(w))
-    bids = F.transform(F.regexp_extract_all(low, F.lit(r"(?:maximum|up\s+to)(?:\s+of)?\s+(?:\w+\s+)?\(?(\d+)\)?\s+bids?\s+per"), F.lit(1)), lambda n: n.cast("int"))
+    bids = F.transform(F.regexp_extract_all(low, F.lit(MAX_BIDS), F.lit(1)), lambda n: n.cast("int"))
     return F.struct(
         has("form of offer", "form 1").alias("form_of_offer"), (has("jurisdiction") & has("attestation")).alias("jurisdiction_attestation"),
         has("manufacturer letter", "letter from manufacturer").alias("manufacturer_letter"), has("saami").alias("saami_compliance"),
@@ -276,31 +313,24 @@ def mandatory_flags(text: Column) -> Column:
     )
 
 
-STAGES = [
-    (1, r"stage\s*1|mandatory\s+submission|qualification\s+envelope", True), (2, r"stage\s*2|technical\s+(?:response\s+)?evaluation|technical\s+envelope", True),
-    (3, r"stage\s*3|sample\s+evaluation|sample\s+testing", False), (4, r"stage\s*4|price\s+evaluation|financial\s+evaluation", False),
-]
-
-
 def evaluation(text: Column) -> Column:
     """Stages that are named, weights of technique and price if both are given, days for samples."""
     low = _low(text)
     stages = F.array_compact(F.array(*[F.when(low.rlike(p), F.struct(F.lit(n).alias("number"), F.initcap(F.trim(F.replace(F.regexp_extract(low, p, 0), F.lit("\n"), F.lit(" ")))).alias("name"), F.lit(f).alias("pass_fail"))) for n, p, f in STAGES]))
     technical, price = (first_match(low, [w + r"[:\s]*(\d+)\s*%"]).cast("double") / 100 for w in ("technical", "price"))
     both = technical.isNotNull() & price.isNotNull()
-    days = first_match(low, [r"(?:thirty\s*\(\s*)?(\d+)\s*\)?\s*(?:calendar|business)\s*days.*?(?:submit|provide).*?sample", r"sample.*?(?:thirty\s*\(\s*)?(\d+)\s*\)?\s*(?:calendar|business)\s*days"])
+    days = first_match(low, SAMPLE_DAYS)
     return F.struct(stages.alias("stages"), F.when(both, technical).alias("technical"), F.when(both, price).alias("price"), days.cast("int").alias("sample_days"))
 
 
 def contract_terms(text: Column) -> Column:
     low = _low(text)
     has = lambda *w: has_any(low, list(w))
-    both = r"\(?\s*(\d+)\s*\)?\s+years?\s+with\s+(?:one\s+\(?\s*)?(\d+)\s*\)?\s+additional"
-    term = F.when(low.rlike(both), first_match(low, [both])).otherwise(first_match(low, [r"\(?\s*(\d+)\s*\)?\s+years?\s+(?:contract\s+)?(?:term)?", r"(?:term|duration)[:\s\-–]+\(?\s*(\d+)\s*\)?\s+year"]))
-    extension = F.coalesce(first_match(low, [both], 2), first_match(low, [r"(?:extension|additional\s+period)[:\s\-–]+(?:up\s+to\s+)?(?:one\s+)?\(?\s*(\d+)\s*\)?\s+year"]))
+    term = F.when(low.rlike(TERM_AND_EXTENSION), first_match(low, [TERM_AND_EXTENSION])).otherwise(first_match(low, TERM))
+    extension = F.coalesce(first_match(low, [TERM_AND_EXTENSION], 2), first_match(low, EXTENSION))
     return F.struct(
-        first_match(text, [r"(?i)(?:commence|start|effective)[:\s]+([A-Z][a-z]+\s+\d{1,2},?\s+\d{4})"]).alias("start_date"), term.cast("int").alias("term_years"),
-        extension.cast("int").alias("extension_years"), first_match(low, [r"irrevocable.*?(\d+)\s+(?:calendar\s+)?days"]).cast("int").alias("irrevocable_days"),
+        first_match(text, START_DATE).alias("start_date"), term.cast("int").alias("term_years"),
+        extension.cast("int").alias("extension_years"), first_match(low, IRREVOCABLE).cast("int").alias("irrevocable_days"),
         has("insurance").alias("insurance"), has("clearance").alias("clearance"), has("wsia", "workplace safety").alias("wsia"), has("tax compliance").alias("tax_compliance"),
     )
 
@@ -316,19 +346,13 @@ def scope_title(scope: Column) -> Column:
 
 
 def buyer_name(text: Column) -> Column:
-    start = F.left(text, F.lit(2000))
-    found = [
-        F.regexp_extract(start, r"(?im)(?:Issued by|Buyer|Purchaser|Client|Contracting Authority):\s*([^\n]+)", 1),
-        F.regexp_extract(start, r"(?im)(?:Ontario Provincial Police|OPP|Government of [A-Z][a-z]+)", 0),
-        F.regexp_extract(start, r"(?im)([A-Z][A-Za-z\s&]+(?:Police|Department|Ministry|Agency|Government))", 1),
-    ]
-    tidy = [F.regexp_replace(F.trim(f), r"\s+", " ") for f in found]
+    tidy = [F.regexp_replace(F.trim(F.regexp_extract(F.left(text, F.lit(2000)), p, 1)), r"\s+", " ") for p in BUYER_NAME]
     return F.coalesce(*[F.when((F.length(t) > 3) & (F.length(t) < 100), t) for t in tidy])
 
 
 def deadline(text: Column) -> Column:
     start = F.left(text, F.lit(1000))
-    date = first_match(start, [r"(?i)(?:Closing Date|Deadline|Due Date|Bid Due):\s*([A-Za-z]+\s+\d{1,2}[a-z]{0,2},?\s+\d{4})", r"(?i)((?:December|November|October|January|February)\s+\d{1,2}[a-z]{0,2},?\s+\d{4})"])
+    date = first_match(start, DEADLINE)
     pattern = r"([A-Za-z]+)\s+(\d{1,2})[a-z]{0,2},?\s+(\d{4})"
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(date, pattern, 1)))
     iso = F.concat_ws("-", F.regexp_extract(date, pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(date, pattern, 2), 2, "0"))
@@ -337,26 +361,19 @@ def deadline(text: Column) -> Column:
 
 def place(text: Column) -> Column:
     """Where the work is: a whole country, several countries, several places, or a city with its state."""
-    low = _low(text)
-    has = lambda *w: has_any(low, list(w))
-    states = "Alabama|Alaska|Arizona|Arkansas|California|Colorado|Connecticut|Delaware|Florida|Georgia|Hawaii|Idaho|Illinois|Indiana|Iowa|Kansas|Kentucky|Louisiana|Maine|Maryland|Massachusetts|Michigan|Minnesota|Mississippi|Missouri|Montana|Nebraska|Nevada|New Hampshire|New Jersey|New Mexico|New York|North Carolina|North Dakota|Ohio|Oklahoma|Oregon|Pennsylvania|Rhode Island|South Carolina|South Dakota|Tennessee|Texas|Utah|Vermont|Virginia|Washington|West Virginia|Wisconsin|Wyoming|DC"
-    t = F.coalesce(text, F.lit(""))
-    bad = ["facilities", "systems", "information", "resources", "services", "operations"]
+    low, t = _low(text), F.coalesce(text, F.lit(""))
+
+    def found(city: Column, state: Column, country: str) -> Column:
+        return F.struct(city.alias("city"), state.alias("state_province"), F.lit(country).alias("country"))
 
     def pair(p: str, check: bool) -> Column:
         city, state = F.regexp_extract(t, "(?i)" + p, 1), F.regexp_extract(t, "(?i)" + p, 2)
         short = reduce(lambda rest, kv: F.when(state == kv[0], kv[1]).otherwise(rest), STATES.items(), state)
-        good = (city != "") & (~F.lower(city).isin(bad) if check else F.lit(True))
-        return F.when(good, F.struct(F.trim(city).alias("city"), F.trim(short).alias("state_province"), F.lit("United States").alias("country")))
-
-    fixed = lambda city, country: F.struct(F.lit(city).alias("city"), F.lit(None).cast("string").alias("state_province"), F.lit(country).alias("country"))
-    return F.coalesce(
-        F.when(has("nationwide", "throughout the united states", "conus", "all states"), fixed("Nationwide", "United States")),
-        F.when(has("overseas", "oconus", "international"), fixed("International", "Multiple countries")),
-        F.when(has("multiple locations", "various locations"), fixed("Multiple locations", "United States")),
-        pair(r"\b(Washington)\s+(DC)\b", False), pair(rf"(?:in|at|located in)\s+([A-Za-z]+(?:\s+[A-Z][a-z]+)?),\s*({states})\b", True),
-        pair(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?),\s*([A-Z]{2})\s+\d{5}\b", True),
-    )
+        good = (city != "") & (~F.lower(city).isin(NO_CITIES) if check else F.lit(True))
+        return F.when(good, found(F.trim(city), F.trim(short), "United States"))
+
+    wide = [F.when(has_any(low, words), found(F.lit(city), F.lit(None).cast("string"), country)) for city, country, words in WIDE_PLACES]
+    return F.coalesce(*wide, *[pair(p, check) for p, check in CITY_STATE])
 
 
 def is_header_footer(line: Column) -> Column:
