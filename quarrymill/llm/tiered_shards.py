@@ -127,17 +127,24 @@ class Store:
         found = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(folder))]
         return [{"name": f"{folder}/{n}", "bytes": size} for n, size in sorted(found) if n.endswith(".parquet")]
 
-    def append(self, df: DataFrame, in_order: bool = False) -> dict:
+    def append(self, df: DataFrame, in_order: bool = False, at_once: int = 256) -> dict:
         """in_order: df reads files, and the order of their names and rows is kept: one shard per file.
-        Columns named as those that read() adds are stored with _given behind their names."""
-        files = sorted(df.inputFiles()) if in_order else []
-        if files:
-            df = self._one_by_one([[f] for f in files], df.schema)
-        df = df.select(*[df[c].alias(f"{c}_given") if c in TAKEN else df[c] for c in df.columns])
+        Columns named as those that read() adds are stored with _given behind their names. at_once: files that one
+        job copies, which bounds its plan."""
+        def named(x: DataFrame) -> DataFrame:
+            return x.select(*[x[c].alias(f"{c}_given") if c in TAKEN else x[c] for c in x.columns])
+
         base = self.manifest()
-        new = self._write(df)
+        files = sorted(df.inputFiles()) if in_order else []
+        if df.isEmpty():
+            new = []
+        elif files:
+            lots = [files[a : a + at_once] for a in range(0, len(files), at_once)]
+            new = [x for lot in lots for x in self._write(named(self._one_by_one([[f] for f in lot], df.schema)))]
+        else:
+            new = self._write(named(df))
         first = base["shards"][-1]["seq"] + 1 if base["shards"] else 0
-        return self._commit(base, base["shards"] + [x | {"seq": first + i} for i, x in enumerate(new)], df.schema.json())
+        return self._commit(base, base["shards"] + [x | {"seq": first + i} for i, x in enumerate(new)], named(df).schema.json())
 
     def _one_by_one(self, groups: list[list[str]], schema) -> DataFrame:
         """A partition per group: its files' rows in order."""

@@ -41,7 +41,7 @@ def test_versions_conflicts_vacuum(spark, tmp_path):
     assert store.compact()["version"] == 6
     assert store.vacuum() == 5 and ids(6) == list(range(50)) and store.versions() == [6]
     store.append(frame(spark, 50, 50))
-    assert ids(None) == list(range(50)) and store.manifest()["version"] == 7
+    assert ids(None) == list(range(50)) and store.manifest()["version"] == 7 and len(store.manifest()["shards"]) == 1
 
 
 def test_all_rows_round_trip(spark, tmp_path):
