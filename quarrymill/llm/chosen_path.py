@@ -149,9 +149,9 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999, tokens: int = 64, pivots: int = 8,
     bucket: int = 64, first_depth: int = 3, depth: int = 10, block: int = 256, width: int = 5,
 ) -> DataFrame:
-    """One row per row of docs: (doc_id, d, r, node, class_id, n_links). d is the id (LAST_ID for null) and r a hash
-    of the text; node stands for the shingle set, so rows of one node are copies; class_id is the smallest id of
-    the class; n_links counts the other sets that are similar."""
+    """One row per row of docs: (doc_id, d, r, node, rep_id, class_id, n_links). d is the id (LAST_ID for null) and r a
+    hash of the text; node stands for the shingle set, so rows of one node are copies, and rep_id is their smallest
+    id; class_id is the smallest id of the class; n_links counts the other sets that are similar."""
     require(docs, id_col, text_col)
     up, down = int(round(threshold * 1000)), 1000
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("d"), docs[text_col].cast("string").alias("text"))
@@ -262,9 +262,9 @@ def near_duplicates(
     known = links.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n_links")
     smallest = sets.select("node", F.col("at.d").alias("least")).join(known, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     of_class = smallest.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = smallest.join(of_class, "root").select("node", "class_id", "n_links")
+    classes = smallest.join(of_class, "root").select("node", F.col("least").alias("rep_id"), "class_id", "n_links")
     out = described.select("d", "r", "node").join(classes, "node")
-    return out.select(F.when(F.col("d") != LAST_ID, F.col("d")).alias("doc_id"), "d", "r", "node", "class_id", "n_links")
+    return out.select(F.when(F.col("d") != LAST_ID, F.col("d")).alias("doc_id"), "d", "r", "node", "rep_id", "class_id", "n_links")
 
 
 def intersections(data: list[np.ndarray], columns: int = 4096) -> np.ndarray:

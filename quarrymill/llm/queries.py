@@ -96,7 +96,22 @@ QUERIES |= {"op2_pfair_mix": op2_pfair_mix, "op7_tiered_shards": op7_tiered_shar
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", F.col("node").alias("set_id"), "n_links")
+    return found.select("doc_id", "class_id", "rep_id", "n_links")
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                               ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+k AS (SELECT min(doc_id) AS rep_id, s, list(doc_id) AS ids FROM s GROUP BY s),
+u AS (SELECT rep_id, unnest(s) AS x, len(s) AS n FROM k),
+p AS (SELECT a.rep_id AS a, b.rep_id AS b FROM u a JOIN u b ON a.x = b.x AND a.rep_id <> b.rep_id GROUP BY a.rep_id, b.rep_id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+c AS (SELECT rep_id AS node, rep_id AS root FROM k UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node),
+m AS (SELECT node, min(root) AS class_id FROM c GROUP BY node),
+l AS (SELECT a AS node, count(*) AS n FROM p GROUP BY a)
+SELECT unnest(k.ids) AS doc_id, m.class_id, k.rep_id, coalesce(l.n, 0) AS n_links FROM k JOIN m ON m.node = k.rep_id LEFT JOIN l ON l.node = k.rep_id
+"""
 
 
 QUERIES |= {"op4_chosen_path": op4_chosen_path}
+ORACLE_SQL |= {"op4_chosen_path": OP4_SQL}
