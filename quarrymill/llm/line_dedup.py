@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, require, shared_dir
+from .common import LAST_ID, materialize, release, require
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,15 +41,16 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(d, r, n_lines, n_dropped, bitmap) for every document row that loses a line; d is the id (LAST_ID for null),
     r a hash of the whole text. Bit i of the bitmap, from the highest bit of each byte, is 1 if line i stays."""
     spark = docs.sparkSession
-    shared_dir(spark)
     lines = _keyed(docs, id_col, text_col).select("d", "r", F.split("text", "\n").alias("lines"))
     lines = lines.select("d", "r", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
     key = F.translate(F.btrim("line", F.lit(BLANK)), UPPER, LOWER)
     lines = lines.select("d", "r", "n", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
     rows = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "d", "r", "pos", "n")
+    rows = materialize(rows, "lines")  # dealing by range reads its input twice, and texts are to be read once
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "h1", "h2", "d", "r", "pos").sortWithinPartitions("h1", "h2", "d", "r", "pos")
     dealt = dealt.checkpoint().withColumn("p", F.spark_partition_id())
+    release(rows)
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = tail = None
