@@ -8,9 +8,10 @@ classes; a word's probability is that of its class times that of the word within
 share one token; their own probability given that token is add-one unigram over the rarer words. So a text has a
 proper probability, and the whole text is read: the state is carried from window to window to its end.
 
-Training: `share` of all training documents (by a hash of the id) are dealt to as many trainers as their number
-asks for; each runs truncated backpropagation over windows from the same start, and the trainers' weights are
-averaged, twice. Nothing but weights reaches the driver.
+Training: all training documents are dealt to as many trainers as their number asks for, half of them in each of
+two rounds; each trainer runs truncated backpropagation over windows from the same start, and the trainers' weights
+are averaged. Nothing but weights reaches the driver. A `share` below 1 takes that share of the documents (by a
+hash of the id), or all of them if the share is empty.
 
 Counts of rare words reach documents by a join on the word; only a table of the `known` most frequent words, of
 fixed size, is sent to executors.
@@ -139,23 +140,32 @@ class Gru:
             g["ww"][i], g["wb"][i] = hr.T @ d, d.sum(0)
             dflat[rows] += d @ p["ww"][i].T
         dflat = dflat.reshape(len(inputs), -1, k)
-        dh, dx = np.zeros_like(h), np.empty((len(inputs), len(h), 3 * k), F32)
+        # what no later step changes is worked out for the whole window, sums over steps are one product
+        goes_on = (inputs != 0)[:, :, None]
+        z, r, n = (np.stack(x) for x in zip(*kept))
+        old = np.stack(hs[:-1]) * goes_on
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), old * r * (1 - r)
+        dh, dx = np.zeros_like(h), np.empty((len(inputs), len(h), 3 * k), dflat.dtype)
+        back_n, back_u = p["n"].T.copy(), p["u"].T.copy()
         for t in range(len(inputs) - 1, -1, -1):
-            z, r, n = kept[t]
-            goes_on = (inputs[t] != 0)[:, None]
-            old = hs[t] * goes_on
-            dh = dh + dflat[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            drh = dn @ p["n"].T
-            dz = dh * (old - n) * z * (1 - z)
-            dr = drh * old * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            g["n"] += (r * old).T @ dn
-            g["u"] += old.T @ dzr
-            dx[t] = np.concatenate([dzr, dn], 1)
-            dh = (dh * z + drh * r + dzr @ p["u"].T) * goes_on
-        g["b"] = dx.sum((0, 1))
-        np.add.at(g["x"], inputs.ravel(), dx.reshape(-1, 3 * k))
+            dh += dflat[t]
+            dn = np.multiply(dh, to_n[t], out=dx[t, :, 2 * k :])
+            drh = dn @ back_n
+            np.multiply(dh, to_z[t], out=dx[t, :, :k])
+            np.multiply(drh, to_r[t], out=dx[t, :, k : 2 * k])
+            drh *= r[t]
+            dh *= z[t]
+            dh += drh
+            dh += dx[t, :, : 2 * k] @ back_u
+            dh *= goes_on[t]
+        dx = dx.reshape(-1, 3 * k)
+        g["n"] = (r * old).reshape(-1, k).T @ dx[:, 2 * k :]
+        g["u"] = old.reshape(-1, k).T @ dx[:, : 2 * k]
+        g["b"] = dx.sum(0)
+        x = inputs.ravel()
+        by = np.argsort(x, kind="stable")
+        first = np.flatnonzero(np.diff(x[by], prepend=-1))
+        g["x"][x[by][first]] = np.add.reduceat(dx[by], first, 0)
         return g, hs[-1], float(loss)
 
     def train(self, docs: list[np.ndarray], steps: int = 20, batch: int = 48, rate: float = 0.01) -> None:
@@ -172,18 +182,28 @@ class Gru:
         before = np.concatenate([np.zeros((lanes, 1), np.int64), full[:, :-1]], 1)
         m = {n: np.zeros_like(w) for n, w in self.p.items()}
         u = {n: np.zeros_like(w) for n, w in self.p.items()}
+        room = {n: np.zeros_like(w) for n, w in self.p.items()}
         h, t = self.start(lanes), 0
         for a in range(0, length, steps):
             i, y, k = before[:, a : a + steps].T, full[:, a : a + steps].T, mask[:, a : a + steps].T
             g, h, _ = self.window(i, y, k, h)
             t += 1
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             clip = min(1.0, 1.0 / (norm + 1e-9))
             for n, w in self.p.items():
-                x = g[n] * clip
-                m[n] = 0.9 * m[n] + 0.1 * x
-                u[n] = 0.99 * u[n] + 0.01 * x * x
-                w -= rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(u[n] / (1 - 0.99**t)) + 1e-6)
+                x, y = g[n], room[n]
+                x *= 0.1 * clip
+                m[n] *= 0.9
+                m[n] += x
+                x *= x
+                u[n] *= 0.99
+                u[n] += x  # 0.01 times the square of the clipped gradient
+                np.multiply(u[n], 1 / (1 - 0.99**t), out=x)
+                np.sqrt(x, out=x)
+                x += 1e-6
+                np.multiply(m[n], rate / (1 - 0.9**t), out=y)
+                y /= x
+                w -= y
 
     def score(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
         """The natural log-probability of every whole document; the state is carried over its windows. Lanes take up
@@ -284,7 +304,7 @@ def _average(weights: DataFrame) -> list[np.ndarray] | None:
 
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 7, held_out: int = 2, head: int = 3072, known: int = 131_072,
-    hidden: int = 16, per_class: int = 64, share: float = 1 / 16, docs_per_trainer: int = 1500, rounds: int = 2,
+    hidden: int = 16, per_class: int = 64, share: float = 1.0, docs_per_trainer: int = 1500, rounds: int = 2,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     require(docs, id_col, text_col)
@@ -322,8 +342,13 @@ def score_documents(
 
     flat = np.concatenate([model.p[n].ravel() for n in names])
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    sample = materialize(training.where(draw < share).select("text", F.xxhash64("text").alias("k")), "lm-sample")
-    n_sample = sample.count()
+    every = training.select("text", F.xxhash64("doc_id", "text").alias("k"))
+    sample, n_sample = every, ends
+    if share < 1:
+        sample = materialize(training.where(draw < share).select("text", F.xxhash64("doc_id", "text").alias("k")), "lm-sample")
+        n_sample = sample.count()
+        if not n_sample:
+            sample, n_sample = every, ends
     for turn in range(rounds):
         trainers = max(1, -(-n_sample // (docs_per_trainer * rounds)))
         mine = sample.where(F.pmod(F.xxhash64("k", F.lit(23)), F.lit(rounds)) == turn).repartition(trainers, "k").sortWithinPartitions("k").select("text", F.spark_partition_id().alias("part"))

@@ -104,3 +104,13 @@ def test_edges(spark):
     assert score_documents(df.limit(0)).count() == 0
     only_held = df.where("doc_id is null").selectExpr("cast(9 as long) doc_id", "text")
     assert score_documents(only_held).count() == 1
+
+
+def test_few_documents_reach_the_model(spark):
+    rows = [(i, "one two three four " * 400) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda **k: {r.doc_id: (r.score, r.base_score) for r in score_documents(df, **k).collect()}
+    got = score()
+    assert sum(s for s, _ in got.values()) > 0.9 * sum(b for _, b in got.values())  # the order of words is learnt
+    none = score(share=1e-9)  # no document has so small a hash
+    assert all(math.isclose(none[i][0], got[i][0], rel_tol=1e-6) for i in got)
