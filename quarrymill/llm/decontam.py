@@ -7,8 +7,10 @@ if the words that the placeholders stand for are consistent: along one alignment
 of the item always stands against the same value of the document. So a question asked again with other
 numbers or names is found, and a chance meeting of templates is not.
 
-Windows with fewer than `literal` words besides placeholders (of 13) are not used. Items shorter than 13 words
-are looked up as one window of their length (at least `shortest` words, in the same proportion literal).
+Template windows with fewer than `literal` words besides placeholders (of 13) are not used. Items shorter than 13
+words are looked up as one window of their length (as a template from `shortest` words on, in the same proportion
+literal). Besides, every window of every item, however short or poor in literal words, is looked up as it is: 13 raw
+words (or all of a shorter item) that are equal word for word count whatever their template.
 
 Benchmark windows are broadcast in chunks of at most `chunk` rows (24 bytes and the slots each), however
 large the benchmark is; documents are never shuffled.
@@ -76,17 +78,25 @@ def _is_slot(w: Column) -> Column:
     return (w >= NUMBER) & (w <= NAME) & (F.char_length(w) == 1)
 
 
+def _raw_hash(words: str, at: Column | int, width: int) -> Column:
+    """Hash of a window of raw words by at most five of them; all are compared where hashes are equal."""
+    return F.xxhash64(F.lit("raw"), *[F.get(words, F.lit(0) + at + k) for k in sorted({0, width // 4, width // 2, 3 * width // 4, width - 1})])
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int, literal: int, shortest: int) -> DataFrame:
-    """(h, item, off, width, slots): slots are (place in the window, type, value) of the placeholders."""
+    """(h, item, off, width, slots, w, plain): slots are (place in the window, type, value) of the placeholders; plain
+    windows are raw words, the others template words."""
     require(benchmark, item_col, text_col)
     b = benchmark.select(benchmark[item_col].cast("long").alias("item"), template(benchmark[text_col]).alias("t"), raw_words(benchmark[text_col]).alias("raw"))
-    b = b.withColumn("n", F.size("t")).where((F.col("n") >= shortest) & (F.col("n") == F.size("raw"))).withColumn("width", F.least(F.col("n"), F.lit(width)))
-    b = b.select("item", "t", "raw", "width", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("width") + 1)).alias("off"))
+    b = b.withColumn("in_line", F.size("t") == F.size("raw")).withColumn("n", F.size("raw")).where("n > 0").withColumn("width", F.least(F.col("n"), F.lit(width)))
+    b = b.select("item", "t", "raw", "in_line", "n", "width", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("width") + 1)).alias("off"))
     b = b.withColumn("w", F.slice("t", F.col("off"), F.col("width"))).withColumn("v", F.slice("raw", F.col("off"), F.col("width")))
     slots = F.filter(F.transform("w", lambda w, i: F.when(_is_slot(w), F.struct((i + 1).alias("at"), w.alias("kind"), F.get("v", i).alias("value")))), lambda s: s.isNotNull())
-    b = b.withColumn("slots", slots)
-    b = b.where((F.col("width") - F.size("slots")) * width >= F.col("width") * literal)
-    return b.select(F.xxhash64("w").alias("h"), "item", "off", "width", "slots", "w")
+    b = b.withColumn("slots", F.when(F.col("in_line"), slots).otherwise(F.filter(slots, lambda s: F.lit(False))))
+    by_width = F.coalesce(*[F.when(F.col("width") == k, _raw_hash("v", 0, k)) for k in range(1, width + 1)])
+    plain = b.select(by_width.alias("h"), "item", "off", "width", "slots", F.col("v").alias("w"), F.lit(True).alias("plain"))
+    b = b.where(F.col("in_line") & (F.col("n") >= shortest) & ((F.col("width") - F.size("slots")) * width >= F.col("width") * literal))
+    return b.select(F.xxhash64("w").alias("h"), "item", "off", "width", "slots", "w", F.lit(False).alias("plain")).unionByName(plain)
 
 
 def leaks(
@@ -97,34 +107,47 @@ def leaks(
     (LAST_ID for null) and r a hash of the text, which together name a row of docs."""
     require(docs, id_col, text_col)
     windows = materialize(benchmark_windows(benchmark, item_col, item_text, width, literal, shortest), "decontam-benchmark")
-    widths = [x[0] for x in windows.groupBy("width").count().sort("width").select("width").collect()]  # at most `width` numbers
+    widths = {x[0]: x[1] for x in windows.groupBy("width").agg(F.bool_or(~F.col("plain"))).sort("width").collect()}  # at most `width` numbers
     chunks = max(1, -(-windows.count() // chunk))
     text = docs[text_col].cast("string")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("r"), template(text).alias("t"), text.alias("text"))
-    rows = rows.withColumn("n", F.size("t"))  # no filter on it: that would work out the templates twice
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("r"), template(text).alias("t"), raw_words(text).alias("raw"))
+    rows = rows.withColumn("n", F.size("t")).withColumn("m", F.size("raw"))  # no filter on them: that would work out the templates twice
     found = None
-    for size in widths or [width]:
-        hashes = F.transform(_windows(F.col("n"), size), lambda i: F.xxhash64(F.slice("t", i, size)))
+    for size, templates in (widths or {width: True}).items():
+        hashes = F.transform(_windows(F.col("m"), size), lambda i: _raw_hash("raw", i - 1, size))
+        before = F.lit(0)  # template windows come first
+        if templates:
+            hashes = F.concat(F.transform(_windows(F.col("n"), size), lambda i: F.xxhash64(F.slice("t", i, size))), hashes)
+            before = F.greatest(F.col("n") - (size - 1), F.lit(0))
         # hashes first get a column of their own: explode of a plain column is compiled together with the join, so
-        # that the text and its words are handed on by reference and copied for matches only
-        at = rows.withColumn("hashes", hashes).select("doc_id", "r", "text", "t", F.posexplode_outer("hashes").alias("pos", "h"))
+        # that the words are handed on by reference and copied for matches only
+        at = rows.withColumn("hashes", hashes).withColumn("before", before).select("doc_id", "r", "raw", "t", "before", F.posexplode_outer("hashes").alias("pos", "h"))
         for part in range(chunks):
             some = windows.where(F.col("width") == size)
             if chunks > 1:
                 some = some.where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(chunks)) == part)
             hit = at.join(F.broadcast(some), "h")  # bounded: at most about `chunk` rows
             # words are compared for equal hashes only; as a plain equation this would become a second join key
-            hit = hit.where(F.array_contains(F.array("w"), F.slice("t", F.col("pos") + 1, size)))
-            value = F.when(F.size("slots") > 0, raw_words(F.col("text")))
-            hit = hit.withColumn("raw", value).select("doc_id", "r", "item", "pos", "off", F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("mine"), F.get("raw", F.col("pos") + s["at"] - 1).alias("theirs"))).alias("pairs"))
+            place = F.when(F.col("plain"), F.col("pos") - F.col("before")).otherwise(F.col("pos"))
+            words = F.when(F.col("plain"), F.slice("raw", F.greatest(place, F.lit(0)) + 1, size)).otherwise(F.slice("t", F.col("pos") + 1, size))
+            hit = hit.where((F.col("plain") == (F.col("pos") >= F.col("before"))) & F.array_contains(F.array("w"), words)).withColumn("pos", place)
+            theirs = lambda s: F.when(F.col("plain"), s["value"]).otherwise(F.get("raw", F.col("pos") + s["at"] - 1))
+            pairs = F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("mine"), theirs(s).alias("theirs")))
+            hit = hit.select("doc_id", "r", "item", "pos", "off", "plain", pairs.alias("pairs"))
             found = hit if found is None else found.unionByName(hit)
     key = ["doc_id", "r", "item", "shift"]
-    aligned = found.withColumn("shift", F.col("pos") - F.col("off")).groupBy(*key).agg(
-        F.countDistinct("off").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
+    found = found.withColumn("shift", F.col("pos") - F.col("off")).withColumn("equal", F.forall("pairs", lambda p: p["mine"].eqNullSafe(p["theirs"])))
+    of = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    aligned = found.groupBy(*key).agg(
+        F.size(F.collect_set("off")).alias("windows"), F.size(F.collect_set(F.when(F.col("equal"), F.col("off")))).alias("equal_windows"),
+        of(F.when(~F.col("plain"), F.col("pairs"))).alias("pairs"), of(F.when(F.col("equal"), F.col("pairs"))).alias("equal_pairs"),
+    )
+    # values are judged along template windows; windows that are equal word for word need no judgement
     values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["mine"])))
-    steady = aligned.where(F.size("pairs") == F.size(values))
-    out = steady.groupBy("doc_id", "r", "item").agg(F.sum("windows").alias("n_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
+    steady = F.size("pairs") == F.size(values)
+    slots = F.when(steady, F.size(F.array_union("pairs", "equal_pairs"))).otherwise(F.size("equal_pairs"))
+    kept = aligned.select("doc_id", "r", "item", F.when(steady, F.col("windows")).otherwise(F.lit(0)).alias("windows"), slots.alias("slots")).where("windows > 0")
+    out = kept.groupBy("doc_id", "r", "item").agg(F.sum("windows").alias("n_windows"), F.max("slots").cast("long").alias("n_slots"))
     return out.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), "r", "doc_id", F.col("item").alias("item_id"), "n_windows", "n_slots")
 
 

@@ -56,3 +56,13 @@ def test_plain_passages_against_brute_force(spark):
             want |= {(d.doc_id, i) for i in index.get(tuple(w[k : k + 13]), ())}
     got = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
     assert want and want <= got and len(got - want) <= 1
+
+
+def test_verbatim_copies_are_found_whatever_their_template(spark):
+    items = ["add 12 34 56 kg 78 90 11 m and 13 14 15 16 17 18 20", "Which is the largest city of the whole country of France today", "Name three prime numbers", "Der Hund Sah Die Katze Im Garten Und Der Vogel Sang Laut Am Morgen"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Read this: {t}, he said." for t in items] + [items[0].replace("34", "35").replace("16", "19"), "Name three large numbers", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+    assert got == {(k, k) for k in range(4)}
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, bench, chunk=3).collect()} == got
