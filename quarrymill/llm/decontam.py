@@ -146,7 +146,7 @@ def leaks(
     values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["mine"])))
     steady = F.size("pairs") == F.size(values)
     slots = F.when(steady, F.size(F.array_union("pairs", "equal_pairs"))).otherwise(F.size("equal_pairs"))
-    kept = aligned.select("doc_id", "r", "item", F.when(steady, F.col("windows")).otherwise(F.lit(0)).alias("windows"), slots.alias("slots")).where("windows > 0")
+    kept = aligned.select("doc_id", "r", "item", F.when(steady, F.col("windows")).otherwise(F.col("equal_windows")).alias("windows"), slots.alias("slots")).where("windows > 0")
     out = kept.groupBy("doc_id", "r", "item").agg(F.sum("windows").alias("n_windows"), F.max("slots").cast("long").alias("n_slots"))
     return out.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), "r", "doc_id", F.col("item").alias("item_id"), "n_windows", "n_slots")
 

@@ -66,3 +66,13 @@ def test_verbatim_copies_are_found_whatever_their_template(spark):
     got = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
     assert got == {(k, k) for k in range(4)}
     assert {(r.doc_id, r.item_id) for r in leaks(docs, bench, chunk=3).collect()} == got
+
+
+def test_equal_windows_count_where_values_elsewhere_disagree(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(50)]
+    words[8:10], words[40:42] = ["12", "miles"], ["12", "miles"]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    words[40] = "15"
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    got = leaks(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.n_windows) for r in got] == [(1, 1, 28)]  # of 38, those without the word 40
