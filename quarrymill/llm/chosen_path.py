@@ -4,10 +4,11 @@ A document is the set of its five-word shingles (lower-cased words between white
 are one class of copies from here on. Every set gets `tokens` min-wise tokens; two sets of similarity s agree
 in a sampled token with probability s.
 
-A run splits all sets on the values of sampled tokens, three to begin with, then one more for every bucket that
-is still larger than `bucket`, at most `depth` in all. Small buckets are compared by brute force on all tokens; in
-buckets that stay large their members are linked to the smallest one. Runs are repeated until a pair
-at the threshold meets with probability `recall`. Before a large bucket is split, its members are also compared with a
+A run splits all sets on the values of sampled tokens, three to begin with. A bucket that is still larger than `bucket`
+is split `branches` times, each time by another token that its path has not used, down to `depth` tokens. Small buckets
+are compared by brute force on all tokens; in buckets that stay large their members are linked to the smallest one.
+There are as many runs as let a pair at the threshold meet with probability `recall` even if its buckets
+are large down to `depth`. Before a large bucket is split, its members are also compared with a
 few pivots of it, so that one of a large group who is alone after the split still meets the group. What was linked is a candidate group, and inside these groups
 all pairs are compared exactly on whole shingle sets: small groups in one task, larger ones block by
 block, so no task holds more than two blocks. Pairs are counted where they are found and never
@@ -133,6 +134,24 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def meeting(threshold: float, tokens: int, first_depth: int, depth: int, branches: int) -> list[tuple[float, float]]:
+    """(probability that k of the tokens agree, probability that a run then keeps a pair together to `depth`) for every k."""
+    out = []
+    for k in range(tokens + 1):
+        agree = lambda used, k=k: max(k - used, 0) / (tokens - used)
+        lives = 1.0
+        for used in reversed(range(first_depth, depth)):
+            lives = 1 - (1 - agree(used) * lives) ** branches
+        out.append((math.comb(tokens, k) * threshold**k * (1 - threshold) ** (tokens - k), math.prod(map(agree, range(first_depth))) * lives))
+    return out
+
+
+def runs_for(recall: float, threshold: float, tokens: int, first_depth: int, depth: int, branches: int, most: int = 1024) -> int:
+    """How many runs let a pair at the threshold meet with that probability, however deep its buckets are split."""
+    cases = meeting(threshold, tokens, first_depth, depth, branches)
+    return next((n for n in range(1, most) if sum(w * (1 - p) ** n for w, p in cases) <= 1 - recall), most)
+
+
 def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, least: float) -> DataFrame:
     """(u, v): members of large buckets with the first two pivots of their bucket that agree with them. Pivots are the
     smallest members by `pivots` hashes: picked with partial sums, and a bucket has no more than that many."""
@@ -147,7 +166,7 @@ def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, leas
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999, tokens: int = 64, pivots: int = 8,
-    bucket: int = 64, first_depth: int = 3, depth: int = 10, block: int = 256, width: int = 5,
+    bucket: int = 64, first_depth: int = 3, depth: int = 10, block: int = 256, width: int = 5, branches: int = 2,
 ) -> DataFrame:
     """One row per row of docs: (doc_id, d, r, node, rep_id, class_id, n_links). d is the id (LAST_ID for null) and r a
     hash of the text; node stands for the shingle set, so rows of one node are copies, and rep_id is their smallest
@@ -170,12 +189,16 @@ def near_duplicates(
     sets = materialize(sets, "join-sets")
 
     # chosen paths
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**first_depth)))
+    depth = min(depth, tokens - branches + 1)
+    runs = runs_for(recall, threshold, tokens, first_depth, depth, branches)
     rng = np.random.default_rng(43)
-    order = [rng.permutation(tokens)[:depth].tolist() for _ in range(runs)]
-    token = lambda signs, run, level: F.element_at(signs, F.element_at(F.array(*[F.lit(int(o[level]) + 1) for o in order]), F.col(run) + 1))
-    paths = F.array(*[F.struct(F.lit(k).alias("run"), F.xxhash64(F.lit(k), *[F.element_at("signs", o[i] + 1) for i in range(first_depth)]).alias("path")) for k, o in enumerate(order)])
-    active = sets.select("node", F.explode(paths).alias("p")).select("node", "p.run", "p.path")
+    order = [rng.permutation(tokens)[:first_depth].tolist() for _ in range(runs)]
+    used = [F.array(*[F.lit(i + 1) for i in o]).alias("used") for o in order]
+    paths = F.array(*[F.struct(used[k], F.xxhash64(F.lit(k), *[F.element_at("signs", i + 1) for i in o]).alias("path")) for k, o in enumerate(order)])
+    active = sets.select("node", F.explode(paths).alias("p")).select("node", "p.used", "p.path")
+    # the next tokens of a path: the same for all its members, none that it has used
+    turn = lambda i: F.xxhash64("path", i)
+    fresh = F.slice(F.array_sort(F.transform(F.array_except(F.sequence(F.lit(1), F.lit(tokens)), "used"), lambda i: F.struct(turn(i).alias("by"), i.alias("i")))), 1, branches)
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / tokens)
     small, edges, level = None, None, first_depth
     while True:
@@ -191,7 +214,9 @@ def near_duplicates(
         if level >= depth:
             edges = edges.unionByName(large.select(F.col("node").alias("u"), F.col("hub").alias("v")))
             break
-        active = large.join(sets.select("node", "signs"), "node").select("node", "run", F.xxhash64("path", token("signs", "run", level)).alias("path"))
+        active = large.withColumn("next", F.explode(fresh)).join(sets.select("node", "signs"), "node")
+        token = F.col("next")["i"]
+        active = active.select("node", F.concat("used", F.array(token)).alias("used"), F.xxhash64("path", token, F.element_at("signs", token)).alias("path"))
         level += 1
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quarrymill.llm.chosen_path import Forest, components, intersections, keep_one, near_duplicates
+from quarrymill.llm.chosen_path import Forest, components, intersections, keep_one, near_duplicates, runs_for
 
 
 def words(t):
@@ -107,3 +107,34 @@ def test_no_link_of_a_large_group_is_lost(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_duplicates(df, bucket=16, block=100).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted(brute(rows))
+
+
+def test_pairs_in_large_buckets_of_unlike_texts(spark):
+    rng = random.Random(7)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage, rows = some(87), []
+    for k in range(600):  # two texts of a pair are alike at 0.81, others at 0.3
+        pair = passage + some(78)
+        rows += [(2 * k, " ".join(pair + some(19))), (2 * k + 1, " ".join(pair + some(19)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, bucket=2, pivots=1).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == [(i, i - i % 2, 1) for i in range(1200)]
+
+
+def test_runs_hold_the_recall_down_to_the_last_depth():
+    rng = random.Random(3)
+
+    def lives(agree, used, branches):
+        left = [i for i in range(64) if i not in used]
+        return len(used) == 10 or any(agree[i] and lives(agree, [*used, i], branches) for i in rng.sample(left, branches))
+
+    def lost(runs, branches, pairs=1000):
+        out = 0
+        for _ in range(pairs):
+            agree = [rng.random() < 0.8 for _ in range(64)]
+            starts = (rng.sample(range(64), 3) for _ in range(runs))
+            out += not any(all(agree[i] for i in s) and lives(agree, s, branches) for s in starts)
+        return out
+
+    assert lost(runs_for(0.9999, 0.8, 64, 3, 10, 2), 2) <= 2
+    assert lost(13, 1) > 200  # as many runs as three tokens ask for
