@@ -1,3 +1,7 @@
+import html
+import re
+import time
+
 import pytest
 
 from quarrymill.llm.html_density import extract, main_text
@@ -47,3 +51,61 @@ def test_table(spark):
     assert extract(rows.limit(0)).count() == 0
     with pytest.raises(ValueError):
         extract(rows.drop("html"))
+
+
+@pytest.mark.parametrize(
+    "markup",
+    [
+        "<a" * 500_000, '<a "' * 250_000, '<a "' * 250_000 + ">", "<a x=\"1\" '" * 90_000 + ">", "</x>" * 250_000, "<div>" * 100_000 + "</x>" * 100_000, "<i><article>" + "<div>" * 50_000 + "</i>" * 150_000,
+        "<p>" + "<b>" * 120_000 + "<hr>" * 120_000, "<ul>" + "<b>" * 100_000 + "<li>" * 100_000, "<table>" + "<td>" * 100_000, "<!-- " * 200_000, "<!" * 500_000, "&" * 1_000_000, "&#" + "9" * 1_000_000, "<script>" * 100_000,
+        "<div " + "class=" * 160_000 + ">x", "<div class" + " " * 1_000_000 + ">x", '<div class="' + "has-a " * 160_000 + '">x',
+    ],
+)
+def test_a_broken_page_takes_time_in_proportion(markup):
+    def seconds(page):
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    assert seconds(markup) < max(1.0, 30 * seconds(markup[: len(markup) // 10])) and seconds(markup) < 15
+
+
+def test_references():
+    assert main_text("<p>&#00065;&#x0042;&#" + "9" * 5000 + ";&#xD800;&am<b>p;</b>&am<!-- -->p; x&lt;b&gt;y") == "AB��&amp;&amp; x<b>y"
+
+
+TEXT = "".join(f"<p>{'Some longer sentence of the text. ' * 9}{i}</p>" for i in range(10))
+LINES = [f"{'Some longer sentence of the text. ' * 9}{i}" for i in range(10)]
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Another story {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "section", "div", None])
+def test_headings_and_paragraphs_beside_the_core_stay(outer):
+    inner = f"<h1>Ten chars!</h1><p>A lead of the text.</p><div class='body'>{TEXT}</div><p>The end.</p>"
+    inner = f"<{outer} class='post'>{inner}</{outer}>" if outer else f"<div>{inner}</div>"
+    page = f"<body><div id='page'><nav>menu</nav><div class='top'>{LINKS}</div>{inner}<div><h3>More</h3>{LINKS}</div><footer>(c)</footer></div></body>"
+    assert main_text(page).split("\n") == ["Ten chars!", "A lead of the text.", *LINES, "The end."]
+
+
+def test_names_are_penalties():
+    page = f"<body><article><header><h1>Title</h1></header><p class='related'>Related work.</p><div class='notice-board'>{TEXT}</div><div class='notice'>Read the rules.</div><p class='ad'>Buy.</p><footer>by me</footer></article></body>"
+    assert main_text(page).split("\n") == ["Title", "Related work.", *LINES]
+    assert main_text(f"<body><div class='hentry has-comments comments-open no-sidebar'>{TEXT}</div><div class='comment-list'><p>{'words of a reader ' * 400}</p></div></body>").split("\n") == LINES
+    assert main_text(f"<body><header><h1>Site</h1></header><div class='story'><header><h1>Title</h1></header>{TEXT}</div></body>").split("\n") == ["Title", *LINES]
+
+
+def test_pages_without_their_semantic_elements(spark):
+    """What the article element holds comes out the same when the element is replaced, removed or wrapped."""
+    comments = "<div id='comments'><h3>2 comments</h3><div class='comment'><p>I think this is great and has a lot of words.</p></div></div>"
+    ways = [
+        lambda h: h.replace("<article>", "<div>").replace("</article>", "</div>"),
+        lambda h: h.replace("<article>", "").replace("</article>", ""),
+        lambda h: h.replace("<article>", "<div id='wrap'><div class='layout has-sidebar'><div class='post'>").replace("</article>", f"</div><div><h3>More</h3>{LINKS}</div></div></div>"),
+        lambda h: h.replace("<article>", "<div class='post'>").replace("</h1>", "</h1><div class='text'>", 1).replace("</article>", f"</div>{comments}</div>"),
+    ]
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inside = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
+        inside = re.split(r"</?(?:p|h1|h2|ul|li|div)[^>]*>", inside.replace("<br>", " "))
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in inside]
+        want = "\n".join(b for b in want if b)
+        assert [main_text(way(r.html)) == want for way in [str, *ways]] == [True] * 5
