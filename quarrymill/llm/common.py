@@ -47,6 +47,11 @@ def release(df: DataFrame) -> None:
         fs.delete(hadoop_path, True)
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of that name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

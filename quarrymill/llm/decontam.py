@@ -1,30 +1,34 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
 Texts become templates: numbers, numbers with a unit, units after a number and names (capitalised words that
-do not begin a sentence) turn into typed placeholders, letters are lower-cased and punctuation goes. Windows of
-13 template words of the benchmark are looked up among the windows of the documents by hash. A match counts
-if the words that the placeholders stand for are consistent: along one alignment of document and item, a value
-of the item always stands against the same value of the document. So a question asked again with other
-numbers or names is found, and a chance meeting of templates is not.
-
-Template windows with fewer than `literal` words besides placeholders (of 13) are not used. Items shorter than 13
-words are looked up as one window of their length (as a template from `shortest` words on, in the same proportion
-literal). Besides, every window of every item, however short or poor in literal words, is looked up as it is: 13 raw
-words (or all of a shorter item) that are equal word for word count whatever their template.
-
-Benchmark windows are broadcast in chunks of at most `chunk` rows (24 bytes and the slots each), however
-large the benchmark is; documents are never shuffled.
+do not begin a sentence) turn into typed placeholders, letters are lower-cased, punctuation goes and any white space is one
+blank. A window is 13 words of an item (all of a shorter item). A document holds a window if its template words are equal
+and the words that the placeholders stand for are consistent: along the run of equal template words that the window lies in, a
+value of the item always stands against the same value of the document. So a question asked again with other
+numbers or names is found, and a chance meeting of templates is not. Windows that are equal word for word count always,
+whatever their template, and they alone where a window has fewer than `literal` words of 13 besides placeholders or
+belongs to an item of fewer than `shortest` words.
+
+Every window is registered under the hash of one of its grams: four literal words in a row (two or one where
+there are none), the one that the fewest windows of the benchmark hold. Documents look up their grams; an equal one
+aligns a document with an item, and only aligned documents are made templates and compared, alignment by alignment. A window that
+several items hold (in template and pattern of values) is registered for the smallest item id alone, so that documents
+and items that share a passage don't multiply; a document is reported under that item.
+
+Registered grams are broadcast up to `chunk` of them and `chunk_bytes` of benchmark text (about 40 bytes a gram); beyond that, grams
+of documents and benchmark are joined by a shuffle of their hashes.
 
 Defined cases: null or empty texts, on either side, match nothing. Rows that repeat a document id are looked at
-one by one and reported under that id; null ids are reported as null. Repeated items are all reported.
+one by one and reported under that id; null ids are reported as null. Items equal in text are reported under the smallest id,
+null last. An item of one word is found wherever the word stands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, materialize, require
+from .common import LAST_ID, column, materialize, require
 
 NUMBER, UNIT, NUMBER_UNIT, NAME = "", "", "", ""
 # Units of measure, longest alternatives first where one begins another.
@@ -34,6 +38,10 @@ UNITS = (
     "dollars?|euros?|cents?|usd|eur|gbp|degrees?|watts?|volts?|kwh|kmh|mph|km|cm|mm|kg|mg|lbs?|oz|ml|hz|khz|mhz|ghz|kb|mb|gb|tb|ms|min|hrs?|m|g|l|s|h"
 )
 _LOOSE = r"[^\s\p{L}\p{N}]*"
+#: White space of any kind, as a class and as the characters that can stand at the ends of a text.
+_SPACE = r"[\s\p{Z}]+"
+_BLANKS = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SIZES = (4, 2, 1)
 
 
 def _fits(col: Column, pattern: str, to: str) -> Column:
@@ -42,8 +50,8 @@ def _fits(col: Column, pattern: str, to: str) -> Column:
 
 def template(text: Column) -> Column:
     """Template words of a text. Every step works inside words, so that they stay in line with raw_words()."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    t = _fits(t, f"[{NUMBER}-{NAME}]", " ")
+    t = _fits(F.coalesce(text.cast("string"), F.lit("")), rf"[{NUMBER}-{NAME}]+", "")
+    t = _fits(t, _SPACE, " ")
     t = _fits(t, r"(?<=[\p{Ll}\p{N},;:)] )\p{Lu}[\p{L}\p{M}'’-]*(?![\p{N}])", NAME)
     t = F.when(
         t.rlike("[0-9]"),
@@ -61,98 +69,129 @@ def template(text: Column) -> Column:
 
 
 def raw_words(text: Column) -> Column:
-    t = _fits(F.coalesce(text.cast("string"), F.lit("")), f"[{NUMBER}-{NAME}]", " ")
-    return _words(_fits(F.lower(t), r"[^\p{L}\p{M}\p{N}\s]+", ""))
+    return _words(_fits(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{M}\p{N}\s\p{Z}]+", ""))
 
 
 def _words(t: Column) -> Column:
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
-
-
-def _windows(n: int | Column, width: int) -> Column:
-    """Starts of the windows of a list of n words, from 1."""
-    return F.when(n >= width, F.sequence(F.lit(1), n - (width - 1))).otherwise(F.array().cast("array<int>"))
+    t = F.btrim(t, F.lit(_BLANKS))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, _SPACE))
 
 
 def _is_slot(w: Column) -> Column:
     return (w >= NUMBER) & (w <= NAME) & (F.char_length(w) == 1)
 
 
-def _raw_hash(words: str, at: Column | int, width: int) -> Column:
-    """Hash of a window of raw words by at most five of them; all are compared where hashes are equal."""
-    return F.xxhash64(F.lit("raw"), *[F.get(words, F.lit(0) + at + k) for k in sorted({0, width // 4, width // 2, 3 * width // 4, width - 1})])
+def _gram(words: str, at: Column, size: int) -> Column:
+    """Hash of `size` words from place `at` (from 1). Fewer words at the end of a text meet no registered gram."""
+    return F.xxhash64(F.lit(size), *[F.get(words, at - 1 + k) for k in range(size)])
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int, literal: int, shortest: int) -> DataFrame:
-    """(h, item, off, width, slots, w, plain): slots are (place in the window, type, value) of the placeholders; plain
-    windows are raw words, the others template words."""
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, width: int, literal: int, shortest: int) -> DataFrame:
+    """(i, key, t, raw, n, w, marks, rich) of every distinct text: i its hash, key its smallest item id (LAST_ID for none), w the width of its
+    windows; marks has a 1 for every literal word, rich for every start of a window that is looked for by its template."""
     require(benchmark, item_col, text_col)
-    b = benchmark.select(benchmark[item_col].cast("long").alias("item"), template(benchmark[text_col]).alias("t"), raw_words(benchmark[text_col]).alias("raw"))
-    b = b.withColumn("in_line", F.size("t") == F.size("raw")).withColumn("n", F.size("raw")).where("n > 0").withColumn("width", F.least(F.col("n"), F.lit(width)))
-    b = b.select("item", "t", "raw", "in_line", "n", "width", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("width") + 1)).alias("off"))
-    b = b.withColumn("w", F.slice("t", F.col("off"), F.col("width"))).withColumn("v", F.slice("raw", F.col("off"), F.col("width")))
-    slots = F.filter(F.transform("w", lambda w, i: F.when(_is_slot(w), F.struct((i + 1).alias("at"), w.alias("kind"), F.get("v", i).alias("value")))), lambda s: s.isNotNull())
-    b = b.withColumn("slots", F.when(F.col("in_line"), slots).otherwise(F.filter(slots, lambda s: F.lit(False))))
-    by_width = F.coalesce(*[F.when(F.col("width") == k, _raw_hash("v", 0, k)) for k in range(1, width + 1)])
-    plain = b.select(by_width.alias("h"), "item", "off", "width", "slots", F.col("v").alias("w"), F.lit(True).alias("plain"))
-    b = b.where(F.col("in_line") & (F.col("n") >= shortest) & ((F.col("width") - F.size("slots")) * width >= F.col("width") * literal))
-    return b.select(F.xxhash64("w").alias("h"), "item", "off", "width", "slots", "w", F.lit(False).alias("plain")).unionByName(plain)
+    b = benchmark.select(F.coalesce(column(benchmark, item_col).cast("long"), F.lit(LAST_ID)).alias("key"), column(benchmark, text_col).cast("string").alias("text"))
+    b = b.groupBy("text").agg(F.min("key").alias("key"))
+    b = b.select(F.xxhash64("text").alias("i"), "key", template(F.col("text")).alias("t"), raw_words(F.col("text")).alias("raw")).withColumn("n", F.size("raw")).where("n > 0")
+    b = b.withColumn("w", F.least("n", F.lit(width))).withColumn("in_line", F.size("t") == F.col("n")).withColumn("t", F.when(F.col("in_line"), F.col("t")).otherwise(F.col("raw")))
+    b = b.withColumn("marks", F.array_join(F.transform("t", lambda w: F.when(_is_slot(w), "0").otherwise("1")), ""))
+    literals = lambda o: F.char_length(F.replace(F.substr("marks", o, F.col("w")), F.lit("0"), F.lit("")))
+    rich = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1), lambda o: F.when((F.col("n") >= shortest) & (literals(o) * width >= F.col("w") * literal), "1").otherwise("0"))
+    return b.select("i", "key", "t", "raw", "n", "w", "marks", F.array_join(rich, "").alias("rich"))
+
+
+def registered(items: DataFrame, width: int) -> DataFrame:
+    """(h, size, i, place): for every window that is an item's own, one gram of it and where it stands in the item."""
+    x = items.select("i", "key", "t", "raw", "n", "w", "marks", "rich", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("p"))
+    own = F.slice("t", F.col("p"), F.col("w"))
+    values = F.slice("raw", F.col("p"), F.col("w"))
+    # the pattern of a window: which of its places hold equal values
+    pattern = F.transform(values, lambda v, k: F.when(_is_slot(F.get(own, k)), F.array_position(values, v)).otherwise(F.lit(0)))
+    is_rich = F.substr("rich", F.col("p"), F.lit(1)) == "1"
+    window = F.when(F.col("p") + F.col("w") - 1 <= F.col("n"), F.when(is_rich, F.xxhash64(F.lit(1), own, pattern)).otherwise(F.xxhash64(F.lit(0), values)))
+    x = x.select("i", "key", "p", is_rich.alias("is_rich"), window.alias("window"), *[F.when(F.col("p") + s - 1 <= F.col("n"), _gram("raw", F.col("p"), s)).alias(f"h{s}") for s in SIZES],
+                 *[(F.substr("marks", F.col("p"), F.lit(s)) == "1" * s).alias(f"l{s}") for s in SIZES])
+    for s in SIZES:  # the grams that may stand for the window that begins here: the rarest in the benchmark
+        x = x.withColumn(f"spread{s}", F.count("*").over(Window.partitionBy(f"h{s}")))
+    for s in SIZES:
+        inside = Window.partitionBy("i").orderBy("p").rowsBetween(0, width - s)
+        gram = F.when(F.col(f"h{s}").isNotNull(), F.struct(F.col(f"spread{s}").alias("spread"), F.col(f"h{s}").alias("h"), F.lit(s).alias("size"), F.col("p").alias("place")))
+        x = x.withColumn(f"any{s}", F.min(gram).over(inside)).withColumn(f"literal{s}", F.min(F.when(F.col(f"l{s}"), gram)).over(inside))
+    chosen = F.when(F.col("is_rich"), F.coalesce(*[F.col(f"literal{s}") for s in SIZES])).otherwise(F.coalesce(*[F.col(f"any{s}") for s in SIZES]))
+    x = x.where(F.col("window").isNotNull()).withColumn("first", F.min(F.struct("key", "i")).over(Window.partitionBy("window")))
+    return x.where((F.col("first.key") == F.col("key")) & (F.col("first.i") == F.col("i"))).select(chosen.alias("g"), "i").select("g.h", "g.size", "i", "g.place").distinct()
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
+    return F.coalesce(column(docs, id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(text), text
+
+
+def _aligned(rows: DataFrame, grams: DataFrame, chunk: int, chunk_bytes: int, size_of: tuple[int, int]) -> DataFrame:
+    """(d, r, text, at): documents that hold registered grams, with the items and shifts that these align them with."""
+    sizes = sorted((x[0] for x in grams.select("size").distinct().collect()), reverse=True)  # at most three
+    small = size_of[0] <= chunk and size_of[1] <= chunk_bytes
+    # explode of a plain column is compiled together with the join: the words are handed on by reference, and texts are copied for matches only
+    at = rows.withColumn("raw", raw_words(F.col("text"))).withColumn("places", F.when(F.size("raw") > 0, F.sequence(F.lit(1), F.size("raw"))))
+    at = at.select("d", "r", *(["text"] if small else []), "raw", F.explode("places").alias("pos"))
+    hashes = [_gram("raw", F.col("pos"), s) for s in sizes or SIZES[:1]]
+    at = at.withColumn("h", hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes)))
+    shift = F.struct("i", (F.col("pos") - F.col("place")).alias("shift"))
+    if small:  # bounded: at most `chunk` rows
+        hit = at.join(F.broadcast(grams.select("h", "i", "place")), "h")
+        return hit.groupBy("d", "r").agg(F.first("text").alias("text"), F.collect_set(shift).alias("at"))
+    hit = at.select("d", "r", "pos", "h").join(grams.select("h", "i", "place"), "h").groupBy("d", "r").agg(F.collect_set(shift).alias("at"))
+    return rows.dropDuplicates(["d", "r"]).join(hit, ["d", "r"])
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    width: int = 13, literal: int = 8, shortest: int = 8, chunk: int = 2_000_000,
+    width: int = 13, literal: int = 8, shortest: int = 8, chunk: int = 2_000_000, chunk_bytes: int = 256 << 20,
 ) -> DataFrame:
     """(d, r, doc_id, item_id, n_windows, n_slots) for every document that holds windows of an item; d is the id
     (LAST_ID for null) and r a hash of the text, which together name a row of docs."""
     require(docs, id_col, text_col)
-    windows = materialize(benchmark_windows(benchmark, item_col, item_text, width, literal, shortest), "decontam-benchmark")
-    widths = {x[0]: x[1] for x in windows.groupBy("width").agg(F.bool_or(~F.col("plain"))).sort("width").collect()}  # at most `width` numbers
-    chunks = max(1, -(-windows.count() // chunk))
-    text = docs[text_col].cast("string")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("r"), template(text).alias("t"), raw_words(text).alias("raw"))
-    rows = rows.withColumn("n", F.size("t")).withColumn("m", F.size("raw"))  # no filter on them: that would work out the templates twice
-    found = None
-    for size, templates in (widths or {width: True}).items():
-        hashes = F.transform(_windows(F.col("m"), size), lambda i: _raw_hash("raw", i - 1, size))
-        before = F.lit(0)  # template windows come first
-        if templates:
-            hashes = F.concat(F.transform(_windows(F.col("n"), size), lambda i: F.xxhash64(F.slice("t", i, size))), hashes)
-            before = F.greatest(F.col("n") - (size - 1), F.lit(0))
-        # hashes first get a column of their own: explode of a plain column is compiled together with the join, so
-        # that the words are handed on by reference and copied for matches only
-        at = rows.withColumn("hashes", hashes).withColumn("before", before).select("doc_id", "r", "raw", "t", "before", F.posexplode_outer("hashes").alias("pos", "h"))
-        for part in range(chunks):
-            some = windows.where(F.col("width") == size)
-            if chunks > 1:
-                some = some.where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(chunks)) == part)
-            hit = at.join(F.broadcast(some), "h")  # bounded: at most about `chunk` rows
-            # words are compared for equal hashes only; as a plain equation this would become a second join key
-            place = F.when(F.col("plain"), F.col("pos") - F.col("before")).otherwise(F.col("pos"))
-            words = F.when(F.col("plain"), F.slice("raw", F.greatest(place, F.lit(0)) + 1, size)).otherwise(F.slice("t", F.col("pos") + 1, size))
-            hit = hit.where((F.col("plain") == (F.col("pos") >= F.col("before"))) & F.array_contains(F.array("w"), words)).withColumn("pos", place)
-            theirs = lambda s: F.when(F.col("plain"), s["value"]).otherwise(F.get("raw", F.col("pos") + s["at"] - 1))
-            pairs = F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("mine"), theirs(s).alias("theirs")))
-            hit = hit.select("doc_id", "r", "item", "pos", "off", "plain", pairs.alias("pairs"))
-            found = hit if found is None else found.unionByName(hit)
-    key = ["doc_id", "r", "item", "shift"]
-    found = found.withColumn("shift", F.col("pos") - F.col("off")).withColumn("equal", F.forall("pairs", lambda p: p["mine"].eqNullSafe(p["theirs"])))
-    of = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
-    aligned = found.groupBy(*key).agg(
-        F.size(F.collect_set("off")).alias("windows"), F.size(F.collect_set(F.when(F.col("equal"), F.col("off")))).alias("equal_windows"),
-        of(F.when(~F.col("plain"), F.col("pairs"))).alias("pairs"), of(F.when(F.col("equal"), F.col("pairs"))).alias("equal_pairs"),
-    )
-    # values are judged along template windows; windows that are equal word for word need no judgement
-    values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["mine"])))
-    steady = F.size("pairs") == F.size(values)
-    slots = F.when(steady, F.size(F.array_union("pairs", "equal_pairs"))).otherwise(F.size("equal_pairs"))
-    kept = aligned.select("doc_id", "r", "item", F.when(steady, F.col("windows")).otherwise(F.col("equal_windows")).alias("windows"), slots.alias("slots")).where("windows > 0")
-    out = kept.groupBy("doc_id", "r", "item").agg(F.sum("windows").alias("n_windows"), F.max("slots").cast("long").alias("n_slots"))
-    return out.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), "r", "doc_id", F.col("item").alias("item_id"), "n_windows", "n_slots")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that leak an item; columns as they were."""
+    items = materialize(benchmark_items(benchmark, item_col, item_text, width, literal, shortest), "decontam-items")
+    grams = materialize(registered(items, width), "decontam-grams")
+    size_of = grams.count(), items.agg(F.coalesce(F.sum(F.expr("aggregate(raw, 0L, (s, x) -> s + octet_length(x) + 16)")), F.lit(0))).first()[0]
+    d, r, text = _keyed(docs, id_col, text_col)
+    found = _aligned(docs.select(d.alias("d"), r.alias("r"), text.alias("text")), grams, chunk, chunk_bytes, size_of)
+    found = found.select("d", "r", template(F.col("text")).alias("dt"), raw_words(F.col("text")).alias("dr"), F.explode("at").alias("at"))
+    found = found.select("d", "r", "dt", "dr", "at.i", "at.shift").join(items, "i")
+    # words of the item that stand against equal words of the document, as a text of 1 and 0; a window is w ones
+    place, ones = F.sequence(F.lit(0), F.col("n") - 1), F.repeat(F.lit("1"), F.col("w"))
+    same = lambda mine, theirs: F.array_join(F.transform(place, lambda k: F.when(F.get(mine, k) == F.get(theirs, k + F.col("shift")), "1").otherwise("0")), "")
+    windows = lambda s: F.filter(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1), lambda o: F.substr(s, o, F.col("w")) == ones)
+    found = found.withColumn("same", F.when(F.size("dt") == F.size("dr"), same("t", "dt")).otherwise(F.repeat(F.lit("0"), F.col("n")))).withColumn("equal", windows(same("raw", "dr")))
+    found = found.withColumn("by_template", F.filter(windows(F.col("same")), lambda o: F.substr("rich", o, F.lit(1)) == "1"))
+    found = found.where((F.size("equal") > 0) | (F.size("by_template") > 0))
+    # a run of equal template words is named by the number of unequal ones before it; its values have to agree
+    run = lambda o: F.char_length(F.replace(F.substr("same", F.lit(1), o), F.lit("1"), F.lit("")))
+    slots = F.filter(place, lambda k: (F.substr("marks", k + 1, F.lit(1)) == "0") & (F.substr("same", k + 1, F.lit(1)) == "1"))
+    pairs = F.transform(slots, lambda k: F.struct(run(k + 1).alias("run"), F.get("t", k).alias("kind"), F.get("raw", k).alias("mine"), F.get("dr", k + F.col("shift")).alias("theirs")))
+    found = found.withColumn("pairs", F.array_distinct(pairs))
+    of = lambda z: F.filter("pairs", lambda p: p["run"] == z)
+    steady = lambda z: F.size(of(z)) == F.size(F.array_distinct(F.transform(of(z), lambda p: F.struct(p["kind"], p["mine"]))))
+    found = found.withColumn("steady", F.filter(F.array_distinct(F.transform("by_template", run)), steady))
+    found = found.withColumn("kept", F.filter("by_template", lambda o: F.array_contains("steady", run(o))))
+    found = found.withColumn("n_slots", F.size(F.filter("pairs", lambda p: F.array_contains("steady", p["run"]))))
+    kept = found.select("d", "r", "key", F.size(F.array_union("kept", "equal")).alias("windows"), "n_slots")
+    # a window that is registered for another item is only lost where values beside it disagree there: such windows are looked up as they are
+    lost = F.array_except("by_template", F.array_union("kept", "equal"))
+    lost = found.select("d", "r", F.explode(F.transform(lost, lambda o: F.xxhash64(F.slice("dr", o + F.col("shift"), F.col("w"))))).alias("v"))
+    raw = items.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1), lambda o: F.xxhash64(F.slice("raw", o, F.col("w"))))).alias("v")).groupBy("v").agg(F.min("key").alias("key"))
+    kept = kept.unionByName(lost.distinct().join(raw, "v").groupBy("d", "r", "key").agg(F.count("*").cast("int").alias("windows"), F.lit(0).alias("n_slots")))
+    out = kept.where("windows > 0").groupBy("d", "r", "key").agg(F.sum("windows").alias("n_windows"), F.max("n_slots").cast("long").alias("n_slots"))
+    no = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    return out.select("d", "r", no("d").alias("doc_id"), no("key").alias("item_id"), "n_windows", "n_slots")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """docs without the rows that leak an item; columns as they were. Up to broadcast_rows leaking rows are broadcast (16 bytes
+    each), so that texts are not shuffled; more are joined by a shuffle."""
     found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("d").alias("_leak_d"), F.col("r").alias("_leak_r")).distinct()
-    mine = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == found["_leak_d"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == found["_leak_r"])
-    return docs.join(found, mine, "left_anti")
+    found = materialize(found, "decontam-found")
+    if found.count() <= broadcast_rows:
+        found = F.broadcast(found)
+    d, r, _ = _keyed(docs, id_col, text_col)
+    return docs.join(found, (d == found["_leak_d"]) & (r == found["_leak_r"]), "left_anti")

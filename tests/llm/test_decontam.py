@@ -76,3 +76,44 @@ def test_equal_windows_count_where_values_elsewhere_disagree(spark):
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
     got = leaks(docs, bench).collect()
     assert [(r.doc_id, r.item_id, r.n_windows) for r in got] == [(1, 1, 28)]  # of 38, those without the word 40
+
+
+def found(spark, items, texts, **options):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in leaks(docs, bench, **options).collect()}
+
+
+def test_any_white_space_is_one_blank(spark):
+    other = ITEM.replace("Anna", "Petra").replace("12 miles", "15 km")  # asked again, so that only templates find it
+    texts = [t for x in (ITEM, other) for t in (x, "\n".join(x.split()), x.replace(" ", "  "), x.replace("while her", "while\n\n her").replace("3 hours", "3\thours"), re.sub(r" (?=[A-Z0-9])", "\r\n", x), re.sub(r" (?=miles|km|hours)", "  ", x))]
+    assert found(spark, [ITEM], texts) == {(k, 0) for k in range(len(texts))}
+
+
+def test_short_items_and_values_that_disagree_in_poor_windows(spark):
+    items = ["Name seven rivers of the old world", "We put 12 red 7 blue 9 green 5 black 8 12 round ones and some other balls into the box"]
+    texts = ["He said: Name seven rivers of the old world, please", items[1].replace("8 12", "8 4"), items[1].replace("12", "14")]
+    assert found(spark, items, texts) == {(0, 0), (2, 1)}
+
+
+def test_a_shared_window_does_not_multiply(spark):
+    shared = "answer the following question by choosing exactly one of the options that are listed below it"
+    items = [f"{shared} w{k}a w{k}b w{k}c" for k in range(30)]
+    texts = [f"text {k} {shared} end" for k in range(30)] + [items[17]]
+    got = found(spark, items, texts)
+    assert got == {(k, 0) for k in range(31)} | {(30, 17)}
+    assert found(spark, items, texts, chunk=0) == got  # joined by a shuffle
+
+
+def test_windows_of_other_items_count_where_a_run_disagrees(spark):
+    both = "a train leaves the town at {} and goes on to the next station"
+    items = ["the count is 7 here " + both.format(7), "some other words before " + both.format(8)]
+    assert found(spark, items, ["the count is 9 here " + both.format(8)]) == {(0, 1)}
+
+
+def test_null_and_repeated_items(spark):
+    bench = spark.createDataFrame([(None, ITEM), (3, ITEM), (2, ITEM), (9, None), (None, "some words that are an item without an id")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (1, "x"), (None, "some words that are an item without an id")], "doc_id long, `text.x` string")
+    assert sorted(((r.doc_id, r.item_id) for r in leaks(docs, bench, text_col="text.x").collect()), key=str) == [(1, 2), (None, None)]
+    assert [tuple(r) for r in decontaminate(docs, bench, text_col="text.x").collect()] == [(1, "x")]
+    assert [tuple(r) for r in decontaminate(docs, bench, text_col="text.x", broadcast_rows=0).collect()] == [(1, "x")]
