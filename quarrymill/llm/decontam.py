@@ -38,9 +38,8 @@ UNITS = (
     "dollars?|euros?|cents?|usd|eur|gbp|degrees?|watts?|volts?|kwh|kmh|mph|km|cm|mm|kg|mg|lbs?|oz|ml|hz|khz|mhz|ghz|kb|mb|gb|tb|ms|min|hrs?|m|g|l|s|h"
 )
 _LOOSE = r"[^\s\p{L}\p{N}]*"
-#: White space of any kind, as a class and as the characters that can stand at the ends of a text.
+#: White space of any kind.
 _SPACE = r"[\s\p{Z}]+"
-_BLANKS = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SIZES = (4, 2, 1)
 
 
@@ -73,8 +72,7 @@ def raw_words(text: Column) -> Column:
 
 
 def _words(t: Column) -> Column:
-    t = F.btrim(t, F.lit(_BLANKS))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, _SPACE))
+    return F.array_remove(F.split(t, _SPACE), "")
 
 
 def _is_slot(w: Column) -> Column:
@@ -86,6 +84,11 @@ def _gram(words: str, at: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(words, at - 1 + k) for k in range(size)])
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), which is worked out once however often and deep body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, width: int, literal: int, shortest: int) -> DataFrame:
     """(i, key, t, raw, n, w, marks, rich) of every distinct text: i its hash, key its smallest item id (LAST_ID for none), w the width of its
     windows; marks has a 1 for every literal word, rich for every start of a window that is looked for by its template."""
@@ -112,7 +115,7 @@ def registered(items: DataFrame, width: int) -> DataFrame:
     x = x.select("i", "key", "p", is_rich.alias("is_rich"), window.alias("window"), *[F.when(F.col("p") + s - 1 <= F.col("n"), _gram("raw", F.col("p"), s)).alias(f"h{s}") for s in SIZES],
                  *[(F.substr("marks", F.col("p"), F.lit(s)) == "1" * s).alias(f"l{s}") for s in SIZES])
     for s in SIZES:  # the grams that may stand for the window that begins here: the rarest in the benchmark
-        x = x.withColumn(f"spread{s}", F.count("*").over(Window.partitionBy(f"h{s}")))
+        x = x.withColumn(f"spread{s}", F.count("*").over(Window.partitionBy(F.coalesce(f"h{s}", F.xxhash64("i", "p")))))
     for s in SIZES:
         inside = Window.partitionBy("i").orderBy("p").rowsBetween(0, width - s)
         gram = F.when(F.col(f"h{s}").isNotNull(), F.struct(F.col(f"spread{s}").alias("spread"), F.col(f"h{s}").alias("h"), F.lit(s).alias("size"), F.col("p").alias("place")))
@@ -131,9 +134,10 @@ def _aligned(rows: DataFrame, grams: DataFrame, chunk: int, chunk_bytes: int, si
     """(d, r, text, at): documents that hold registered grams, with the items and shifts that these align them with."""
     sizes = sorted((x[0] for x in grams.select("size").distinct().collect()), reverse=True)  # at most three
     small = size_of[0] <= chunk and size_of[1] <= chunk_bytes
-    # explode of a plain column is compiled together with the join: the words are handed on by reference, and texts are copied for matches only
-    at = rows.withColumn("raw", raw_words(F.col("text"))).withColumn("places", F.when(F.size("raw") > 0, F.sequence(F.lit(1), F.size("raw"))))
-    at = at.select("d", "r", *(["text"] if small else []), "raw", F.explode("places").alias("pos"))
+    # explode keeps an optimizer from working out its input again for every use; it is compiled together with the join, so that
+    # the words are handed on by reference and texts are copied for matches only
+    at = rows.select("d", "r", *(["text"] if small else []), F.explode(F.array(raw_words(F.col("text")))).alias("raw")).where(F.size("raw") > 0)
+    at = at.select("*", F.explode(F.sequence(F.lit(1), F.size("raw"))).alias("pos"))
     hashes = [_gram("raw", F.col("pos"), s) for s in sizes or SIZES[:1]]
     at = at.withColumn("h", hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes)))
     shift = F.struct("i", (F.col("pos") - F.col("place")).alias("shift"))
@@ -156,29 +160,32 @@ def leaks(
     size_of = grams.count(), items.agg(F.coalesce(F.sum(F.expr("aggregate(raw, 0L, (s, x) -> s + octet_length(x) + 16)")), F.lit(0))).first()[0]
     d, r, text = _keyed(docs, id_col, text_col)
     found = _aligned(docs.select(d.alias("d"), r.alias("r"), text.alias("text")), grams, chunk, chunk_bytes, size_of)
-    found = found.select("d", "r", template(F.col("text")).alias("dt"), raw_words(F.col("text")).alias("dr"), F.explode("at").alias("at"))
-    found = found.select("d", "r", "dt", "dr", "at.i", "at.shift").join(items, "i")
+    # written once: the templates are worked out once for all alignments
+    found = materialize(found.select("d", "r", template(F.col("text")).alias("dt"), raw_words(F.col("text")).alias("dr"), "at"), "decontam-aligned")
+    found = found.select("d", "r", "dt", "dr", F.explode("at").alias("at")).select("d", "r", "dt", "dr", "at.i", "at.shift").join(items, "i")
     # words of the item that stand against equal words of the document, as a text of 1 and 0; a window is w ones
-    place, ones = F.sequence(F.lit(0), F.col("n") - 1), F.repeat(F.lit("1"), F.col("w"))
+    place, starts = F.sequence(F.lit(0), F.col("n") - 1), F.sequence(F.lit(1), F.col("n") - F.col("w") + 1)
     same = lambda mine, theirs: F.array_join(F.transform(place, lambda k: F.when(F.get(mine, k) == F.get(theirs, k + F.col("shift")), "1").otherwise("0")), "")
-    windows = lambda s: F.filter(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1), lambda o: F.substr(s, o, F.col("w")) == ones)
+    windows = lambda s: _let(s, lambda s: _let(F.repeat(F.lit("1"), F.col("w")), lambda ones: F.filter(starts, lambda o: F.substr(s, o, F.col("w")) == ones)))
     found = found.withColumn("same", F.when(F.size("dt") == F.size("dr"), same("t", "dt")).otherwise(F.repeat(F.lit("0"), F.col("n")))).withColumn("equal", windows(same("raw", "dr")))
     found = found.withColumn("by_template", F.filter(windows(F.col("same")), lambda o: F.substr("rich", o, F.lit(1)) == "1"))
-    found = found.where((F.size("equal") > 0) | (F.size("by_template") > 0))
+    found = materialize(found.where((F.size("equal") > 0) | (F.size("by_template") > 0)).drop("dt", "t", "raw"), "decontam-windows")
+    found = found.join(items.select("i", "t", "raw"), "i")
     # a run of equal template words is named by the number of unequal ones before it; its values have to agree
     run = lambda o: F.char_length(F.replace(F.substr("same", F.lit(1), o), F.lit("1"), F.lit("")))
     slots = F.filter(place, lambda k: (F.substr("marks", k + 1, F.lit(1)) == "0") & (F.substr("same", k + 1, F.lit(1)) == "1"))
-    pairs = F.transform(slots, lambda k: F.struct(run(k + 1).alias("run"), F.get("t", k).alias("kind"), F.get("raw", k).alias("mine"), F.get("dr", k + F.col("shift")).alias("theirs")))
-    found = found.withColumn("pairs", F.array_distinct(pairs))
-    of = lambda z: F.filter("pairs", lambda p: p["run"] == z)
-    steady = lambda z: F.size(of(z)) == F.size(F.array_distinct(F.transform(of(z), lambda p: F.struct(p["kind"], p["mine"]))))
-    found = found.withColumn("steady", F.filter(F.array_distinct(F.transform("by_template", run)), steady))
-    found = found.withColumn("kept", F.filter("by_template", lambda o: F.array_contains("steady", run(o))))
-    found = found.withColumn("n_slots", F.size(F.filter("pairs", lambda p: F.array_contains("steady", p["run"]))))
+    pairs = F.array_distinct(F.transform(slots, lambda k: F.struct(run(k + 1).alias("run"), F.get("t", k).alias("kind"), F.get("raw", k).alias("mine"), F.get("dr", k + F.col("shift")).alias("theirs"))))
+    runs = F.array_distinct(F.transform("by_template", run))
+    agree = lambda x: F.size(x) == F.size(F.array_distinct(F.transform(x, lambda p: F.struct(p["kind"], p["mine"]))))
+    steady = _let(pairs, lambda x: F.filter(F.transform(runs, lambda z: F.struct(z.alias("run"), F.filter(x, lambda p: p["run"] == z).alias("pairs"))), lambda y: agree(y["pairs"])))
+    found = found.withColumn("steady", steady)
+    found = found.withColumn("kept", _let(F.col("steady.run"), lambda good: F.filter("by_template", lambda o: F.array_contains(good, run(o)))))
+    found = found.withColumn("n_slots", F.aggregate("steady", F.lit(0), lambda n, y: n + F.size(y["pairs"])))
+    found = materialize(found.select("d", "r", "key", "dr", "shift", "w", "by_template", "kept", "equal", "n_slots"), "decontam-kept")
     kept = found.select("d", "r", "key", F.size(F.array_union("kept", "equal")).alias("windows"), "n_slots")
     # a window that is registered for another item is only lost where values beside it disagree there: such windows are looked up as they are
     lost = F.array_except("by_template", F.array_union("kept", "equal"))
-    lost = found.select("d", "r", F.explode(F.transform(lost, lambda o: F.xxhash64(F.slice("dr", o + F.col("shift"), F.col("w"))))).alias("v"))
+    lost = found.where(F.size(lost) > 0).select("d", "r", F.explode(F.transform(lost, lambda o: F.xxhash64(F.slice("dr", o + F.col("shift"), F.col("w"))))).alias("v"))
     raw = items.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1), lambda o: F.xxhash64(F.slice("raw", o, F.col("w"))))).alias("v")).groupBy("v").agg(F.min("key").alias("key"))
     kept = kept.unionByName(lost.distinct().join(raw, "v").groupBy("d", "r", "key").agg(F.count("*").cast("int").alias("windows"), F.lit(0).alias("n_slots")))
     out = kept.where("windows > 0").groupBy("d", "r", "key").agg(F.sum("windows").alias("n_windows"), F.max("n_slots").cast("long").alias("n_slots"))
