@@ -1,12 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Words are hashed to buckets; a document's features are the buckets that occur in its whole text. Buckets
-whose occurrence is tied to the labels (likelihood ratio) are kept, then a factorization machine with a
-weight and a latent vector per bucket is fitted: its pairwise term sees that two words occur together,
-which additive weights miss.
+Words are hashed to buckets; a document's features are the buckets that occur in its whole text. A factorization machine
+with a weight and a latent vector per bucket is fitted to the buckets that are tied to the labels (likelihood ratio), by
+themselves or as one of a pair: a pair counts where the share of toxic rows among those that hold both differs from what
+the two shares predict when they add up. So terms that matter only together are kept, and the pairwise term
+learns what additive weights miss. Pairs are looked for among the `pair_terms` buckets that occur in most rows.
 
-Fitting uses at most `max_train` labelled rows, the ones whose id has the smallest hash (a documented
-bound, so the driver holds a bounded number of features); scoring reads every document whole.
+Fitting uses at most `max_train` labelled rows, the ones with the smallest hash of id and text, and at most `max_features`
+buckets of all of them together (documented bounds, so the driver holds a bounded number of features, however long the
+texts and however often an id is repeated; rows equal in id and text count once). Scoring reads every document whole.
 
 Defined cases: null text counts as empty; an empty text gets the score of the bias alone. An id with
 several labels counts as toxic if any of them says so; null ids and null labels teach nothing. Without
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, remainder_of_id, require
+from .common import WordHashes, column, materialize, release, remainder_of_id, require
 
 WORD = re.compile(r"\w+")
 
@@ -76,24 +78,59 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if len(rows) and sizes.sum() else np.zeros(0, np.int64)), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, buckets: int, keep: int, least: float) -> FactorizationMachine:
-    """Chooses at most `keep` buckets by likelihood ratio (at least `least`) and fits the machine to them."""
+def _tied(both: np.ndarray, toxic: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Likelihood ratio of `toxic` out of `both` rows against a share."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda o, e: np.where(o > 0, o * np.log(o / e), 0.0)
+        return 2 * (part(toxic, both * share) + part(both - toxic, both * (1 - share)))
+
+
+def paired(slots: list[np.ndarray], y: np.ndarray, a: np.ndarray, df: np.ndarray, least: float, chunk: int = 1024) -> np.ndarray:
+    """Which buckets take part in a pair whose toxic share differs from what their own shares add up to. slots: buckets of each
+    row; a, df: toxic rows and rows by bucket."""
+    k = len(df)
+    both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for at in range(0, len(slots), chunk):
+        part = slots[at : at + chunk]
+        m = np.zeros((len(part), k), np.float32)
+        m[np.repeat(np.arange(len(part)), list(map(len, part))), np.concatenate(part) if part else []] = 1
+        both += m.T @ m
+        m = m[y[at : at + chunk] > 0]
+        toxic += m.T @ m
+    logit = lambda p: np.log(p / (1 - p))
+    own, base = logit((a + 0.5) / (df + 1)), logit((y.sum() + 0.5) / (len(y) + 1))
+    out = np.zeros(k, bool)
+    for i in range(k):  # a row of pairs at a time
+        share = 1 / (1 + np.exp(-np.clip(own[i] + own - base, -30, 30)))
+        tie = _tied(both[i].astype(np.float64), toxic[i].astype(np.float64), np.clip(share, 1e-6, 1 - 1e-6))
+        tie[i] = 0
+        out |= (tie >= least) & (both[i] >= 3)
+    return out
+
+
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, buckets: int, keep: int, least: float, pair_terms: int = 2048, least_pair: float = 40.0) -> FactorizationMachine:
+    """Chooses at most `keep` buckets by likelihood ratio (at least `least`), and those of pairs, and fits the machine to them."""
     share = float(y.mean()) if len(y) else 0.0
     bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if not len(y) or share in (0.0, 1.0):
         return FactorizationMachine(np.zeros(0, np.int64), bias)
-    flat, starts = _flat(rows)
+    flat, _ = _flat(rows)
     label = np.repeat(y, [len(r) for r in rows])
-    n1, n0 = float(y.sum()), float((1 - y).sum())
     a = np.bincount(flat, label, buckets)
-    b = np.bincount(flat, 1 - label, buckets)
-    df, n = a + b, n1 + n0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = lambda o, e: np.where(o > 0, o * np.log(o / e), 0.0)
-        g2 = 2 * (part(a, df * n1 / n) + part(b, df * n0 / n) + part(n1 - a, (n - df) * n1 / n) + part(n0 - b, (n - df) * n0 / n))
+    df = np.bincount(flat, minlength=buckets)
+    n1, n = float(y.sum()), float(len(y))
+    g2 = _tied(df, a, share) + _tied(n - df, n1 - a, share)
     g2[df < 3] = 0
     chosen = np.argsort(-g2, kind="stable")[:keep]
-    chosen = np.sort(chosen[g2[chosen] >= least])
+    chosen = chosen[g2[chosen] >= least]
+    common = np.argsort(-df, kind="stable")[:pair_terms]
+    common = np.sort(common[(df[common] >= 3) & (df[common] < n)])
+    if len(common):
+        place = np.full(buckets, -1)
+        place[common] = np.arange(len(common))
+        slots = [s[s >= 0] for s in (place[r] for r in rows)]
+        chosen = np.union1d(chosen, common[paired(slots, y, a[common], df[common], least_pair)])
+    chosen = np.unique(chosen)
     machine = FactorizationMachine(chosen, bias)
     if len(chosen):
         slot = np.full(buckets, -1)
@@ -105,20 +142,20 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, buckets: int, keep: int,
 
 def teach(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    held_out_mod: int = 4, held_out: int = 2, max_train: int = 15_000, bits: int = 18, keep: int = 4096, least: float = 12.0,
+    held_out_mod: int = 4, held_out: int = 2, max_train: int = 20_000, max_features: int = 32_000_000, bits: int = 18, keep: int = 4096, least: float = 12.0,
 ) -> tuple[FactorizationMachine, int]:
     """The machine fitted to the labelled rows that are not held out, and its number of hash bits."""
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
     buckets = 1 << bits
-    truth = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null")
+    truth = labels.select(column(labels, id_col).cast("long").alias("id"), column(labels, label_col).cast("int").alias("y")).where("id is not null and y is not null")
     truth = truth.where(remainder_of_id(F.col("id"), held_out_mod) != held_out).groupBy("id").agg(F.max("y").alias("y"))
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    texts = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
     # ids and labels only: bounded, so it may be broadcast; a first cut by hash keeps the top-k itself small on any input
     share = min(1.0, 1.1 * max_train / max(truth.count(), 1))
     near = F.pmod(F.shiftrightunsigned(F.xxhash64("id"), 24), F.lit(1 << 30)) < int(share * (1 << 30))
     chosen = truth.where(near).orderBy(F.xxhash64("id"), "id").limit(max_train)
-    sample = texts.join(F.broadcast(chosen), "id")
+    sample = texts.withColumn("r", F.xxhash64("text")).join(F.broadcast(chosen), "id")
 
     def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes(seed=3)
@@ -127,9 +164,17 @@ def teach(
             for t in b["text"]:
                 words = list(set(WORD.findall(t.lower()))) if isinstance(t, str) else []
                 sets.append(np.unique(hashes.of(words) & np.uint64(buckets - 1)).astype(np.int32).tobytes())
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "f": sets})
-
-    taught = sample.mapInPandas(occur, "id long, y int, f binary").toPandas().sort_values(["id", "f"])
+            yield pd.DataFrame({"id": b["id"], "r": b["r"], "y": b["y"], "f": sets})
+
+    found = materialize(sample.mapInPandas(occur, "id long, r long, y int, f binary").dropDuplicates(["id", "r"]), "toxicity-features")
+    # an id may have many rows, and a row many features: cut by hash, so that what is left is a sample of the whole
+    n_rows, n_features = found.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("f") / 4), F.lit(0.0))).first()
+    share = min(1.0, max_train / max(n_rows, 1), max_features / max(n_features, 1))
+    if share < 1:
+        found = found.where(F.pmod(F.shiftrightunsigned(F.xxhash64("id", "r"), 24), F.lit(1 << 30)) < int(share * (1 << 30)))
+        found = found.orderBy(F.xxhash64("id", "r"), "id", "r").limit(max_train)
+    taught = found.toPandas().sort_values(["id", "r"])
+    release(found)
     rows = [np.frombuffer(f, np.int32) for f in taught["f"]]
     return fit_machine(rows, taught["y"].to_numpy(np.float64), buckets, keep, least), bits
 
@@ -161,12 +206,12 @@ def scorer(machine: FactorizationMachine, bits: int):
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, held_out_mod: int = 4, held_out: int = 2, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     score = scorer(*teach(docs, labels, id_col, text_col, held_out_mod=held_out_mod, held_out=held_out, **options))
-    ids = docs[id_col].cast("long")
-    out = docs.select(ids.alias("doc_id"), (remainder_of_id(ids, held_out_mod) == held_out).alias("held_out"), score(docs[text_col].cast("string")).alias("score"))
+    ids = column(docs, id_col).cast("long")
+    out = docs.select(ids.alias("doc_id"), (remainder_of_id(ids, held_out_mod) == held_out).alias("held_out"), score(column(docs, text_col).cast("string")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
     """docs without the rows that score at least the threshold; columns as they were, and nothing is shuffled."""
     score = scorer(*teach(docs, labels, id_col, text_col, **options))
-    return docs.where(score(docs[text_col].cast("string")) < threshold)
+    return docs.where(score(column(docs, text_col).cast("string")) < threshold)

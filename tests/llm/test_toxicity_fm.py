@@ -53,3 +53,34 @@ def test_edges(spark):
     assert score_toxicity(docs.limit(0), labels).count() == 0
     with pytest.raises(ValueError):
         score_toxicity(docs.drop("text"), labels)
+
+
+def test_words_that_matter_only_together(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(1600):
+        a, b = rng.integers(0, 2, 2)
+        words = [f"w{k}" for k in rng.integers(0, 60, 12)] + ["grue"] * int(a) + ["blarg"] * int(b)
+        rows.append((i, " ".join(rng.permutation(words)), int(a == b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(docs, labels).collect()}
+    held = [(got[i].score > 0.5) == (y == 1) for i, _, y in rows if got[i].held_out]
+    assert len(held) > 300 and sum(held) / len(held) > 0.97
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = [(1, f"bad word {k}") for k in range(300)] + [(4, "good")] * 300 + [(8, "x " + " ".join(f"v{k}" for k in range(3000)))]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (4, 0), (8, 0), (11, 1)], "doc_id long, toxic int")
+    seen = []
+    from quarrymill.llm import toxicity_fm
+
+    whole = toxicity_fm.fit_machine
+    toxicity_fm.fit_machine = lambda rows, y, *more: (seen.append((len(rows), sum(map(len, rows)))), whole(rows, y, *more))[1]
+    try:
+        assert score_toxicity(docs, labels, held_out_mod=1, held_out=1).count() == 601
+        score_toxicity(docs, labels, held_out_mod=1, held_out=1, max_train=50)
+        score_toxicity(docs, labels, held_out_mod=1, held_out=1, max_features=200)
+    finally:
+        toxicity_fm.fit_machine = whole
+    assert seen[0][0] == 302 and seen[1][0] <= 50 and seen[2][1] <= 200 + 3001
