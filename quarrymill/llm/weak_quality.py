@@ -2,12 +2,15 @@
 
 Overlapping heuristic labellers look at each whole text and vote good, bad or nothing. The votes of all documents
 are counted by pattern (at most 3^labellers patterns, whatever the input), and expectation-maximisation over
-these counts estimates each labeller's accuracy in either class. The posteriors of the patterns are the labels
-from which a hashed linear scorer learns; it sees words, marks and shapes, so it also judges documents for
-which no labeller votes. True labels are never used.
+these counts estimates how often each labeller is right. Labellers overlap: bad documents are bad in one of several
+ways, and those who look at the same thing agree on it. So the model has one class of good documents and one
+kind of bad ones per labeller to begin with; within a class votes are independent. Nothing but the start and
+a weak prior (`pseudo` votes) says which class is which; kinds that no document needs end without a share. The posteriors of the
+patterns are the labels from which a hashed linear scorer learns; it sees words, marks and shapes, so it also judges
+documents for which no labeller votes. True labels are never used.
 
-Counts and accuracies cover all documents. The scorer learns from at most `max_train` documents, the ones whose id
-has the smallest hash (a documented bound).
+Counts and accuracies cover all documents. The scorer learns from at most `max_train` documents, the ones whose id and text
+have the smallest hash, with at most `max_features` features in all (documented bounds; rows equal in id and text count once).
 
 Defined cases: null text counts as empty; an empty text is bad for the labellers that look at length. Null ids
 are scored like others, but teach nothing. Rows that repeat an id are scored one by one. An empty table gives
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, require
+from .common import WordHashes, column, materialize, require
 
 TERM = re.compile(r"\w+|[^\w\s]+")
 # Sentence ends that prose uses.
@@ -114,33 +117,27 @@ def votes(text: str) -> str:
     return "".join(out)
 
 
-def fit_votes(patterns: dict[str, int], prior: float = 0.85, rounds: int = 100) -> tuple[dict[str, float], np.ndarray, float]:
-    """Expectation-maximisation for labellers that vote independently within a class: P(good) by pattern, P(vote | class) as
-    (class, labeller, vote), and the share of good documents. Starts from labellers that are mostly right."""
+def fit_votes(patterns: dict[str, int], prior: float = 0.85, rounds: int = 200, pseudo: float = 20.0) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
+    """Expectation-maximisation over counted patterns: P(good) by pattern; P(bad vote | a vote, class) as (class, labeller),
+    where class 0 is good and class k + 1 the kind of bad documents that labeller k saw first; the classes' shares.
+    A labeller that gives no vote says nothing."""
     k = len(LABELLERS)
     names = sorted(patterns)
     count = np.array([patterns[p] for p in names], float)
-    code = np.array([["-0+".index(v) for v in p] for p in names]) if names else np.zeros((0, k), int)
-    table = np.zeros((2, k, 3))
-    table[0], table[1] = (0.4, 0.3, 0.3), (0.05, 0.15, 0.8)
-    bad_votes = np.clip(((code == 0) * count[:, None]).sum(0) / max(count.sum(), 1), 1e-6, 0.5)
-    good = prior
-    post = np.full(len(names), prior)
-    for _ in range(rounds if len(names) else 0):
-        # a labeller that gives no vote says nothing: accuracies are those of the votes that are given
-        given = table[:, :, [0, 2]].sum(2)
-        log = [np.log(share) + np.where(code == 1, 0.0, np.log(table[c][np.arange(k), code] / given[c])).sum(1) for c, share in ((0, 1 - good), (1, good))]
-        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-        good = float(np.clip((post @ count + 1.7) / (count.sum() + 2), 0.02, 0.98))
-        for c, w in ((0, (1 - post) * count), (1, post * count)):
-            for v in range(3):
-                table[c, :, v] = ((code == v) * w[:, None]).sum(0) + 0.5
-            table[c] /= table[c].sum(1, keepdims=True)
-        # the one assumption about labellers: a bad vote is at most a tenth as likely for a good document as for any
-        for c, bound in ((1, np.minimum(table[1, :, 0], 0.1 * bad_votes)), (0, np.maximum(table[0, :, 0], np.minimum(2 * bad_votes, 0.9)))):
-            table[c, :, 1:] *= ((1 - bound) / (1 - table[c, :, 0]))[:, None]
-            table[c, :, 0] = bound
-    return dict(zip(names, post.tolist())), table, good
+    bad = np.array([[v == "-" for v in p] for p in names], float).reshape(len(names), k)
+    given = np.array([[v != "0" for v in p] for p in names], float).reshape(len(names), k)
+    start = np.full((k + 1, k), 0.1)
+    start[0], start[np.arange(1, k + 1), np.arange(k)] = 0.01, 0.7
+    table, share = start.copy(), np.array([prior] + [(1 - prior) / k] * k)
+    post = np.full((len(names), k + 1), 1.0)
+    for _ in range(rounds if names else 0):
+        log = np.log(share) + bad @ np.log(table).T + (given - bad) @ np.log(1 - table).T
+        post = np.exp(log - log.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        weight = post * count[:, None]
+        share = (weight.sum(0) + 1) / (count.sum() + k + 1)
+        table = (weight.T @ bad + pseudo * start) / (weight.T @ given + pseudo)
+    return dict(zip(names, post[:, 0].tolist())), table, share
 
 
 def features(text: str, hashes: WordHashes, mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +180,12 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: i
     return w, b
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, max_train: int = 10_000, bits: int = 18) -> DataFrame:
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, max_train: int = 10_000, max_features: int = 16_000_000, bits: int = 18) -> DataFrame:
     """(doc_id, votes, label, score, predicted) for every row: label is the labellers' posterior of good, score the
     linear scorer's, predicted 1 if score reaches the threshold."""
     require(docs, id_col, text_col)
     size = 1 << bits
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -200,17 +197,22 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posterior, _, _ = fit_votes(patterns)
     # a first cut by hash keeps the top-k itself small on any input
     share = min(1.0, 1.1 * max_train / max(sum(patterns.values()), 1))
-    near = F.pmod(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(29)), 24), F.lit(1 << 30)) < int(share * (1 << 30))
-    chosen = voted.where(near & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id", "r").limit(max_train).dropDuplicates(["doc_id", "r"])
+    draw = F.xxhash64("doc_id", "r", F.lit(29))
+    near = F.pmod(F.shiftrightunsigned(draw, 24), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = voted.where(near & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "r"]).orderBy(draw, "doc_id", "r").limit(max_train)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes(seed=9)
         for b in batches:
             both = [features(t, hashes, size - 1) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "votes": b["votes"], "k": [k.astype(np.int32).tobytes() for k, _ in both], "v": [v.astype(np.float32).tobytes() for _, v in both]})
-
-    taught = keyed.join(F.broadcast(chosen.select("doc_id", "r", "votes")), ["doc_id", "r"]).mapInPandas(describe, "doc_id long, votes string, k binary, v binary")
-    taught = taught.toPandas().sort_values(["doc_id", "k"])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "r": b["r"], "votes": b["votes"], "k": [k.astype(np.int32).tobytes() for k, _ in both], "v": [v.astype(np.float32).tobytes() for _, v in both]})
+
+    sample = keyed.join(F.broadcast(chosen.select("doc_id", "r", "votes")), ["doc_id", "r"]).dropDuplicates(["doc_id", "r"])  # at most max_train rows
+    taught = materialize(sample.mapInPandas(describe, "doc_id long, r long, votes string, k binary, v binary"), "quality-features")
+    n_features = taught.agg(F.coalesce(F.sum(F.octet_length("k") / 4), F.lit(0.0))).first()[0]
+    if n_features > max_features:  # long texts: fewer rows, drawn by hash
+        taught = taught.where(F.pmod(F.shiftrightunsigned(draw, 24), F.lit(1 << 30)) < int(share * max_features / n_features * (1 << 30)))
+    taught = taught.toPandas().sort_values(["doc_id", "r"])
     y = np.array([posterior[p] for p in taught["votes"]], float)
     w, bias = fit_linear([(np.frombuffer(k, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for k, v in zip(taught["k"], taught["v"])], y, size)
     weights = {int(i): float(w[i]) for i in np.flatnonzero(w)}
