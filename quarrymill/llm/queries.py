@@ -85,7 +85,7 @@ QUERIES |= {"op10_weak_quality": op10_weak_quality}
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pfair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return mixed.select("doc_id", "mix_source", "mix_phase", "mix_block", "mix_slot", "mix_order")
+    return mixed.select("doc_id", "mix_source", "mix_period", "mix_block", "mix_slot", "mix_order")
 
 
 def op7_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
