@@ -6,7 +6,8 @@ tiers by size, and where a run of `fanout` or more shards of a tier lie next to
 after tier, up to the target size; each merged file is then written once, from the arrivals it consists of, by
 one task that reads them in order (no shuffle). A commit writes the next manifest under a temporary name and
 renames it while holding an exclusively created lock file, so that readers see one version or the next, and two
-writers can't both commit the same one. Readers of older versions keep working until vacuum().
+writers can't both commit the same one. A writer that dies leaves its lock; after `lock_seconds` the next one removes it.
+Readers of older versions keep working until vacuum(), which also deletes what failed attempts left.
 
 Defined cases: an empty arrival adds no shard but a version; rows are kept as they are, whatever they hold; a lone
 run smaller than fanout stays as it is until more arrives; a single arrival above the target is kept whole.
@@ -15,14 +16,14 @@ run smaller than fanout stays as it is until more arrives; a single arrival abov
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
-
+from .common import column, shared_dir
 
 TAKEN = {"shard", "position", "_name"}
 
@@ -66,8 +67,11 @@ def plan_merges(sizes: list[int], target: int, fanout: int, least: int = 1 << 20
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str | None = None, lock_seconds: int = 900):
+        self.spark, self.lock_seconds = spark, lock_seconds
+        # a session of its own for copies, so that the user's settings stay: a union of single partitions must not become one
+        self._copies = spark.newSession()
+        self._copies.conf.set("spark.sql.unionOutputPartitioning", "false")
         self.root = (root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}").rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
@@ -99,31 +103,40 @@ class Store:
         new = {"version": base["version"] + 1, "schema": base.get("schema") or schema, "shards": shards}
         name = f"manifests/v{new['version']:010d}.json"
         lock = self._path(f"{name}.lock")
-        try:
-            self._fs.create(lock, False).close()
-        except Exception as e:
-            raise Conflict(f"version {new['version']} is being written or is there") from e
-        if self._fs.exists(self._path(name)):
-            raise Conflict(f"version {new['version']} is there")
+        if not self._lock(lock) or self._fs.exists(self._path(name)):
+            raise Conflict(f"version {new['version']} is being written or is there")
         temporary = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        if not self._fs.rename(temporary, self._path(name)):
-            raise Conflict(f"version {new['version']} can't be committed")
+        try:
+            out = self._fs.create(temporary, True)
+            out.write(bytearray(json.dumps(new).encode()))
+            out.close()
+            if self._fs.exists(self._path(name)) or not self._fs.rename(temporary, self._path(name)):
+                raise Conflict(f"version {new['version']} can't be committed")
+        finally:
+            self._fs.delete(lock, False)
         return new
 
+    def _age(self, path) -> float:
+        return time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000
+
+    def _lock(self, lock) -> bool:
+        """Creates the lock; one that is older than lock_seconds belongs to a writer that is gone."""
+        for _ in range(2):
+            try:
+                self._fs.create(lock, False).close()
+                return True
+            except Exception:  # noqa: BLE001 - file systems have their own errors for a file that is there
+                if not self._fs.exists(lock) or self._age(lock) < self.lock_seconds:
+                    return False
+                self._fs.delete(lock, False)
+        return False
+
     # shards
 
     def _write(self, df: DataFrame) -> list[dict]:
         """Files of a folder of its own, by name; what a failed attempt leaves is in no manifest."""
-        folder, together = f"data/{uuid.uuid4().hex}", "spark.sql.unionOutputPartitioning"
-        before = self.spark.conf.get(together, None)
-        self.spark.conf.set(together, "false")  # else a union of single partitions becomes a single partition
-        try:
-            df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        finally:
-            self.spark.conf.unset(together) if before is None else self.spark.conf.set(together, before)
+        folder = f"data/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         found = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._path(folder))]
         return [{"name": f"{folder}/{n}", "bytes": size} for n, size in sorted(found) if n.endswith(".parquet")]
 
@@ -132,7 +145,7 @@ class Store:
         Columns named as those that read() adds are stored with _given behind their names. at_once: files that one
         job copies, which bounds its plan."""
         def named(x: DataFrame) -> DataFrame:
-            return x.select(*[x[c].alias(f"{c}_given") if c in TAKEN else x[c] for c in x.columns])
+            return x.select(*[column(x, c).alias(f"{c}_given") if c.lower() in TAKEN else column(x, c) for c in x.columns])
 
         base = self.manifest()
         files = sorted(df.inputFiles()) if in_order else []
@@ -151,7 +164,7 @@ class Store:
 
         def one(files: list[str]) -> DataFrame:
             names = F.array(*[F.lit(f.rsplit("/", 1)[1]) for f in files])
-            x = self.spark.read.schema(schema).parquet(*files)
+            x = self._copies.read.schema(schema).parquet(*files)
             row = F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("_row")  # one column, so that no name in it can clash
             x = x.select(row, F.array_position(names, F.col("_metadata.file_name")).alias("_file_place"), F.col("_metadata.row_index").alias("_row_place"))
             x = x.coalesce(1).sortWithinPartitions("_file_place", "_row_place")
@@ -189,18 +202,28 @@ class Store:
         df = self.spark.read.schema(_schema(m["schema"])).parquet(*[f"{self.root}/{s['name']}" for s in m["shards"]])
         numbers = self.spark.createDataFrame([(s["name"].rsplit("/", 1)[1], i) for i, s in enumerate(m["shards"])], "_name string, shard int")
         df = df.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("position"))
-        df = df.join(F.broadcast(numbers), "_name")  # one row per shard of the manifest
-        return df.select(*[c for c in df.columns if c not in ("_name", "position", "shard")], "shard", "position")
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes shards that the last `keep` versions don't name, and older manifests. Returns how many shards."""
+        if len(m["shards"]) <= 1_000_000:  # one row per shard
+            numbers = F.broadcast(numbers)
+        df = df.join(numbers, "_name")
+        return df.select(*[column(df, c) for c in df.columns if c not in ("_name", "position", "shard")], "shard", "position")
+
+    def vacuum(self, keep: int = 1, older_than: float = 86_400) -> int:
+        """Deletes shards that the last `keep` versions don't name, and older manifests; also folders, locks and temporary
+        manifests that no version names and that are older than `older_than` seconds: failed attempts left them. Returns how many shards went."""
         known = self.versions()
         stay = {s["name"] for v in known[-keep:] for s in self.manifest(v)["shards"]}
-        gone = {s["name"] for v in known[:-keep] for s in self.manifest(v)["shards"]} - stay
+        named = {s["name"] for v in known for s in self.manifest(v)["shards"]}
+        gone = named - stay
         for name in gone:
             self._fs.delete(self._path(name), False)
         for v in known[:-keep]:
             self._fs.delete(self._path(f"manifests/v{v:010d}.json"), False)
+        folders = {n.rsplit("/", 1)[0] for n in stay}
+        for parent, mine in (("data", lambda n: f"data/{n}" not in folders), ("manifests", lambda n: n.endswith((".tmp", ".lock")))):
+            for s in self._fs.listStatus(self._path(parent)) if self._fs.exists(self._path(parent)) else []:
+                name = s.getPath().getName()
+                if mine(name) and (self._age(s.getPath()) > older_than or (parent == "data" and any(n.startswith(f"data/{name}/") for n in gone))):
+                    self._fs.delete(s.getPath(), True)
         return len(gone)
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -57,3 +59,27 @@ def test_order_of_files_is_kept(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     got = shard(spark.read.parquet(f"{tmp_path}/in"), in_order=True, target=5000, fanout=2).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.position))] == list(range(200)) and len({r.shard for r in got}) > 1
+
+
+def test_a_writer_that_died_is_no_obstacle(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), lock_seconds=1)
+    rows = spark.range(100)
+    store.append(rows)
+    (tmp_path / "s/manifests/v0000000002.json.lock").write_text("")
+    with pytest.raises(Conflict):
+        Store(spark, str(tmp_path / "s"), lock_seconds=900).append(rows)
+    orphans = [p.name for p in (tmp_path / "s/data").iterdir()]
+    time.sleep(1.5)
+    store.append(rows)
+    assert store.read().count() == 200 and not list((tmp_path / "s/manifests").glob("*.lock"))
+    assert len(orphans) == 2  # the attempt that failed has left its folder
+    (tmp_path / "s/manifests/v9.json.x.tmp").write_text("")
+    store.vacuum(keep=5, older_than=0)
+    assert store.read().count() == 200 and len(list((tmp_path / "s/data").iterdir())) == 2 and not list((tmp_path / "s/manifests").glob("*.tmp"))
+
+
+def test_any_names(spark, tmp_path):
+    rows = spark.range(20).selectExpr("id", "id Shard", "id POSITION", "id `a.b`", "id _name")
+    got = shard(rows, str(tmp_path / "s"))
+    assert got.columns == ["id", "Shard_given", "POSITION_given", "a.b", "_name_given", "shard", "position"] and got.count() == 20
+    assert spark.conf.get("spark.sql.unionOutputPartitioning", None) in (None, "true")
