@@ -9,8 +9,10 @@ is split `branches` times, each time by another token that its path has not used
 are compared by brute force on all tokens; in buckets that stay large their members are linked to the smallest one.
 There are as many runs as let a pair at the threshold meet with probability `recall` even if its buckets
 are large down to `depth`. Before a large bucket is split, its members are also compared with a
-few pivots of it, so that one of a large group who is alone after the split still meets the group. What was linked is a candidate group, and inside these groups
-all pairs are compared exactly on whole shingle sets: small groups in one task, larger ones block by
+few pivots of it, so that one of a large group who is alone after the split still meets the group. A bucket in which one pivot
+agrees with every other member is one candidate group and needs no split: whatever pair it holds is linked through
+that pivot. So groups of near copies don't multiply; only buckets of unlike documents branch. What was linked is a
+candidate group, and inside these groups all pairs are compared exactly on whole shingle sets: small groups in one task, larger ones block by
 block, so no task holds more than two blocks. Pairs are counted where they are found and never
 emitted; a task gives one row per set, its links and its root. The classes are the connected components of the
 exact links.
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, WordHashes, materialize, release, require
+from .common import LAST_ID, WordHashes, column, materialize, release, require
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -152,16 +154,30 @@ def runs_for(recall: float, threshold: float, tokens: int, first_depth: int, dep
     return next((n for n in range(1, most) if sum(w * (1 - p) ** n for w, p in cases) <= 1 - recall), most)
 
 
-def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, least: float) -> DataFrame:
-    """(u, v): members of large buckets with the first two pivots of their bucket that agree with them. Pivots are the
-    smallest members by `pivots` hashes: picked with partial sums, and a bucket has no more than that many."""
+def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(u, v): links of members of large buckets to pivots that agree with them; and (path) of the buckets in which one pivot agrees with
+    all other members that are no pivots. Pivots are the smallest members by `pivots` hashes: picked with partial sums, and a
+    bucket has no more than that many. In such a bucket all links to that pivot count, and those to pivots that don't agree with it;
+    in the others the first two of each member."""
     chosen = large.groupBy("path").agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(pivots)]).alias("p"))
-    chosen = chosen.select("path", F.explode(F.array_distinct("p")).alias("node")).join(sets.select("node", "signs"), "node")
-    chosen = chosen.groupBy("path").agg(F.collect_list(F.struct("node", "signs")).alias("p"))
+    chosen = chosen.select("path", F.posexplode(F.array_distinct("p")).alias("place", "node")).join(sets.select("node", "signs"), "node")
+    chosen = chosen.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "node", "signs"))).alias("p"))
     rows = large.select("path", "node").join(sets.select("node", "signs"), "node").join(chosen, "path")
-    agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
-    near = F.filter("p", lambda q: (q["node"] != F.col("node")) & (agree(F.col("signs"), q["signs"]) >= math.ceil(least * tokens)))
-    return rows.select(F.col("node").alias("u"), F.explode(F.slice(F.transform(near, lambda q: q["node"]), 1, 2)).alias("v"))
+    agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) >= math.ceil(least * tokens)
+    names = F.transform("p", lambda q: q["node"])
+    rows = rows.select("path", "node", names.alias("names"), F.transform("p", lambda q: agree(F.col("signs"), q["signs"])).alias("near"))
+    rows = materialize(rows.withColumn("is_pivot", F.array_contains("names", F.col("node"))), "join-pivots")
+    # a pivot covers a bucket if no member but other pivots is far from it
+    far = [F.sum(F.when(~F.coalesce(F.get("near", F.lit(k)), F.lit(False)) & ~F.col("is_pivot"), 1).otherwise(0)) for k in range(pivots)]
+    covers = rows.groupBy("path").agg(F.array(*far).alias("far")).select("path", F.array_position("far", F.lit(0)).alias("k")).where("k > 0")
+    centre = F.get("names", F.col("k").cast("int") - 1)
+    # pivots that don't agree with the centre are linked to their own neighbours
+    apart = rows.join(covers, "path").where("is_pivot").where(~F.get("near", F.col("k").cast("int") - 1)).groupBy("path").agg(F.collect_list("node").alias("apart"))
+    linked = F.filter(F.zip_with("names", "near", lambda n, y: F.when(y, n)), lambda n: n.isNotNull() & (n != F.col("node")))
+    rows = rows.join(covers, "path", "left").join(apart, "path", "left").withColumn("linked", linked)
+    of_covered = F.filter("linked", lambda n: (n == centre) | F.coalesce(F.array_contains("apart", n), F.lit(False)))
+    edges = rows.select(F.col("node").alias("u"), F.explode(F.when(F.col("k").isNull(), F.slice("linked", 1, 2)).otherwise(of_covered)).alias("v"))
+    return edges, covers.select("path")
 
 
 def near_duplicates(
@@ -173,7 +189,7 @@ def near_duplicates(
     id; class_id is the smallest id of the class; n_links counts the other sets that are similar."""
     require(docs, id_col, text_col)
     up, down = int(round(threshold * 1000)), 1000
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("d"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(F.coalesce(column(docs, id_col).cast("long"), F.lit(LAST_ID)).alias("d"), column(docs, text_col).cast("string").alias("text"))
     rows = rows.withColumn("r", F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,8 +225,10 @@ def near_duplicates(
         large = sized.where(F.col("n") > bucket)
         if large.isEmpty():
             break
-        if level == first_depth:
-            edges = _to_pivots(large, sets, pivots, tokens, least)
+        linked, whole = _to_pivots(large, sets, pivots, tokens, least)
+        linked = materialize(linked.distinct(), "join-links")
+        edges = linked if edges is None else edges.unionByName(linked)
+        large = large.join(whole, "path", "left_anti")
         if level >= depth:
             edges = edges.unionByName(large.select(F.col("node").alias("u"), F.col("hub").alias("v")))
             break
@@ -319,7 +337,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs, id_col, text_col, **options)
     stay = found.groupBy("class_id").agg(F.min(F.struct("d", "r")).alias("at")).select(F.col("at.d").alias("_d"), F.col("at.r").alias("_r"))
     # the row goes along as one column, so that no name in it can clash
-    row, d = F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("_d")
-    mine = docs.select(row, d, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_r"))
+    row, d = F.struct(*[column(docs, c).alias(c) for c in docs.columns]).alias("_doc"), F.coalesce(column(docs, id_col).cast("long"), F.lit(LAST_ID)).alias("_d")
+    mine = docs.select(row, d, F.xxhash64(F.coalesce(column(docs, text_col).cast("string"), F.lit(""))).alias("_r"))
     one = mine.join(stay, ["_d", "_r"]).dropDuplicates(["_d", "_r"])
     return one.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
