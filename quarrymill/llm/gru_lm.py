@@ -22,6 +22,7 @@ N and V are 0, n_known is 0 and every word is rare. Rows that repeat an id are s
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder_of_id, require
+from .common import column, materialize, remainder_of_id, require
 
 SPACES = "[ \t\n\x0b\x0c\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,6 +83,7 @@ class Gru:
         c = targets // self.per
         a = h @ p["cw"]
         a += p["cb"]
+        a -= a.max(1, keepdims=True)
         at = a[np.arange(len(c)), c]
         np.exp(a, out=a)
         out = at - np.log(a.sum(1))
@@ -92,6 +94,7 @@ class Gru:
             if len(rows):
                 a = h[rows] @ p["ww"][k]
                 a += p["wb"][k]
+                a -= a.max(1, keepdims=True)
                 at = a[np.arange(len(rows)), targets[rows] - k * self.per]
                 np.exp(a, out=a)
                 out[rows] += at - np.log(a.sum(1))
@@ -107,7 +110,7 @@ class Gru:
             hs.append(new)
         flat = np.concatenate(hs[1:])
         y, m = targets.ravel(), mask.ravel().astype(F32)
-        g = {name: np.zeros_like(w) for name, w in p.items()}
+        g = {name: np.zeros_like(w) for name, w in p.items() if name != "x"}
         scale = m / max(m.sum(), 1)
         c = y // self.per
         rows_all = np.arange(len(y))
@@ -165,88 +168,88 @@ class Gru:
         x = inputs.ravel()
         by = np.argsort(x, kind="stable")
         first = np.flatnonzero(np.diff(x[by], prepend=-1))
-        g["x"][x[by][first]] = np.add.reduceat(dx[by], first, 0)
+        g["x"] = (x[by][first], np.add.reduceat(dx[by], first, 0))  # of the words that occur
         return g, hs[-1], float(loss)
 
-    def train(self, docs: list[np.ndarray], steps: int = 20, batch: int = 48, rate: float = 0.01) -> None:
-        """Lanes of documents, one after the other; the state is carried from window to window and starts anew with a document."""
+    def train(self, docs: list[np.ndarray], steps: int = 20, batch: int = 256, rate: float = 0.01, memory: dict | None = None) -> None:
+        """Lanes of documents, one after the other; the state is carried from window to window and starts anew with a document.
+        memory: keeps the moments of the steps from one call to the next. Moments of a word's inputs change when it occurs."""
         if not docs:
             return
+        memory = {} if memory is None else memory
         stream = np.concatenate(docs)
-        lanes = max(1, min(batch, len(stream) // steps or 1))
+        lanes = max(1, min(batch, len(stream) // (8 * steps) or 1))
         length = -(-len(stream) // lanes)
         full = np.zeros((lanes, length), np.int64)
         mask = np.zeros((lanes, length), bool)
         full.ravel()[: len(stream)] = stream
         mask.ravel()[: len(stream)] = True
         before = np.concatenate([np.zeros((lanes, 1), np.int64), full[:, :-1]], 1)
-        m = {n: np.zeros_like(w) for n, w in self.p.items()}
-        u = {n: np.zeros_like(w) for n, w in self.p.items()}
-        room = {n: np.zeros_like(w) for n, w in self.p.items()}
-        h, t = self.start(lanes), 0
+        if not memory:
+            memory |= {"m": {n: np.zeros_like(w) for n, w in self.p.items()}, "u": {n: np.zeros_like(w) for n, w in self.p.items()}, "t": 0}
+        m, u, h = memory["m"], memory["u"], self.start(lanes)
         for a in range(0, length, steps):
             i, y, k = before[:, a : a + steps].T, full[:, a : a + steps].T, mask[:, a : a + steps].T
             g, h, _ = self.window(i, y, k, h)
-            t += 1
-            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+            memory["t"] = t = memory["t"] + 1
+            norm = np.sqrt(sum(float(np.vdot(x, x)) for n, x in g.items() if n != "x") + float(np.vdot(g["x"][1], g["x"][1])))
             clip = min(1.0, 1.0 / (norm + 1e-9))
             for n, w in self.p.items():
-                x, y = g[n], room[n]
-                x *= 0.1 * clip
-                m[n] *= 0.9
-                m[n] += x
+                rows, x = g[n] if n == "x" else (slice(None), g[n])
+                x *= clip
+                first, second = m[n][rows], u[n][rows]
+                first *= 0.9
+                first += 0.1 * x
                 x *= x
-                u[n] *= 0.99
-                u[n] += x  # 0.01 times the square of the clipped gradient
-                np.multiply(u[n], 1 / (1 - 0.99**t), out=x)
-                np.sqrt(x, out=x)
-                x += 1e-6
-                np.multiply(m[n], rate / (1 - 0.9**t), out=y)
-                y /= x
-                w -= y
+                second *= 0.99
+                x *= 0.01
+                second += x
+                if n == "x":
+                    m[n][rows], u[n][rows] = first, second
+                step = np.sqrt(second * (1 / (1 - 0.99**t)))
+                step += 1e-6
+                np.divide(first, step, out=step)
+                step *= rate / (1 - 0.9**t)
+                w[rows] -= step
 
     def score(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
         """The natural log-probability of every whole document; the state is carried over its windows. Lanes take up
-        the next document as soon as theirs ends, so long documents don't hold the others up."""
-        out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        the next document as soon as theirs ends, so long documents don't hold the others up. Memory follows the number of tokens."""
+        if not docs:
+            return np.zeros(0)
+        sizes = np.array([len(d) for d in docs], np.int64)
         lanes = min(lanes, len(docs))
-        loads = np.zeros(lanes, np.int64)
-        lane_docs: list[list[int]] = [[] for _ in range(lanes)]
-        import heapq
-
         heap = [(0, k) for k in range(lanes)]
-        for i in order:
+        lane_of, loads = np.zeros(len(docs), np.int64), np.zeros(lanes, np.int64)
+        for i in np.argsort(-sizes, kind="stable").tolist():
             load, k = heapq.heappop(heap)
-            lane_docs[k].append(i)
-            loads[k] = load + len(docs[i])
+            lane_of[i] = k
+            loads[k] = load + sizes[i]
             heapq.heappush(heap, (int(loads[k]), k))
-        lane_order = np.argsort(-loads, kind="stable")
-        length = int(loads.max()) if lanes else 0
-        loads = loads[lane_order]
-        tokens = np.zeros((length, lanes), np.int32)
-        owner = np.zeros((length, lanes), np.int32)
-        for k, lane in enumerate(lane_order):
-            at = 0
-            for i in lane_docs[lane]:
-                tokens[at : at + len(docs[i]), k] = docs[i]
-                owner[at : at + len(docs[i]), k] = i
-                at += len(docs[i])
+        rank = np.empty(lanes, np.int64)
+        rank[np.argsort(-loads, kind="stable")] = np.arange(lanes)
+        order = np.argsort(rank[lane_of], kind="stable")  # documents lane by lane, the fullest lane first
+        loads = -np.sort(-loads)
+        tokens = np.concatenate([docs[i] for i in order.tolist()])
+        starts = np.cumsum(loads) - loads
+        found = np.empty(len(tokens), F32)
         h, last = self.start(lanes), np.zeros(lanes, np.int64)
-        for a in range(0, length, steps):
-            b = min(a + steps, length)
-            states, ys, who = [], [], []
-            for t in range(a, b):
+        for a in range(0, int(loads[0]), steps):
+            states, places = [], []
+            for t in range(a, min(a + steps, int(loads[0]))):
                 n = int(np.searchsorted(-loads, -t, side="left"))  # lanes that still have a token at t
                 if n < len(h):
                     h, last = h[:n], last[:n]
                 h = self.step(last, h)[0]
-                last = tokens[t, :n]
+                at = starts[:n] + t
+                last = tokens[at]
                 states.append(h)
-                ys.append(last)
-                who.append(owner[t, :n])
-            if states:
-                out += np.bincount(np.concatenate(who), self.log_probabilities(np.concatenate(states), np.concatenate(ys)), len(docs))
+                places.append(at)
+            places = np.concatenate(places)
+            found[places] = self.log_probabilities(np.concatenate(states), tokens[places])
+        out = np.zeros(len(docs))
+        own = sizes[order]
+        out[order] = np.add.reduceat(found.astype(np.float64), np.cumsum(own) - own)
         return out
 
 
@@ -304,13 +307,13 @@ def _average(weights: DataFrame) -> list[np.ndarray] | None:
 
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 7, held_out: int = 2, head: int = 3072, known: int = 131_072,
-    hidden: int = 16, per_class: int = 64, share: float = 1.0, docs_per_trainer: int = 1500, rounds: int = 2,
+    hidden: int = 16, per_class: int = 64, share: float = 1.0, docs_per_trainer: int = 6000, rounds: int = 2,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     require(docs, id_col, text_col)
     spark = docs.sparkSession
-    ids = docs[id_col].cast("long")
-    rows = docs.select(ids.alias("doc_id"), (remainder_of_id(ids, held_out_mod) == held_out).alias("held_out"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    ids = column(docs, id_col).cast("long")
+    rows = docs.select(ids.alias("doc_id"), (remainder_of_id(ids, held_out_mod) == held_out).alias("held_out"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
     training = rows.where(~F.col("held_out"))
     counts = materialize(_counts(training), "lm-counts")
     ends = training.count()
@@ -342,27 +345,31 @@ def score_documents(
 
     flat = np.concatenate([model.p[n].ravel() for n in names])
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    every = training.select("text", F.xxhash64("doc_id", "text").alias("k"))
+    # rows equal in id and text are dealt to several trainers
+    every = training.select("text", F.xxhash64("doc_id", "text").alias("k"), F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
     sample, n_sample = every, ends
     if share < 1:
-        sample = materialize(training.where(draw < share).select("text", F.xxhash64("doc_id", "text").alias("k")), "lm-sample")
+        sample = materialize(training.where(draw < share).select("text", F.xxhash64("doc_id", "text").alias("k"), F.lit(0).alias("salt")), "lm-sample")
         n_sample = sample.count()
         if not n_sample:
             sample, n_sample = every, ends
     for turn in range(rounds):
         trainers = max(1, -(-n_sample // (docs_per_trainer * rounds)))
-        mine = sample.where(F.pmod(F.xxhash64("k", F.lit(23)), F.lit(rounds)) == turn).repartition(trainers, "k").sortWithinPartitions("k").select("text", F.spark_partition_id().alias("part"))
+        mine = sample.where(F.pmod(F.xxhash64("k", F.lit(23)), F.lit(rounds)) == turn).repartition(trainers, "k", "salt").sortWithinPartitions("k").select("text", F.spark_partition_id().alias("part"))
         given = flat
 
         def learn(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            table, lists, part = Places(places), [], 0
+            table, net, lists, memory, part, waiting, learned = Places(places), load(given), [], {}, 0, 0, 0
             for b in batches:
                 for t, part in zip(b["text"], b["part"]):
                     lists.append(as_tokens(find(table, words_of(t))))
-            if lists:
-                net = load(given)
-                net.train(lists)
-                yield pd.DataFrame({"part": [part], "n": [sum(map(len, lists))], "data": [np.concatenate([net.p[n].ravel() for n in names]).tobytes()]})
+                    waiting += len(lists[-1])
+                    if waiting > 1_000_000:  # memory follows tokens, not documents
+                        net.train(lists, memory=memory)
+                        learned, waiting, lists = learned + waiting, 0, []
+            net.train(lists, memory=memory)
+            if learned + waiting:
+                yield pd.DataFrame({"part": [part], "n": [learned + waiting], "data": [np.concatenate([net.p[n].ravel() for n in names]).tobytes()]})
 
         flat = _average(materialize(mine.mapInPandas(learn, "part long, n long, data binary"), "lm-weights"))
         flat = given if flat is None else flat

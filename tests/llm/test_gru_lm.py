@@ -58,7 +58,8 @@ def test_gradients():
         w[at] = old - 1e-4
         down = g.window(x, y, m, h)[2]
         w[at] = old
-        assert abs((up - down) / 2e-4 - grad[name][at]) < 2e-3, name
+        mine = grad[name][1][list(grad[name][0]).index(at[0])][at[1]] if name == "x" else grad[name][at]
+        assert abs((up - down) / 2e-4 - mine) < 2e-3, name
 
 
 def test_training_helps():
@@ -66,7 +67,26 @@ def test_training_helps():
     docs = [np.array([2, 3, 4, 5] * 5 + [0]) for _ in range(400)]
     before = g.score(docs[:5]).sum()
     g.train(docs, steps=8, batch=16, rate=0.03)
-    assert g.score(docs[:5]).sum() > before * 0.7
+    assert g.score(docs[:5]).sum() > before * 0.3
+
+
+def test_a_long_text_beside_short_ones_takes_memory_by_tokens():
+    import tracemalloc
+
+    g = net()
+    docs = [np.append(np.random.default_rng(0).integers(1, 23, 60_000), 0)] + [np.array([1, 2, 3, 0])] * 600
+    tracemalloc.start()
+    got = g.score(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and np.isfinite(got).all() and np.allclose(got[1:], got[1])
+
+
+def test_large_weights_stay_finite():
+    g = net()
+    for w in g.p.values():
+        w *= 300
+    assert np.isfinite(g.score([np.array([1, 5, 9, 0]), np.array([0])])).all()
 
 
 def check(rows, got):
