@@ -11,14 +11,14 @@ from .cleaning import city_key, state_code
 EARTH_MILES = 3958.7613
 
 
-def _neighbours(table: dict[str, str]) -> Column:
-    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(" " + v + " "))])
+def _neighbours(table: dict[str, list[str]]) -> Column:
+    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
 
 
 def is_neighbour(tender_state: Column, vendor_state: Column, country: Column) -> Column:
     """Whether the tender's region lists the vendor's as a neighbour, in the table of the tender's country."""
     row = F.when(F.contains(F.coalesce(country, F.lit("")), F.lit("Canada")), F.element_at(_neighbours(CANADA_NEIGHBOURS), tender_state)).otherwise(F.element_at(_neighbours(US_NEIGHBOURS), tender_state))
-    return F.coalesce(F.contains(row, F.concat(F.lit(" "), vendor_state, F.lit(" "))), F.lit(False))
+    return F.coalesce(F.array_contains(row, vendor_state), F.lit(False))
 
 
 def geo_tier(tender_state: Column, vendor_state: Column, country: Column) -> Column:

@@ -190,20 +190,33 @@ def test_requirements_and_profile(spark):
     assert b[2].title == "paint" and b[2].buyer == "B" and b[2].naics == ["a", "b", "c"] and b[2].posted == "2024-01-01"
 
 
-def test_tables():
+def test_tables(spark):
     t = "| Line No | Caliber | Description | Qty | Unit |\n|--|--|--|--|--|\n| | Primary | | | |\n| 1 | 9mm | ball | 1,000 ea | box |\n| 2 | x |\n| | | - | | |"
-    assert sections.line_items(t) == [("#1 - 9mm - ball", 1000.0, "box")]
+    one = lambda content: spark.createDataFrame([(1, 0, content)], "tender_id long, ord long, content string")
+    items = lambda content: [tuple(x) for x in one(content).select(sections.line_items(sections.grid(F.col("content"))).alias("x")).first().x or []]
+    assert [x[1:] for x in items(t)] == [("#1 - 9mm - ball", 1000.0, "box")]
+    assert items("| a |\n|--|") == [] and items("| Product |\n|--|\n| " + "x" * 200 + " |")[0][1:] == ("x" * 100, None, None)
+    pairs = lambda content: [(r.question_id, r.question, r.answer) for r in sections.stitched(sections.question_rows(one(content))).orderBy("pos").collect()]
     qa = "| Q1 | Why? |\n| A1 | So. |\n| Q2 | When? |\n| Q3 | x | A3 | y |\n| A9 | lone |"
-    assert sections.qa_pairs(qa) == [("Q1", "Why?", "So."), ("Q2", "When?", ""), ("Q3", "x", "y"), ("Q9", "", "lone")]
-    assert sections.qa_pairs("| Question | Answer |\n|---|---|\n| a | b |") == [("Q2", "a", "b")]
+    assert pairs(qa) == [("Q1", "Why?", "So."), ("Q2", "When?", ""), ("Q3", "x", "y"), ("Q9", "", "lone")]
+    assert pairs("| Question | Answer |\n|---|---|\n| a | b |") == [("Q2", "a", "b")]
+    assert pairs("| Q4 | Who? |\n| A5 | other |\n| R4 | me |\n| A4 | again |") == [("Q4", "Who?", "me"), ("Q5", "", "other"), ("Q4", "", "again")]
+    two = spark.createDataFrame([(1, 0, "| Question No | Answer |\n|---|---|\n| Q1 | " + "w" * 600 + " |"), (1, 1, "| Question No | Answer |\n|---|---|\n| A1 | So. |\n| Q2 | open |")], "tender_id long, ord long, content string")
+    assert [(r.question_id, len(r.question), r.answer) for r in sections.clarifications(two).collect()] == [("Q1", 500, "So.")]
 
 
-def test_terms():
+def test_terms(spark):
+    def chosen(terms, target):
+        rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(terms)], "tender_id long, ord long, term string")
+        return [r.term for r in sections.cluster_terms(rows, target=target).orderBy("place").collect()]
+
     q = [f"steel {w} supply" for w in "pipe pipe2 beam".split()] + ["steel pipe supply oem manufacturer"]
-    assert sections.choose_terms(q, 20) == q
-    assert sections.choose_terms(["red steel pipe", "red steel pipe oem maker", "blue cloth"], 2) == ["red steel pipe oem maker", "blue cloth"]
-    many = [f"word{chr(97 + i)}{chr(97 + j)} " * (1 + i % 3) for i in range(6) for j in range(6)]
-    assert len(sections.choose_terms(many, 9)) <= 9
+    assert chosen(q, 20) == q
+    assert chosen(["red steel pipe", "red steel pipe oem maker", "blue cloth"], 2) == ["red steel pipe oem maker", "blue cloth"]
+    many = ["".join(f"word{chr(97 + i)}{chr(97 + j)}{chr(97 + k)} " for k in range(1 + (i + j) % 3)).strip() for i in range(6) for j in range(6)]
+    score = {t: len(t.split()) for t in many}
+    got = chosen(many, 9)
+    assert len(got) == 9 == len(set(got)) and [score[t] for t in got] == [3, 3, 3, 1, 1, 1, 3, 3, 3]
 
 
 def test_discovery(spark):
