@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, materialize, release, remainder_of_id, require
+from .common import WordHashes, column, materialize, remainder_of_id, require
 
 WORD = re.compile(r"\w+")
 
@@ -50,18 +50,26 @@ class FactorizationMachine:
             sq = np.bincount(row, (v * v).sum(1), n)
         return self.b + linear + 0.5 * ((s * s).sum(1) - sq), s
 
-    def fit(self, slots: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 0.05, decay: float = 2e-4) -> None:
-        n = len(y)
-        row = np.repeat(np.arange(n), np.diff(np.append(starts, len(slots))))
+    def fit(self, slots: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 0.05, decay: float = 2e-4, part: int = 1024) -> None:
+        """Whole batches with adaptive steps; gradients are added up over parts of the rows, which bounds their memory."""
+        n, rank = len(y), self.v.shape[1]
+        ends = np.append(starts, len(slots))
         m = [np.zeros(1), np.zeros_like(self.w), np.zeros_like(self.v)]
         u = [np.zeros(1), np.zeros_like(self.w), np.zeros_like(self.v)]
         for t in range(1, rounds + 1):
-            z, s = self.raw(slots, starts, n)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            gr = g[row]
-            gw = np.bincount(slots, gr, len(self.w)) + decay * self.w
-            gv = np.stack([np.bincount(slots, gr * (s[row, f] - self.v[slots, f]), len(self.w)) for f in range(self.v.shape[1])], 1) + decay * self.v
-            for i, grad in enumerate((np.array([g.sum()]), gw, gv)):
+            gb, gw, gv = 0.0, decay * self.w, decay * self.v
+            for a in range(0, n, part):
+                b = min(a + part, n)
+                own = slots[ends[a] : ends[b]]
+                z, s = self.raw(own, starts[a:b] - ends[a], b - a)
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) / n
+                row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                gr = g[row]
+                gb += float(g.sum())
+                gw += np.bincount(own, gr, len(self.w))
+                for f in range(rank):
+                    gv[:, f] += np.bincount(own, gr * (s[row, f] - self.v[own, f]), len(self.w))
+            for i, grad in enumerate((np.array([gb]), gw, gv)):
                 m[i] = 0.9 * m[i] + 0.1 * grad
                 u[i] = 0.999 * u[i] + 0.001 * grad * grad
                 step = rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(u[i] / (1 - 0.999**t)) + 1e-8)
@@ -85,13 +93,13 @@ def _tied(both: np.ndarray, toxic: np.ndarray, share: np.ndarray | float) -> np.
         return 2 * (part(toxic, both * share) + part(both - toxic, both * (1 - share)))
 
 
-def paired(slots: list[np.ndarray], y: np.ndarray, a: np.ndarray, df: np.ndarray, least: float, chunk: int = 1024) -> np.ndarray:
-    """Which buckets take part in a pair whose toxic share differs from what their own shares add up to. slots: buckets of each
-    row; a, df: toxic rows and rows by bucket."""
+def paired(rows: list[np.ndarray], place: np.ndarray, y: np.ndarray, a: np.ndarray, df: np.ndarray, least: float, apart: float = 0.2, chunk: int = 1024) -> np.ndarray:
+    """Which of the buckets numbered by place (-1: others) take part in a pair whose toxic share differs, by `apart` and beyond chance, from what
+    their own shares add up to. a, df: toxic rows and rows by number."""
     k = len(df)
     both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
-    for at in range(0, len(slots), chunk):
-        part = slots[at : at + chunk]
+    for at in range(0, len(rows), chunk):
+        part = [x[x >= 0] for x in (place[r] for r in rows[at : at + chunk])]
         m = np.zeros((len(part), k), np.float32)
         m[np.repeat(np.arange(len(part)), list(map(len, part))), np.concatenate(part) if part else []] = 1
         both += m.T @ m
@@ -104,7 +112,8 @@ def paired(slots: list[np.ndarray], y: np.ndarray, a: np.ndarray, df: np.ndarray
         share = 1 / (1 + np.exp(-np.clip(own[i] + own - base, -30, 30)))
         tie = _tied(both[i].astype(np.float64), toxic[i].astype(np.float64), np.clip(share, 1e-6, 1 - 1e-6))
         tie[i] = 0
-        out |= (tie >= least) & (both[i] >= 3)
+        found = (tie >= least) & (both[i] >= 3)
+        out |= found & (np.abs(toxic[i] / np.maximum(both[i], 1) - share) >= apart)
     return out
 
 
@@ -114,10 +123,10 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, buckets: int, keep: int,
     bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if not len(y) or share in (0.0, 1.0):
         return FactorizationMachine(np.zeros(0, np.int64), bias)
-    flat, _ = _flat(rows)
-    label = np.repeat(y, [len(r) for r in rows])
-    a = np.bincount(flat, label, buckets)
-    df = np.bincount(flat, minlength=buckets)
+    a, df = np.zeros(buckets), np.zeros(buckets)
+    for r, t in zip(rows, y):  # a row's buckets are distinct
+        df[r] += 1
+        a[r] += t
     n1, n = float(y.sum()), float(len(y))
     g2 = _tied(df, a, share) + _tied(n - df, n1 - a, share)
     g2[df < 3] = 0
@@ -126,14 +135,13 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, buckets: int, keep: int,
     common = np.argsort(-df, kind="stable")[:pair_terms]
     common = np.sort(common[(df[common] >= 3) & (df[common] < n)])
     if len(common):
-        place = np.full(buckets, -1)
+        place = np.full(buckets, -1, np.int32)
         place[common] = np.arange(len(common))
-        slots = [s[s >= 0] for s in (place[r] for r in rows)]
-        chosen = np.union1d(chosen, common[paired(slots, y, a[common], df[common], least_pair)])
+        chosen = np.union1d(chosen, common[paired(rows, place, y, a[common], df[common], least_pair)])
     chosen = np.unique(chosen)
     machine = FactorizationMachine(chosen, bias)
     if len(chosen):
-        slot = np.full(buckets, -1)
+        slot = np.full(buckets, -1, np.int32)
         slot[chosen] = np.arange(len(chosen))
         slots, starts = _flat([s[s >= 0] for s in (slot[r] for r in rows)])
         machine.fit(slots, starts, y)
@@ -174,9 +182,8 @@ def teach(
         found = found.where(F.pmod(F.shiftrightunsigned(F.xxhash64("id", "r"), 24), F.lit(1 << 30)) < int(share * (1 << 30)))
         found = found.orderBy(F.xxhash64("id", "r"), "id", "r").limit(max_train)
     taught = found.toPandas().sort_values(["id", "r"])
-    release(found)
-    rows = [np.frombuffer(f, np.int32) for f in taught["f"]]
-    return fit_machine(rows, taught["y"].to_numpy(np.float64), buckets, keep, least), bits
+    rows, y = [np.frombuffer(f, np.int32) for f in taught.pop("f")], taught["y"].to_numpy(np.float64)
+    return fit_machine(rows, y, buckets, keep, least), bits
 
 
 def scorer(machine: FactorizationMachine, bits: int):
