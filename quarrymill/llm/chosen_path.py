@@ -154,16 +154,16 @@ def runs_for(recall: float, threshold: float, tokens: int, first_depth: int, dep
     return next((n for n in range(1, most) if sum(w * (1 - p) ** n for w, p in cases) <= 1 - recall), most)
 
 
-def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(u, v): links of members of large buckets to pivots that agree with them; and (path) of the buckets in which one pivot agrees with
-    all other members that are no pivots. Pivots are the smallest members by `pivots` hashes: picked with partial sums, and a
+def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, least: float, loose: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(u, v): links of members of large buckets to pivots that agree with them (in a share `loose` of the tokens; it only has to be below
+    `least`, as what is linked is compared exactly later); and (path) of the buckets in which one pivot agrees with all other members that are no pivots. Pivots are the smallest members by `pivots` hashes: picked with partial sums, and a
     bucket has no more than that many. In such a bucket all links to that pivot count, and those to pivots that don't agree with it;
     in the others the first two of each member."""
     chosen = large.groupBy("path").agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(pivots)]).alias("p"))
     chosen = chosen.select("path", F.posexplode(F.array_distinct("p")).alias("place", "node")).join(sets.select("node", "signs"), "node")
     chosen = chosen.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "node", "signs"))).alias("p"))
     rows = large.select("path", "node").join(sets.select("node", "signs"), "node").join(chosen, "path")
-    agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) >= math.ceil(least * tokens)
+    agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) >= math.ceil(min(least, loose) * tokens)
     names = F.transform("p", lambda q: q["node"])
     rows = rows.select("path", "node", names.alias("names"), F.transform("p", lambda q: agree(F.col("signs"), q["signs"])).alias("near"))
     rows = materialize(rows.withColumn("is_pivot", F.array_contains("names", F.col("node"))), "join-pivots")
