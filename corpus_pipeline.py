@@ -17,27 +17,32 @@ from quarrymill.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score stays below the threshold."""
+    """Rows whose toxicity score stays below the threshold. Null and empty texts get the score of no words; rows that repeat an id are
+    judged one by one; an empty table stays empty; without labels every row stays."""
     return toxicity_fm.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of near duplicates."""
+    """One row of every group of near duplicates, the one with the smallest id, null last. Null and empty texts are copies of one another;
+    of rows equal in id and text one stays; an empty table stays empty."""
     return chosen_path.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no template window of a benchmark item."""
+    """Rows that hold no window of a benchmark item. Null and empty texts hold none; rows that repeat an id are judged one by one;
+    an empty table stays empty."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order that interleaves the sources by their target weights."""
+    """All rows, in the order that interleaves the sources by their target weights. A null source is one named ''; null ids and repeated rows are
+    rows like others; an empty table stays empty."""
     return pfair_mix.in_order(docs)
 
 
 def pack_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with the shard that holds them and their position in it."""
+    """All rows with the shard that holds them and their position in it; columns of these names get _given behind them. Nulls and repeated
+    rows are kept as they are; an empty table gives no rows."""
     return tiered_shards.shard(docs, in_order=True)
 
 
