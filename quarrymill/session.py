@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset and all run on this
+    machine, as in tests. On a cluster it has to be set."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarrymill.shared.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not known:
         known = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         spark.conf.set("quarrymill.shared.dir", known)
