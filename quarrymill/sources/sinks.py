@@ -46,7 +46,7 @@ def write_run(tables: dict[str, DataFrame], root: str) -> None:
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes beside the table, then renames: readers see the old rows or the new ones."""
+    """Writes beside the table, then renames. Between the two renames the path is missing for a moment: a reader then fails, and never sees a mixture."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)
