@@ -9,9 +9,9 @@ is split `branches` times, each time by another token that its path has not used
 are compared by brute force on all tokens; in buckets that stay large their members are linked to the smallest one.
 There are as many runs as let a pair at the threshold meet with probability `recall` even if its buckets
 are large down to `depth`. Before a large bucket is split, its members are also compared with a
-few pivots of it, so that one of a large group who is alone after the split still meets the group. A bucket in which one pivot
-agrees with every other member is one candidate group and needs no split: whatever pair it holds is linked through
-that pivot. So groups of near copies don't multiply; only buckets of unlike documents branch. What was linked is a
+few pivots of it, so that one of a large group who is alone after the split still meets the group. A bucket whose members agree
+with pivots that agree with one another, but for at most `strays` members, needs no split: the former are one candidate group, and the latter
+are held against every member. So groups of near copies don't multiply; only buckets of unlike documents branch. What was linked is a
 candidate group, and inside these groups all pairs are compared exactly on whole shingle sets: small groups in one task, larger ones block by
 block, so no task holds more than two blocks. Pairs are counted where they are found and never
 emitted; a task gives one row per set, its links and its root. The classes are the connected components of the
@@ -154,11 +154,15 @@ def runs_for(recall: float, threshold: float, tokens: int, first_depth: int, dep
     return next((n for n in range(1, most) if sum(w * (1 - p) ** n for w, p in cases) <= 1 - recall), most)
 
 
-def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, least: float, loose: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, least: float, strays: int, loose: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(u, v): links of members of large buckets to pivots that agree with them (in a share `loose` of the tokens; it only has to be below
-    `least`, as what is linked is compared exactly later); and (path) of the buckets in which one pivot agrees with all other members that are no pivots. Pivots are the smallest members by `pivots` hashes: picked with partial sums, and a
-    bucket has no more than that many. In such a bucket all links to that pivot count, and those to pivots that don't agree with it;
-    in the others the first two of each member."""
+    `least`, as what is linked is compared exactly later); and (path) of the buckets that are settled by that. Pivots are the smallest members by
+    `pivots` hashes: picked with partial sums, and a bucket has no more than that many.
+
+    The hub of a pivot is that pivot and those that agree with it. A bucket is settled by the hub that leaves the fewest members
+    apart, if there are at most `strays` of these. All others are linked to the hub, so any pair of them is in one group; pivots outside the hub and members
+    apart are held against every member of the bucket, so no pair of theirs is missed. In other buckets the first two links of
+    each member count."""
     chosen = large.groupBy("path").agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(pivots)]).alias("p"))
     chosen = chosen.select("path", F.posexplode(F.array_distinct("p")).alias("place", "node")).join(sets.select("node", "signs"), "node")
     chosen = chosen.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "node", "signs"))).alias("p"))
@@ -166,23 +170,32 @@ def _to_pivots(large: DataFrame, sets: DataFrame, pivots: int, tokens: int, leas
     agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) >= math.ceil(min(least, loose) * tokens)
     names = F.transform("p", lambda q: q["node"])
     rows = rows.select("path", "node", names.alias("names"), F.transform("p", lambda q: agree(F.col("signs"), q["signs"])).alias("near"))
-    rows = materialize(rows.withColumn("is_pivot", F.array_contains("names", F.col("node"))), "join-pivots")
-    # a pivot covers a bucket if no member but other pivots is far from it
-    far = [F.sum(F.when(~F.coalesce(F.get("near", F.lit(k)), F.lit(False)) & ~F.col("is_pivot"), 1).otherwise(0)) for k in range(pivots)]
-    covers = rows.groupBy("path").agg(F.array(*far).alias("far")).select("path", F.array_position("far", F.lit(0)).alias("k")).where("k > 0")
-    centre = F.get("names", F.col("k").cast("int") - 1)
-    # pivots that don't agree with the centre are linked to their own neighbours
-    apart = rows.join(covers, "path").where("is_pivot").where(~F.get("near", F.col("k").cast("int") - 1)).groupBy("path").agg(F.collect_list("node").alias("apart"))
+    rows = materialize(rows.withColumn("place", F.array_position("names", F.col("node"))), "join-pivots")  # 0: no pivot
+    hubs = rows.where("place > 0").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "near"))), lambda q: q["near"]).alias("hubs"))
+    both = lambda hub: F.exists(F.zip_with("near", hub, lambda x, y: x & y), lambda e: e)
+    apart = [F.count(F.when((F.col("place") == 0) & ~F.coalesce(both(F.get("hubs", F.lit(k))), F.lit(False)), 1)) for k in range(pivots)]
+    settled = rows.join(hubs, "path").groupBy("path", "hubs").agg(F.array(*apart).alias("apart"))
+    settled = settled.where(F.array_min("apart") <= strays).withColumn("centre", F.array_position("apart", F.array_min("apart")).cast("int") - 1)
+    settled = materialize(settled.select("path", "centre", F.get("hubs", "centre").alias("hub")), "join-settled")
+    rows = rows.join(settled, "path", "left").withColumn("held", both("hub"))
     linked = F.filter(F.zip_with("names", "near", lambda n, y: F.when(y, n)), lambda n: n.isNotNull() & (n != F.col("node")))
-    rows = rows.join(covers, "path", "left").join(apart, "path", "left").withColumn("linked", linked)
-    of_covered = F.filter("linked", lambda n: (n == centre) | F.coalesce(F.array_contains("apart", n), F.lit(False)))
-    edges = rows.select(F.col("node").alias("u"), F.explode(F.when(F.col("k").isNull(), F.slice("linked", 1, 2)).otherwise(of_covered)).alias("v"))
-    return edges, covers.select("path")
+    pick = lambda wanted: F.filter(F.zip_with("names", F.zip_with("near", "hub", wanted), lambda n, y: F.when(y, n)), lambda n: n.isNotNull())
+    to_hub = F.when(F.col("place") > 0, F.when(F.col("held"), F.array(F.get("names", "centre")))).otherwise(F.slice(pick(lambda x, y: x & y), 1, 1))
+    to_hub = F.concat(F.coalesce(to_hub, F.array().cast("array<bigint>")), pick(lambda x, y: x & ~y))
+    edges = rows.select(F.col("node").alias("u"), F.explode(F.when(F.col("centre").isNull(), F.slice(linked, 1, 2)).otherwise(to_hub)).alias("v"))
+    # members apart against all members; of those at the hub one link is enough
+    lone = rows.where("centre is not null and place = 0 and not held").join(sets.select("node", "signs"), "node")
+    lone = lone.groupBy("path").agg(F.collect_list(F.struct("node", "signs")).alias("lone"))
+    beside = rows.where("centre is not null").select("path", "node", "held").join(lone, "path").join(sets.select("node", "signs"), "node")
+    like = F.filter("lone", lambda q: (q["node"] != F.col("node")) & agree(F.col("signs"), q["signs"]))
+    beside = beside.select("path", "node", "held", F.explode(F.transform(like, lambda q: q["node"])).alias("v"))
+    beside = beside.groupBy("path", "v", F.when(~F.col("held"), F.col("node"))).agg(F.min("node").alias("u")).select("u", "v")
+    return edges.where("u <> v").unionByName(beside), settled.select("path")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999, tokens: int = 64, pivots: int = 8,
-    bucket: int = 64, first_depth: int = 3, depth: int = 10, block: int = 256, width: int = 5, branches: int = 2,
+    bucket: int = 64, first_depth: int = 3, depth: int = 10, block: int = 256, width: int = 5, branches: int = 2, strays: int = 64,
 ) -> DataFrame:
     """One row per row of docs: (doc_id, d, r, node, rep_id, class_id, n_links). d is the id (LAST_ID for null) and r a
     hash of the text; node stands for the shingle set, so rows of one node are copies, and rep_id is their smallest
@@ -225,7 +238,7 @@ def near_duplicates(
         large = sized.where(F.col("n") > bucket)
         if large.isEmpty():
             break
-        linked, whole = _to_pivots(large, sets, pivots, tokens, least)
+        linked, whole = _to_pivots(large, sets, pivots, tokens, least, strays)
         linked = materialize(linked.distinct(), "join-links")
         edges = linked if edges is None else edges.unionByName(linked)
         large = large.join(whole, "path", "left_anti")

@@ -138,3 +138,22 @@ def test_runs_hold_the_recall_down_to_the_last_depth():
 
     assert lost(runs_for(0.9999, 0.8, 64, 3, 10, 2), 2) <= 2
     assert lost(13, 1) > 200  # as many runs as three tokens ask for
+
+
+@pytest.mark.parametrize("strays", [0, 64])
+def test_members_apart_from_the_hub_of_a_bucket(spark, strays):
+    """Copies with many changes each, some of them in pairs that are alike only one with the other."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(100)]
+    rows = []
+    for k in range(260):
+        t = list(base)
+        for _ in range(rng.randint(0, 3) if k % 10 else 9):
+            t[rng.randrange(len(t))] = word()
+        rows.append((len(rows), " ".join(t)))
+        if k % 10 == 0:
+            t[50] = word()
+            rows.append((len(rows), " ".join(t)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), strays=strays, bucket=16).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted(brute(rows))
