@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,11 +33,20 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize, remainder_of_id, require
 
-SPACES = "[ \t\n\x0b\x0c\r]+"
+BLANKS = "\t\n\x0b\x0c\r"  # besides the space
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 F32 = np.float32
 
 
+def exponentials(logits: np.ndarray, rows: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of logits (in place), taken below the largest of a row unless they are known to be safe, and the logits of the targets."""
+    if not safe:
+        logits -= logits.max(1, keepdims=True)
+    own = logits[rows, at]
+    np.exp(logits, out=logits)
+    return logits, own
+
+
 class Gru:
     """Weights by name. Token 0 is the end, 1 a rare word; tokens of a class follow one another."""
 
@@ -62,7 +72,8 @@ class Gru:
     def step(self, tokens: np.ndarray, h: np.ndarray) -> tuple:
         """The states after these inputs; an end (0) starts from nothing."""
         p, k = self.p, self.h
-        h = h * (tokens != 0)[:, None]
+        if not tokens.all():
+            h = h * (tokens != 0)[:, None]
         x = p["x"][tokens]
         x += p["b"]
         zr = h @ p["u"]
@@ -77,27 +88,42 @@ class Gru:
         np.tanh(n, out=n)
         return n + z * (h - n), z, r, n
 
-    def log_probabilities(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural logarithms, for rows of states and the tokens that follow them."""
+    def heads(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights of the classes and of the words in each class, with the bias as one more row; whether no exponential of a
+        logit can overflow and no sum of them vanish: states lie between -1 and 1."""
         p = self.p
-        c = targets // self.per
-        a = h @ p["cw"]
-        a += p["cb"]
-        a -= a.max(1, keepdims=True)
-        at = a[np.arange(len(c)), c]
-        np.exp(a, out=a)
-        out = at - np.log(a.sum(1))
+        cw, ww = np.concatenate([p["cw"], p["cb"][None]]), np.concatenate([p["ww"], p["wb"][:, None]], 1)
+        safe = True
+        for w, b in ((p["cw"][None], p["cb"][None]), (p["ww"], p["wb"])):
+            reach = np.abs(w).sum(1)
+            safe = safe and bool((b + reach).max() < 80 and (b - reach).max(1).min() > -80)
+        return cw, ww, safe
+
+    def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+        """The order that puts targets of a class side by side, where each class begins, and then their classes and places in them."""
+        c = (targets // self.per).astype(np.uint16 if self.classes < 1 << 16 else np.int64)  # short integers are sorted by radix
         order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                a = h[rows] @ p["ww"][k]
-                a += p["wb"][k]
-                a -= a.max(1, keepdims=True)
-                at = a[np.arange(len(rows)), targets[rows] - k * self.per]
-                np.exp(a, out=a)
-                out[rows] += at - np.log(a.sum(1))
+        c = c[order].astype(np.int64)
+        return order, np.searchsorted(c, np.arange(self.classes + 1)).tolist(), c, targets[order] - c * self.per
+
+    def log_probabilities(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural logarithms, for rows of states and the tokens that follow them."""
+        cw, ww, safe = self.heads()
+        order, edges, c, y = self.by_class(targets)
+        h1 = np.ones((len(h), self.h + 1), F32)
+        h1[:, :-1] = h[order]
+        found, rows = np.empty(len(h), F32), np.arange(len(h))
+        for a in range(0, len(h), 2048):  # as much as a processor's cache holds
+            e, at = exponentials(h1[a : a + 2048] @ cw, rows[: len(h1[a : a + 2048])], c[a : a + 2048], safe)
+            found[a : a + 2048] = at - np.log(e @ np.ones(self.classes, F32))
+        ones = np.ones(self.per, F32)
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            for a in range(edges[k], edges[k + 1], 2048):
+                z = min(a + 2048, edges[k + 1])
+                e, at = exponentials(h1[a:z] @ ww[k], rows[: z - a], y[a:z], safe)
+                found[a:z] += at - np.log(e @ ones)
+        out = np.empty(len(h), F32)
+        out[order] = found
         return out
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
@@ -110,38 +136,35 @@ class Gru:
             hs.append(new)
         flat = np.concatenate(hs[1:])
         y, m = targets.ravel(), mask.ravel().astype(F32)
-        g = {name: np.zeros_like(w) for name, w in p.items() if name != "x"}
-        scale = m / max(m.sum(), 1)
-        c = y // self.per
-        rows_all = np.arange(len(y))
-        a = flat @ p["cw"] + p["cb"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1, keepdims=True)
-        loss = -((a[rows_all, c] - np.log(s[:, 0])) * scale).sum()
-        d = e / s
-        d[rows_all, c] -= 1
-        d *= scale[:, None]
-        g["cw"], g["cb"] = flat.T @ d, d.sum(0)
-        dflat = d @ p["cw"].T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for i in range(self.classes):
-            rows = order[edges[i] : edges[i + 1]]
-            if not len(rows):
-                continue
-            hr = flat[rows]
-            a = hr @ p["ww"][i] + p["wb"][i]
-            a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            s = e.sum(1, keepdims=True)
-            mine = np.arange(len(rows)), y[rows] - i * self.per
-            loss -= ((a[mine] - np.log(s[:, 0])) * scale[rows]).sum()
-            d = e / s
-            d[mine] -= 1
-            d *= scale[rows][:, None]
-            g["ww"][i], g["wb"][i] = hr.T @ d, d.sum(0)
-            dflat[rows] += d @ p["ww"][i].T
+        g = {}
+        cw, ww, safe = self.heads()
+        order, edges, c, y = self.by_class(y)
+        h1 = np.ones((len(flat), k + 1), flat.dtype)
+        h1[:, :-1] = flat[order]
+        scale = (m / max(m.sum(), 1))[order]
+        rows = np.arange(len(y))
+        e, at = exponentials(h1 @ cw, rows, c, safe)
+        s = e @ np.ones(self.classes, F32)
+        loss = -float(((at - np.log(s)) * scale).sum())
+        e *= (scale / s)[:, None]
+        e[rows, c] -= scale
+        d = h1.T @ e
+        g["cw"], g["cb"] = d[:-1], d[-1]
+        to_states = e @ p["cw"].T
+        both, ones = np.zeros_like(ww), np.ones(self.per, F32)
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            one = slice(edges[i], edges[i + 1])
+            mine = rows[: edges[i + 1] - edges[i]]
+            e, at = exponentials(h1[one] @ ww[i], mine, y[one], safe)
+            s = e @ ones
+            loss -= float(((at - np.log(s)) * scale[one]).sum())
+            e *= (scale[one] / s)[:, None]
+            e[mine, y[one]] -= scale[one]
+            both[i] = h1[one].T @ e
+            to_states[one] += e @ p["ww"][i].T
+        g["ww"], g["wb"] = both[:, :-1], both[:, -1]
+        dflat = np.empty_like(to_states)
+        dflat[order] = to_states
         dflat = dflat.reshape(len(inputs), -1, k)
         # what no later step changes is worked out for the whole window, sums over steps are one product
         goes_on = (inputs != 0)[:, :, None]
@@ -166,7 +189,7 @@ class Gru:
         g["u"] = old.reshape(-1, k).T @ dx[:, : 2 * k]
         g["b"] = dx.sum(0)
         x = inputs.ravel()
-        by = np.argsort(x, kind="stable")
+        by = np.argsort(x.astype(np.uint16) if self.v < 1 << 16 else x, kind="stable")
         first = np.flatnonzero(np.diff(x[by], prepend=-1))
         g["x"] = (x[by][first], np.add.reduceat(dx[by], first, 0))  # of the words that occur
         return g, hs[-1], float(loss)
@@ -253,13 +276,6 @@ class Gru:
         return out
 
 
-class Places(dict):
-    """Places of words in the table of frequent words; -1 for others, which are not remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8: of bytes, lower() folds A-Z alone and split() cuts at just the six blanks."""
     return text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
@@ -284,7 +300,7 @@ def frequent_words(counts: DataFrame, known: int) -> tuple[list[tuple[bytes, int
 
 
 def _counts(training: DataFrame) -> DataFrame:
-    words = F.explode(F.split(F.translate("text", UPPER, LOWER), SPACES))
+    words = F.explode(F.split(F.translate("text", UPPER + BLANKS, LOWER + " " * len(BLANKS)), " "))
     return training.select(words.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("c"))
 
 
@@ -327,8 +343,8 @@ def score_documents(
     model = Gru(np.array([max(ends, 1), max(rare_tokens, 1)] + [c for _, c in top[:in_model]], float), hidden, per_class)
     names = list(model.p)
 
-    def find(table: Places, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(table.__getitem__, words), np.int32, len(words))
+    def find(table: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(table.get, words, repeat(-1)), np.int32, len(words))
 
     def as_tokens(at: np.ndarray) -> np.ndarray:
         return np.append(np.where((at >= 0) & (at < in_model), at + 2, 1), 0).astype(np.int32)
@@ -359,7 +375,7 @@ def score_documents(
         given = flat
 
         def learn(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            table, net, lists, memory, part, waiting, learned = Places(places), load(given), [], {}, 0, 0, 0
+            table, net, lists, memory, part, waiting, learned = places, load(given), [], {}, 0, 0, 0
             for b in batches:
                 for t, part in zip(b["text"], b["part"]):
                     lists.append(as_tokens(find(table, words_of(t))))
@@ -376,7 +392,7 @@ def score_documents(
     trained = flat
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, table = load(trained), Places(places)
+        net, table = load(trained), places
         out = {"doc_id": [], "held_out": [], "n": [], "n_head": [], "known": [], "log_c": [], "log_rare": [], "rare": []}
         lists: list[np.ndarray] = []
 
@@ -402,7 +418,7 @@ def score_documents(
                 out["known"].append(int((at >= 0).sum()))
                 out["log_c"].append(float(log_c.sum()))
                 out["log_rare"].append(float(log_c[tokens[:-1] == 1].sum()))
-                out["rare"].append([words[k].decode("utf-8", "surrogatepass") for k in np.flatnonzero(at < 0).tolist()])
+                out["rare"].append(b" ".join([words[k] for k in np.flatnonzero(at < 0).tolist()]).decode("utf-8", "surrogatepass"))
                 size += len(words) + 1
                 if size > 800_000 or len(lists) >= 20_000:
                     yield done()
@@ -410,11 +426,11 @@ def score_documents(
         if lists:
             yield done()
 
-    schema = "doc_id long, held_out boolean, n long, n_head long, known long, log_c double, log_rare double, rare array<string>, ln double"
+    schema = "doc_id long, held_out boolean, n long, n_head long, known long, log_c double, log_rare double, rare string, ln double"
     scored = rows.mapInPandas(score, schema).withColumn("row", F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
     scored = materialize(scored.withColumn("row", F.col("row.m")), "lm-scored")
     # words outside the table: their counts come by a join, and go back as sums per row
-    rare = scored.select("row", F.explode("rare").alias("w"))
+    rare = scored.select("row", F.explode(F.split("rare", " ")).alias("w")).where("w <> ''")
     rare = rare.join(counts.where(F.col("c") < least), "w")
     sums = rare.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_log"))
     out = scored.drop("rare").join(sums, "row", "left").na.fill({"more_known": 0, "more_log": 0.0})
