@@ -1,7 +1,7 @@
 """Language-model scores: a gated recurrent network with a class-factored softmax, in numpy.
 
 Counting: tokens are words between white space (A-Z lower-cased) and one end per document. All training
-documents are counted in the JVM; the base score of a text is its add-one unigram log10 probability.
+documents are counted, by workers first; the base score of a text is its add-one unigram log10 probability.
 
 Model: the `head` most frequent words are the network's vocabulary, sorted by frequency and cut into
 classes; a word's probability is that of its class times that of the word within the class. Rarer words
@@ -23,6 +23,7 @@ N and V are 0, n_known is 0 and every word is rare. Rows that repeat an id are s
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,8 +34,6 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize, remainder_of_id, require
 
-BLANKS = "\t\n\x0b\x0c\r"  # besides the space
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 F32 = np.float32
 
 
@@ -299,9 +298,27 @@ def frequent_words(counts: DataFrame, known: int) -> tuple[list[tuple[bytes, int
     return sorted(rows, key=lambda x: (-x[1], x[0])), least
 
 
-def _counts(training: DataFrame) -> DataFrame:
-    words = F.explode(F.split(F.translate("text", UPPER + BLANKS, LOWER + " " * len(BLANKS)), " "))
-    return training.select(words.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("c"))
+def _counts(training: DataFrame, distinct: int = 400_000) -> DataFrame:
+    """(w, c): every word and its count. Workers add up runs of documents before the shuffle, sending on what they have at `distinct` words."""
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[bytes] = Counter()
+
+        def done() -> pd.DataFrame:
+            words = b" ".join(found).decode("utf-8", "surrogatepass").split(" ")
+            pdf = pd.DataFrame({"w": words, "c": np.fromiter(found.values(), np.int64, len(found))})
+            found.clear()
+            return pdf
+
+        for b in batches:
+            for text in b["text"]:
+                found.update(words_of(text))
+                if len(found) >= distinct:
+                    yield done()
+        if found:
+            yield done()
+
+    return training.select("text").mapInPandas(add_up, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def _average(weights: DataFrame) -> list[np.ndarray] | None:
@@ -337,6 +354,7 @@ def score_documents(
     n_all, v_all = n_words + ends, v_words + (ends > 0)
     top, least = frequent_words(counts, known)
     places = {w: i for i, (w, _) in enumerate(top)}
+    in_head = {w: i for i, (w, _) in enumerate(top[: max(head - 2, 0)])}
     logs = np.log10(np.array([c for _, c in top] + [0], np.float64) + 1)  # the last one stands for place -1
     in_model = min(head - 2, len(top))
     rare_tokens, rare_words = n_words - sum(c for _, c in top[:in_model]), v_words - in_model
@@ -375,10 +393,10 @@ def score_documents(
         given = flat
 
         def learn(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            table, net, lists, memory, part, waiting, learned = places, load(given), [], {}, 0, 0, 0
+            table, net, lists, memory, part, waiting, learned = in_head, load(given), [], {}, 0, 0, 0
             for b in batches:
                 for t, part in zip(b["text"], b["part"]):
-                    lists.append(as_tokens(find(table, words_of(t))))
+                    lists.append(as_tokens(find(table, words_of(t))))  # words outside the model are rare, counted or not
                     waiting += len(lists[-1])
                     if waiting > 1_000_000:  # memory follows tokens, not documents
                         net.train(lists, memory=memory)
