@@ -128,12 +128,12 @@ class Gru:
     def window(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """One window (steps, batch) of truncated backpropagation: gradients, the state after it, the loss."""
         p, k = self.p, self.h
-        kept, hs = [], [h]
+        kept, hs = [], np.empty((len(inputs) + 1, *h.shape), h.dtype)
+        hs[0] = h
         for t in range(len(inputs)):
-            new, z, r, n = self.step(inputs[t], hs[-1])
+            hs[t + 1], z, r, n = self.step(inputs[t], hs[t])
             kept.append((z, r, n))
-            hs.append(new)
-        flat = np.concatenate(hs[1:])
+        flat = hs[1:].reshape(-1, k)
         y, m = targets.ravel(), mask.ravel().astype(F32)
         g = {}
         cw, ww, safe = self.heads()
@@ -168,7 +168,7 @@ class Gru:
         # what no later step changes is worked out for the whole window, sums over steps are one product
         goes_on = (inputs != 0)[:, :, None]
         z, r, n = (np.stack(x) for x in zip(*kept))
-        old = np.stack(hs[:-1]) * goes_on
+        old = hs[:-1] * goes_on
         to_n, to_z, to_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), old * r * (1 - r)
         dh, dx = np.zeros_like(h), np.empty((len(inputs), len(h), 3 * k), dflat.dtype)
         back_n, back_u = p["n"].T.copy(), p["u"].T.copy()
@@ -191,7 +191,7 @@ class Gru:
         by = np.argsort(x.astype(np.uint16) if self.v < 1 << 16 else x, kind="stable")
         first = np.flatnonzero(np.diff(x[by], prepend=-1))
         g["x"] = (x[by][first], np.add.reduceat(dx[by], first, 0))  # of the words that occur
-        return g, hs[-1], float(loss)
+        return g, hs[-1].copy(), float(loss)
 
     def train(self, docs: list[np.ndarray], steps: int = 20, batch: int = 256, rate: float = 0.01, memory: dict | None = None) -> None:
         """Lanes of documents, one after the other; the state is carried from window to window and starts anew with a document.
@@ -215,23 +215,23 @@ class Gru:
             g, h, _ = self.window(i, y, k, h)
             memory["t"] = t = memory["t"] + 1
             norm = np.sqrt(sum(float(np.vdot(x, x)) for n, x in g.items() if n != "x") + float(np.vdot(g["x"][1], g["x"][1])))
-            clip = min(1.0, 1.0 / (norm + 1e-9))
+            clip = float(min(1.0, 1.0 / (norm + 1e-9)))
+            scale = (1 - 0.99**t) ** 0.5  # of the second moments, kept out of the arrays
             for n, w in self.p.items():
                 rows, x = g[n] if n == "x" else (slice(None), g[n])
-                x *= clip
                 first, second = m[n][rows], u[n][rows]
                 first *= 0.9
-                first += 0.1 * x
+                first += (0.1 * clip) * x
                 x *= x
                 second *= 0.99
-                x *= 0.01
+                x *= 0.01 * clip * clip
                 second += x
                 if n == "x":
                     m[n][rows], u[n][rows] = first, second
-                step = np.sqrt(second * (1 / (1 - 0.99**t)))
-                step += 1e-6
+                step = np.sqrt(second)
+                step += 1e-6 * scale
                 np.divide(first, step, out=step)
-                step *= rate / (1 - 0.9**t)
+                step *= rate * scale / (1 - 0.9**t)
                 w[rows] -= step
 
     def score(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
