@@ -78,3 +78,10 @@ class WordHashes(dict):
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def public_tokenizer(name: str) -> str:
+    """The path of a vocabulary file of the public tokenizers on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_topk, chosen_path, decontam, gru_lm, html_density, line_dedup, pfair_mix, tiered_shards, toxicity_fm, weak_quality
-from .common import table
+from . import ball_topk, chosen_path, decontam, gru_lm, html_density, line_dedup, pfair_mix, tiered_shards, token_counts, toxicity_fm, trie_resampling, weak_quality
+from .common import public_tokenizer, table
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,3 +116,32 @@ SELECT unnest(k.ids) AS doc_id, m.class_id, k.rep_id, coalesce(l.n, 0) AS n_link
 
 QUERIES |= {"op4_chosen_path": op4_chosen_path}
 ORACLE_SQL |= {"op4_chosen_path": OP4_SQL}
+
+
+def op11_trie_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH crc_table AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+both_texts AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', item_id, row_number() OVER (), text FROM benchmark),
+words AS (SELECT side, doc_id, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM both_texts),
+bytes AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT) AS b FROM (SELECT DISTINCT w FROM words)),
+buckets AS (SELECT w, xor(list_reduce([4294967295] || b, lambda c, x: xor(c // 256, t[CAST(xor(c % 256, x) + 1 AS BIGINT)])), 4294967295) % 10000 AS bucket FROM bytes, crc_table),
+totals AS (SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM words JOIN buckets USING (w) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM totals),
+weights AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (SELECT b.doc_id, b.r, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+                  ('0x' || substr(sha256('2024:' || coalesce(CAST(b.doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h FROM both_texts b LEFT JOIN weights w ON b.r = w.r WHERE b.side = 'd'),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM noisy WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM noisy LEFT JOIN placed USING (r)
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES |= {"op11_trie_resampling": op11_trie_resampling, "op12_token_counts": op12_token_counts}
+ORACLE_SQL |= {"op11_trie_resampling": OP11_SQL}

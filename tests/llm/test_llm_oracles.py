@@ -13,4 +13,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_there_is_a_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
