@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_topk, chosen_path, decontam, gru_lm, html_density, line_dedup, pfair_mix, tiered_shards, token_counts, toxicity_fm, trie_resampling, weak_quality
+from . import ball_topk, block_max, chosen_path, decontam, gru_lm, html_density, line_dedup, pfair_mix, tiered_shards, token_counts, toxicity_fm, trie_resampling, weak_quality
 from .common import public_tokenizer, table
 
 
@@ -145,3 +145,24 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op11_trie_resampling": op11_trie_resampling, "op12_token_counts": op12_token_counts}
 ORACLE_SQL |= {"op11_trie_resampling": OP11_SQL}
+
+
+def op13_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS q, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM benchmark),
+stats AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+asked AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+postings AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM postings, stats GROUP BY term, docs),
+parts AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))) AS part FROM postings JOIN weights USING (term), stats),
+scores AS (SELECT q, item_id, r, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+QUERIES |= {"op13_block_max": op13_block_max}
+ORACLE_SQL |= {"op13_block_max": OP13_SQL}
