@@ -254,7 +254,20 @@ def source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.source_histogram(X.vendors(spark, sf_dir))
 
 
-@query()
+_MATCH = "trim(regexp_replace(regexp_replace(trim(regexp_replace(upper(trim({})), '\\b(INC\\.?|INCORPORATED|CORP\\.?|CORPORATION|LTD\\.?|LIMITED|LLC\\.?|CO\\.?|COMPANY)$', '')), '[^\\pL\\pN_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_HOLDS_ALL = "CAST(18446744073709551615 AS HUGEINT)"  # 64 bits
+CROSS_SQL = V + ", r AS (" + X.plain(X.REGISTRY) + f"""),
+a AS (SELECT vendor_key, lower(city) AS city, {_MATCH.format("company_name")} AS name FROM v), b AS (SELECT vendor_key AS match_key, lower(city) AS city, {_MATCH.format("regexp_replace(legal_name, 'Supplier#0*', 'Vendor ')")} AS name FROM r),
+pairs AS (SELECT DISTINCT a.name AS x, b.name AS y FROM a JOIN b ON a.city = b.city),
+masks AS (SELECT x, y, list_transform(string_split(y, ''), lambda c: CAST(coalesce(list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN x[i] = c THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE 0 END)), 0) AS HUGEINT)) AS m FROM pairs),
+lcs AS (SELECT x, y, len(x) - bit_count(list_reduce([{_HOLDS_ALL}] || m, lambda s, k: ((s + (s & k)) | (s - (s & k))) & {_HOLDS_ALL}) & ((CAST(1 AS HUGEINT) << CAST(len(x) AS INTEGER)) - 1)) AS lcs,
+               list_distinct(list_filter(string_split(x, ' '), lambda w: w <> '')) AS wx, list_distinct(list_filter(string_split(y, ' '), lambda w: w <> '')) AS wy FROM masks),
+sims AS (SELECT x, y, greatest(2.0::DOUBLE * lcs / (len(x) + len(y)), len(list_intersect(wx, wy))::DOUBLE / greatest(len(wx), len(wy))) AS similarity FROM lcs),
+placed AS (SELECT vendor_key, match_key, similarity, CAST(row_number() OVER (PARTITION BY vendor_key ORDER BY similarity DESC, match_key) AS INTEGER) AS place FROM a JOIN b ON a.city = b.city JOIN sims ON x = a.name AND y = b.name WHERE similarity >= 0.6)
+SELECT * FROM placed WHERE place <= 5"""
+
+
+@query(CROSS_SQL)
 def cross_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry names like the vendors', in their city, by indel similarity."""
     r = X.view(spark, sf_dir, X.REGISTRY).select("vendor_key", F.regexp_replace("legal_name", "Supplier#0*", "Vendor ").alias("legal_name"), "city")

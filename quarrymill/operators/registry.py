@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import province_forms
-from ..functions.names import match_name, name_tokens
-from ..functions.similarity import indel_similarity, token_overlap
+from ..functions.names import match_name
 from ..refdata import BUSINESS_REGISTRY, FALLBACK_KEYWORDS, GENERIC_KEYWORDS, REGISTRY_SOURCES
+from . import similar_names
 
 
 def is_technical(keyword: str) -> bool:
@@ -159,20 +159,9 @@ def filled(vendors: DataFrame, *names: str) -> DataFrame:
 
 
 def cross_reference(vendors: DataFrame, registry: DataFrame, threshold: float = 0.6, most: int = 5) -> DataFrame:
-    """(vendor_key, match_key, similarity): the registry's most similar names in the vendor's city. The city is the
-    join key, so a very large city is dealt out by skew handling; pairs are cut to the best `most` per vendor."""
-    from pyspark.sql import Window
-
-    a = vendors.where("city is not null and city <> ''").select("vendor_key", F.lower("city").alias("_city"), match_name(F.col("company_name")).alias("_a"), name_tokens(F.col("company_name")).alias("_at"))
-    b = registry.select(F.col("vendor_key").alias("match_key"), F.lower("city").alias("_city"), match_name(F.col("legal_name")).alias("_b"), name_tokens(F.col("legal_name")).alias("_bt"))
-    # a bound that needs no sequence: twice the shorter length over both lengths is never below the ratio
-    la, lb = F.length("_a"), F.length("_b")
-    bound = F.when(la + lb > 0, 2.0 * F.least(la, lb) / (la + lb)).otherwise(1.0)
-    overlap = token_overlap(F.col("_at"), F.col("_bt"))
-    pairs = a.join(b, "_city").withColumn("_token", overlap).where((bound >= threshold) | (F.col("_token") >= threshold))
-    pairs = pairs.withColumn("similarity", F.greatest(indel_similarity(F.col("_a"), F.col("_b")), F.col("_token"))).where(F.col("similarity") >= threshold)
-    place = F.row_number().over(Window.partitionBy("vendor_key").orderBy(F.desc("similarity"), "match_key"))
-    return pairs.withColumn("place", place).where(F.col("place") <= most).select("vendor_key", "match_key", "similarity", "place")
+    """(vendor_key, match_key, similarity, place): the registry's most similar names in the vendor's city, at most `most` per vendor."""
+    theirs = registry.select(F.lower("city").alias("place_key"), match_name(F.col("legal_name")).alias("name"), F.col("vendor_key").cast("string").alias("key"))
+    return similar_names.cross_reference(vendors, theirs, match_name(F.col("company_name")), F.col("city"), threshold, most)
 
 
 def cross_referenced_codes(matches: DataFrame, bridge: DataFrame) -> DataFrame:
