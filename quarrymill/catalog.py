@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import cleaning, contacts, documents, geo, names, pages, scoring, similarity
-from .operators import discovery, enrich, filtering, ingest, registry, resolve, sections
+from .operators import discovery, enrich, filtering, ingest, nearest, registry, resolve, sections
 from .operators.filtering import FilterConfig, Tender
 from .session import checkpointed
 from .sources import sinks
@@ -205,18 +205,52 @@ def code_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", similarity.code_similarity(code(37), code(53)).alias("similarity"))
 
 
-_LAT, _LON = "(30 + s_nationkey)", "(-120 + 2 * s_nationkey)"
-_H = f"(pow(sin((radians({_LAT}) - radians(42.36)) / 2), 2) + cos(radians(42.36)) * cos(radians({_LAT})) * pow(sin((radians({_LON}) - radians(-71.06)) / 2), 2))"
-_MILES = f"(2 * 3958.7613 * asin(sqrt({_H})))"
+def _ellipsoid(pairs: str) -> str:
+    """CTEs from pairs (q, e, lat1, lon1, lat2, lon2) to m (q, e, miles): the iteration on the longitude of the auxiliary sphere."""
+    return f"""u AS (SELECT q, e, atan((1 - f) * tan(radians(lat1))) AS u1, atan((1 - f) * tan(radians(lat2))) AS u2, radians(lon2 - lon1) AS l FROM ({pairs}), (SELECT 1 / 298.257223563::DOUBLE AS f)),
+it AS (SELECT q, e, u1, u2, l, 0 AS n, l AS lam, 1 / 298.257223563::DOUBLE AS f, 0::DOUBLE AS s, 0::DOUBLE AS mid, 1::DOUBLE AS c2 FROM u UNION ALL
+  SELECT q, e, u1, u2, l, n + 1, l + (1 - c) * f * sa * (arc + c * ss * (m + c * cs * (2 * m * m - 1))), f, arc, m, k2 FROM (
+    SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs, atan2(ss, cs) AS arc,
+           coalesce(cos(u1) * cos(u2) * sin(lam) / nullif(ss, 0), 0) AS sa, 1 - sa * sa AS k2, cs - coalesce(2 * sin(u1) * sin(u2) / nullif(k2, 0), 0) AS m, f / 16 * k2 * (4 + f * (4 - 3 * k2)) AS c FROM it WHERE n < 9)),
+m AS (SELECT q, e, (6378137 * (1 - f) * big * (s - b * sin(s) * (mid + b / 4 * (cos(s) * (2 * mid * mid - 1) - b / 6 * mid * (4 * pow(sin(s), 2) - 3) * (4 * mid * mid - 3))))) / 1609.344 AS miles FROM (
+    SELECT *, c2 * (1 / pow(1 - f, 2) - 1) AS v, 1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v))) AS big, v / 1024 * (256 + v * (-128 + v * (74 - 47 * v))) AS b FROM it WHERE n = 9))"""
 
 
-@query(f"SELECT s_suppkey, round({_MILES}, 3) AS miles, CASE WHEN {_MILES} <= 50 THEN 1.0 WHEN {_MILES} <= 200 THEN 0.9 WHEN {_MILES} <= 500 THEN 0.7 WHEN {_MILES} <= 1000 THEN 0.5 WHEN {_MILES} <= 2000 THEN 0.3 WHEN {_MILES} <= 3000 THEN 0.1 ELSE 0.05 END AS band FROM supplier")
+@query("WITH RECURSIVE " + _ellipsoid("SELECT s_nationkey AS q, s_suppkey AS e, 42.36 AS lat1, -71.06 AS lon1, 30 + s_nationkey AS lat2, -120 + 2 * s_nationkey AS lon2 FROM supplier") + " SELECT e AS s_suppkey, round(miles, 3) AS miles, CASE WHEN miles <= 50 THEN 1.0 WHEN miles <= 200 THEN 0.9 WHEN miles <= 500 THEN 0.7 WHEN miles <= 1000 THEN 0.5 WHEN miles <= 2000 THEN 0.3 WHEN miles <= 3000 THEN 0.1 ELSE 0.05 END AS band FROM m")
 def distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("s_nationkey")
     m = geo.miles(F.lit(42.36), F.lit(-71.06), 30 + n, -120 + 2 * n)
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(m, 3).alias("miles"), geo.distance_score(m).alias("band"))
 
 
+_ENTITY_AT = "CASE WHEN s_suppkey % 17 <> 0 THEN 25 + s_suppkey * 37 % 2400 / 100.0 END AS lat, -125 + s_suppkey * 91 % 5800 / 100.0 AS lon"
+_TENDER_AT = "25 + c_custkey * 61 % 2400 / 100.0 AS lat, -125 + c_custkey * 29 % 5800 / 100.0 AS lon"
+
+
+@query("WITH RECURSIVE c AS (" + X.plain(X.CODES) + f"), e AS (SELECT concat('s', s_suppkey) AS key, {_ENTITY_AT} FROM supplier WHERE concat('s', s_suppkey) IN (SELECT vendor_key FROM c WHERE code LIKE '23%' OR code LIKE '54%')), t AS (SELECT c_custkey, {_TENDER_AT} FROM customer), "
+       + _ellipsoid("SELECT t.c_custkey AS q, e.key AS e, t.lat AS lat1, t.lon AS lon1, e.lat AS lat2, e.lon AS lon2 FROM t, e WHERE e.lat IS NOT NULL")
+       + ", d AS (SELECT * FROM m UNION ALL SELECT c_custkey, key, 999999 FROM t, e WHERE e.lat IS NULL), n AS (SELECT q AS tender, e AS vendor_key, round(miles, 4) AS miles, CAST(row_number() OVER (PARTITION BY q ORDER BY miles, e) AS INTEGER) AS place FROM d) SELECT * FROM n WHERE place <= 5")
+def nearest_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vendors of two industries for every tender."""
+    coded = registry.with_code_prefix(X.view(spark, sf_dir, X.CODES), ["23", "54"])
+    e = table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey) AS key", *_ENTITY_AT.split(", ")).join(coded, F.col("key") == F.col("vendor_key"), "left_semi")
+    tenders = table(spark, sf_dir, "customer").selectExpr("c_custkey AS question", *_TENDER_AT.split(", "))
+    return nearest.nearest(tenders, e, k=5).select(F.col("question").alias("tender"), F.col("key").alias("vendor_key"), F.round("miles", 4).alias("miles"), "place")
+
+
+@query("WITH RECURSIVE x AS (SELECT c_custkey, c_nationkey AS n, CASE c_nationkey % 5 WHEN 0 THEN 'NM' WHEN 1 THEN 'TX' WHEN 2 THEN 'MA' WHEN 3 THEN 'ZZ' ELSE '' END AS state, CASE WHEN c_custkey % 3 = 0 THEN ' Santa Fe' WHEN c_custkey % 3 = 1 THEN 'Roswell' ELSE 'Other' END AS city FROM customer), "
+       "p AS (SELECT *, CASE WHEN state = 'NM' AND city = ' Santa Fe' THEN 35.687 WHEN state = 'NM' AND city = 'Roswell' THEN 33.3943 WHEN state = 'NM' THEN 34.840515 WHEN state = 'TX' THEN 31.054487 WHEN state = 'MA' THEN 42.230171 END AS lat, "
+       "CASE WHEN state = 'NM' AND city = ' Santa Fe' THEN -105.9378 WHEN state = 'NM' AND city = 'Roswell' THEN -104.523 WHEN state = 'NM' THEN -106.248482 WHEN state = 'TX' THEN -97.563461 WHEN state = 'MA' THEN -71.530106 END AS lon FROM x), "
+       + _ellipsoid("SELECT c_custkey AS q, 0 AS e, 35.0844 AS lat1, -106.6504 AS lon1, lat AS lat2, lon AS lon2 FROM p WHERE lat IS NOT NULL")
+       + ", d AS (SELECT c_custkey, state, coalesce(round(miles, 2), 999999) AS distance_miles FROM p LEFT JOIN m ON q = c_custkey) SELECT c_custkey, distance_miles, CASE WHEN state = '' THEN 0.0 WHEN distance_miles <= 50 THEN 1.0 WHEN distance_miles <= 200 THEN 0.9 WHEN distance_miles <= 500 THEN 0.7 WHEN distance_miles <= 1000 THEN 0.5 WHEN distance_miles <= 2000 THEN 0.3 ELSE 0.1 END AS distance_score FROM d")
+def entity_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities from near to far of a project, by town or state."""
+    n, c = F.col("c_nationkey") % 5, F.col("c_custkey") % 3
+    state = F.when(n == 0, "NM").when(n == 1, "TX").when(n == 2, "MA").when(n == 3, "ZZ").otherwise("")
+    e = table(spark, sf_dir, "customer").select("c_custkey", state.alias("state"), F.when(c == 0, " Santa Fe").when(c == 1, "Roswell").otherwise("Other").alias("city"))
+    return nearest.by_distance(e, 35.0844, -106.6504, "c_custkey").select("c_custkey", "distance_miles", "distance_score")
+
+
 # registry
 
 R = "WITH r AS (" + X.plain(X.REGISTRY) + "), c AS (" + X.plain(X.CODES) + ") "

@@ -40,6 +40,12 @@ def hierarchical_ids(bridge: DataFrame, codes: list[str], code_col: str = "code"
     return bridge.where(test).select(F.col(id_col)).distinct()
 
 
+def with_code_prefix(bridge: DataFrame, prefixes: list[str], code_col: str = "code", id_col: str = "vendor_key") -> DataFrame:
+    """Ids with a code that begins with one of the prefixes; the test reaches the scan."""
+    test = reduce(lambda a, b: a | b, [F.col(code_col).startswith(p) for p in sorted(set(prefixes))], F.lit(False))
+    return bridge.where(test).select(id_col).distinct()
+
+
 def search(
     vendors: DataFrame, gsin: DataFrame | None = None, unspsc: DataFrame | None = None, gsin_codes: list[str] = (), unspsc_codes: list[str] = (),
     keywords: list[str] = (), province: str | None = None, min_value: float | None = None,

@@ -169,8 +169,11 @@ def ckan_records(payload: DataFrame) -> DataFrame:
     )
 
 
-def sam_entities(payload: DataFrame, state: str | None = None, limit: int | None = None) -> DataFrame:
-    """Vendor rows of `entityData`: flags from business types, the first point of contact that is there."""
+def sam_entities(
+    payload: DataFrame, state: str | None = None, limit: int | None = None, naics: list[str] = (), project: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Vendor rows of `entityData`: flags from business types, the first point of contact that is there. naics: entities whose codes begin with one
+    of these. project: latitude and longitude that distances are measured from. A limit keeps the nearest, without a project the first by uei and name."""
     e = payload.select(F.explode("entityData").alias("e"))
     types = F.transform(F.coalesce("e.coreData.businessTypes.businessTypeList", F.array()), lambda t: t["businessTypeDesc"])
     poc = F.coalesce(*[F.col(f"e.entityRegistration.pointsOfContact.{p}") for p in ("governmentBusinessPOC", "electronicBusinessPOC", "pastPerformancePOC")])
@@ -179,10 +182,31 @@ def sam_entities(payload: DataFrame, state: str | None = None, limit: int | None
         F.col("e.entityRegistration.ueiSAM").alias("uei"), F.col("e.entityRegistration.cageCode").alias("cage_code"), F.col("e.entityRegistration.legalBusinessName").alias("company_name"),
         F.col("e.coreData.physicalAddress.city").alias("city"), F.col("e.coreData.physicalAddress.stateOrProvinceCode").alias("state"), F.col("e.coreData.entityInformation.entityURL").alias("website"),
         types.alias("business_types"), has("small business").alias("is_small"), has("woman").alias("is_woman_owned"), has("veteran").alias("is_veteran_owned"), has("hubzone").alias("is_hubzone"),
-        F.nullif(F.trim(F.concat_ws(" ", poc["firstName"], poc["lastName"])), F.lit("")).alias("contact_name"), poc["email"].alias("email"), F.lit("sam_entity").alias("source"),
+        F.nullif(F.trim(F.concat_ws(" ", poc["firstName"], poc["lastName"])), F.lit("")).alias("contact_name"), poc["email"].alias("email"), F.lit("sam_entity").alias("source"), _codes_of(payload).alias("naics_codes"),
     )
     out = out.where(F.upper("state") == state.upper()) if state else out
-    return out.limit(limit) if limit else out
+    if naics:
+        out = out.where(F.exists("naics_codes", lambda c: reduce(lambda a, b: a | b, [c.startswith(n) for n in naics])))
+    if project:
+        from ..operators.nearest import by_distance
+
+        out = out.withColumn("_key", F.struct("uei", "company_name"))
+        out = by_distance(out, *project, key="_key").drop("_key")
+        return out.limit(limit) if limit else out
+    return out.orderBy("uei", "company_name").limit(limit) if limit else out
+
+
+def _codes_of(payload: DataFrame) -> Column:
+    """Industry codes of an entity; an empty list where the payload has none."""
+    path = ["assertions", "goodsAndServices", "naicsList"]
+    kind = payload.schema["entityData"].dataType.elementType
+    for name in path:
+        if not hasattr(kind, "names") or name not in kind.names:
+            return F.array().cast("array<string>")
+        kind = kind[name].dataType
+    return F.transform(F.coalesce("e." + ".".join(path), F.array()), lambda c: c["naicsCode"].cast("string"))
+
+
 
 
 def small_business_companies(payload: DataFrame, certification: str | None = None, naics: list[str] = (), state: str | None = None, cap: int = 100) -> DataFrame:
