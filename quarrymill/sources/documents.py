@@ -147,7 +147,9 @@ def type_histogram(classified: DataFrame) -> DataFrame:
 
 
 def read_run(spark: SparkSession, root: str, name: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """A table of a stored run, some of its columns, some of its rows; both reach the scan."""
-    df = spark.read.parquet(f"{root}/{name}")
+    """A table of a stored run as it is now, some of its columns, some of its rows; both reach the scan."""
+    from .store import Store
+
+    df = Store(spark, root).read(name)
     df = df.select(*columns) if columns else df
     return df.limit(limit) if limit else df

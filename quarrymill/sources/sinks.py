@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .store import Change, Store
 
 EXPORT = [
     "company_name", "website", "email", "phone", "location", "city", "state", "country", "industry", "source", "is_past_winner", "capability_match_score", "rationale", "match_status", "match_reason", "batch",
@@ -40,31 +41,29 @@ def nested(rows: DataFrame, schema: dict[str, str]) -> DataFrame:
     return rows.select(*[F.from_json(c, schema[c]).alias(c) if c in schema else F.col(c) for c in rows.columns])
 
 
-def write_run(tables: dict[str, DataFrame], root: str) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+def write_run(spark: SparkSession, tables: dict[str, tuple[DataFrame, str]], root: str, buckets: int = 16) -> int:
+    """The tables of a run (name: rows and their key column) in the store at root, all at one version; which version."""
+
+    def put(change: Change) -> None:
+        for name, (df, key) in tables.items():
+            change.put(name, df, [key], buckets)
+
+    store = Store(spark, root)
+    store.transact(put)
+    return store.version()
 
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes beside the table, then renames. Between the two renames the path is missing for a moment: a reader then fails, and never sees a mixture."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    target = fs_path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target) and not fs.rename(target, fs_path(old)):
-        raise RuntimeError(f"{path} can't be moved")
-    if not fs.rename(fs_path(new), target):
-        fs.rename(fs_path(old), target)
-        raise RuntimeError(f"{path} can't be replaced")
-    fs.delete(fs_path(old), True)
+def update_row(spark: SparkSession, root: str, name: str, key: object, values: dict[str, object]) -> None:
+    """Sets columns of the row with this key. One bucket of the table is read and written; readers see the row before or after."""
 
+    def update(change: Change) -> None:
+        table = change.tables[name]
+        types = {f["name"]: f for f in table["schema"]["fields"]}
+        row = {table["keys"][0]: key, **values}
+        schema = StructType.fromJson({"type": "struct", "fields": [types[c] | {"nullable": True} for c in row]})
+        change.update(name, spark.createDataFrame([tuple(row.values())], schema), table["keys"])
 
-def update_row(spark: SparkSession, path: str, key: Column, values: dict[str, object]) -> None:
-    """Sets columns of the rows that key selects."""
-    df = spark.read.parquet(path)
-    new = [F.when(key, F.lit(values[c]).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns]
-    replace_table(spark, df.select(*new), path)
+    Store(spark, root).transact(update)
 
 
 def copy_table(spark: SparkSession, read: dict[str, str], write: dict[str, str]) -> tuple[int, int]:

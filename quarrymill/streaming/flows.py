@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import ingest
 from ..session import checkpointed
+from ..sources.store import Change, Store, append_new
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -43,32 +44,25 @@ def enrich_stream(stream: DataFrame, enrich: Callable[[DataFrame], DataFrame], s
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def ingest_stream(stream: DataFrame, source: str, root: str, checkpoint: str) -> StreamingQuery:
-    """Contract rows of a stream rolled up into root/vendors. Chunks the ledger knows are left out, so a batch or a
-    file that comes again changes nothing. The ledger names a version only after that version's vendors are written."""
-    spark = stream.sparkSession
-
-    def table(name: str, like: DataFrame) -> DataFrame:
-        try:
-            return spark.read.schema(like.schema).parquet(f"{root}/{name}")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return like.limit(0)
-            raise
+def ingest_stream(stream: DataFrame, source: str, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Contract rows of a stream rolled up into the tables vendors and ledger of the store at root. Chunks the ledger knows are left out, so a
+    batch or a file that comes again changes nothing. A batch reads and writes the buckets of the vendors that it brings, and its vendors and
+    digests are committed at once."""
+    store = Store(stream.sparkSession, root)
 
     def run(batch: DataFrame, number: int) -> None:
         rows = checkpointed(ingest.chunks(batch))
-        empty = spark.createDataFrame([], "source string, digest string, version long")
-        ledger = table("ledger", empty)
-        new, digests = ingest.unseen(rows, ledger, source)
-        delta = ingest.contract_rollup(ingest.contract_rows(new.drop("chunk")), source)
-        version = ledger.agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
-        stored = table(f"vendors/version={version}", delta)
-        digests = checkpointed(digests)
-        if digests.isEmpty():
-            return
-        ingest.upsert_vendors(stored, delta).write.mode("overwrite").parquet(f"{root}/vendors/version={version + 1}")
-        digests.withColumn("version", F.lit(version + 1).cast("long")).write.mode("append").parquet(f"{root}/ledger")
+        empty = batch.sparkSession.createDataFrame([], "source string, digest string")
+
+        def merge(change: Change) -> None:
+            new, digests = ingest.unseen(rows, change.read("ledger", empty), source)
+            digests = checkpointed(digests)
+            if not digests.isEmpty():
+                delta = ingest.contract_rollup(ingest.contract_rows(new.drop("chunk")), source)
+                change.upsert("vendors", delta, ["source", "external_id"], ingest.upsert_vendors, buckets)
+                change.upsert("ledger", digests, ["source", "digest"], append_new(["source", "digest"]), buckets)
+
+        store.transact(merge)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions.names import stream_key
 from quarrymill.operators import discovery, enrich, ingest
 from quarrymill.sources import documents, feeds, sinks
+from quarrymill.sources.store import Store
 from quarrymill.streaming import flows
 
 
@@ -131,8 +132,8 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.export(rows, str(tmp_path / "q"), "xls")
     assert sinks.nested(sinks.flat(rows), {"tags": "array<string>"}).orderBy("ord").collect() == rows.orderBy("ord").collect()
-    sinks.write_run({"t": rows}, str(tmp_path / "run"))
-    sinks.update_row(spark, str(tmp_path / "run/t"), F.col("ord") == 1, {"company_name": "New"})
+    assert sinks.write_run(spark, {"t": (rows, "ord")}, str(tmp_path / "run")) == 0
+    sinks.update_row(spark, str(tmp_path / "run"), "t", 1, {"company_name": "New"})
     assert {r.company_name for r in documents.read_run(spark, str(tmp_path / "run"), "t", ["company_name"]).collect()} == {"A, b", "New"}
     path = str(tmp_path / "jobs")
     for run, status, at in (("a", "running", "2024-01-01 00:00:00"), ("b", "running", "2024-01-02 00:00:00"), ("a", "completed", "2024-01-03 00:00:00"), ("c", "removed", "2024-01-03 00:00:00")):
@@ -176,9 +177,9 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     for n in range(2):  # the second stream starts without a checkpoint, so the same rows come again
         flows.ingest_stream(flows.read_stream(spark, str(tmp_path / "in"), rows.schema), "canada_contracts", str(tmp_path / "root"), str(tmp_path / f"cp{n}")).awaitTermination()
-    latest = spark.read.parquet(str(tmp_path / "root/ledger")).agg(F.max("version")).first()[0]
-    got = spark.read.parquet(f"{tmp_path}/root/vendors/version={latest}").collect()
-    assert latest == 0 and sorted(r.total_contract_value for r in got) == [20.0, 20.0, 20.0]
+    store = Store(spark, str(tmp_path / "root"))
+    assert store.version() == 0 and sorted(r.total_contract_value for r in store.read("vendors").collect()) == [20.0, 20.0, 20.0]
+    assert store.read("ledger").count() == 1
 
 
 def test_steps_can_be_cleaned_up(spark):
