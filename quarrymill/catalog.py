@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import cleaning, contacts, documents, geo, names, pages, scoring, similarity
-from .operators import discovery, enrich, filtering, ingest, nearest, registry, resolve, sections
+from .operators import discovery, enrich, filtering, ingest, nearest, registry, resolve, sections, writeback
 from .operators.filtering import FilterConfig, Tender
-from .session import checkpointed
+from .session import checkpointed, step_dir
 from .sources import sinks
+from .sources.store import Change, Store, append_new
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,7 +102,17 @@ def parsed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 # entity resolution
 
 
-@query()
+RESOLVE_SQL = V.replace("WITH", "WITH RECURSIVE", 1) + f""",
+n AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM (SELECT ord, coalesce('uei:' || upper(trim(uei)), 'duns:' || duns, 'cage:' || upper(trim(cage_code))) AS id, nullif(CASE WHEN website IS NOT NULL THEN replace({_AUTH}, 'www.', '') END, '') AS site, {_DEDUP} AS name FROM v)),
+k AS (SELECT *, list_filter(['0' || id, '1' || site, '2' || name], lambda x: x IS NOT NULL) AS own FROM n),
+walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS held, CAST([] AS BIGINT[]) AS kept UNION ALL
+         SELECT k.rn, CASE WHEN list_has_any(held, own) THEN held ELSE held || own END, CASE WHEN list_has_any(held, own) THEN kept ELSE kept || [CAST(ord AS BIGINT)] END FROM walk JOIN k ON k.rn = walk.rn + 1),
+kept AS (SELECT k.* FROM k WHERE ord IN (SELECT unnest(kept) FROM walk WHERE rn = (SELECT max(rn) FROM walk)))
+SELECT k.ord, CASE WHEN o.ord IS NOT NULL THEN k.ord ELSE coalesce(min(h.ord) FILTER (WHERE h.id = k.id), min(h.ord) FILTER (WHERE h.site = k.site), min(h.ord) FILTER (WHERE h.name = k.name)) END AS survivor
+FROM k LEFT JOIN kept o ON o.ord = k.ord LEFT JOIN kept h ON h.ord < k.ord AND (h.id = k.id OR h.site = k.site OR h.name = k.name) GROUP BY k.ord, o.ord"""
+
+
+@query(RESOLVE_SQL)
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.survivors(X.vendors(spark, sf_dir))
 
@@ -336,6 +348,58 @@ def contract_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.upsert_vendors(old, new).drop("source")
 
 
+def _roll_up_in_steps(spark: SparkSession, sf_dir: str) -> Store:
+    """The feed in three parts rolled up into a store, one of them twice."""
+    rows = X.view(spark, sf_dir, X.CONTRACTS)
+    store = Store(spark, f"{step_dir(spark)}/store-{uuid.uuid4().hex}")
+    known = spark.createDataFrame([], "source string, digest string")
+    for part in (0, 1, 0, 2):
+        own = checkpointed(ingest.chunks(rows.where(F.col("ord") % 3 == part), 2_000))
+
+        def merge(change: Change, own: DataFrame = own) -> None:
+            new, digests = ingest.unseen(own, change.read("ledger", known), "canada_contracts")
+            delta = ingest.contract_rollup(ingest.contract_rows(new.drop("chunk"))).drop("contract_history")
+            change.upsert("vendors", delta, ["source", "external_id"], ingest.upsert_vendors, 8)
+            change.upsert("ledger", digests, ["source", "digest"], append_new(["source", "digest"]), 8)
+
+        store.transact(merge)
+    return store
+
+
+@query(C + "SELECT " + _ROLL.replace("CAST(sum(amount) AS DOUBLE)", "CAST(sum(amount) AS DECIMAL(18, 2))") + " FROM x GROUP BY external_id")
+def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendors of a store that took the feed in parts, one of them again."""
+    return _roll_up_in_steps(spark, sf_dir).read("vendors").select("external_id", F.col("total_contract_value").cast("decimal(18, 2)").alias("total_contract_value"), "contract_count", "first_contract_date", "last_contract_date")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN 'reviewed' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 50 = 7 THEN 0 ELSE round(c_acctbal, 2) END AS c_acctbal FROM customer")
+def stored_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's table after updates of some rows, and of keys that it does not hold."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    root = f"{step_dir(spark)}/store-{uuid.uuid4().hex}"
+    sinks.write_run(spark, {"matches": (rows, "c_custkey")}, root)
+    new = rows.where("c_custkey % 50 = 7").select(F.explode(F.array("c_custkey", -F.col("c_custkey"))).alias("c_custkey"), F.lit("reviewed").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"))
+    store = Store(spark, root)
+    store.transact(lambda change: change.update("matches", new, ["c_custkey"]))
+    return store.read("matches").select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+_CROSSED = CROSS_SQL.replace("a AS (SELECT vendor_key, lower(city) AS city", "a AS (SELECT vendor_key, CASE WHEN source = 'canada_contracts' THEN lower(city) END AS city").replace("WHERE similarity >= 0.6)\nSELECT * FROM placed WHERE place <= 5", "WHERE similarity >= 0.6)")
+
+
+@query(_CROSSED + ", c AS (" + X.plain(X.CODES) + "), hit AS (SELECT p.vendor_key, count(DISTINCT match_key) AS n, count(DISTINCT code) AS codes FROM placed p JOIN c ON c.vendor_key = p.match_key WHERE place <= 5 GROUP BY p.vendor_key), n AS (SELECT vendor_key, count(*) AS n FROM placed WHERE place <= 5 GROUP BY vendor_key) SELECT v.vendor_key, hit.vendor_key IS NOT NULL AS naics_enriched, CAST(CASE WHEN hit.vendor_key IS NOT NULL THEN n.n END AS INTEGER) AS naics_match_count, coalesce(hit.codes, 0) AS n_codes FROM v LEFT JOIN hit ON hit.vendor_key = v.vendor_key LEFT JOIN n ON n.vendor_key = v.vendor_key")
+def codes_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendors after their codes were written back, range by range."""
+    v = X.vendors(spark, sf_dir).select("vendor_key", F.col("company_name").alias("legal_name"), "city", "source")
+    r = X.view(spark, sf_dir, X.REGISTRY).select("vendor_key", F.regexp_replace("legal_name", "Supplier#0*", "Vendor ").alias("legal_name"), "city")
+    none = spark.createDataFrame([], "vendor_key string, code string, is_primary boolean")
+    store = writeback.prepare(v, none, f"{step_dir(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+    writeback.write_back_codes(store, r, X.view(spark, sf_dir, X.CODES), ranges=2)
+    n = store.read("vendor_codes").groupBy("vendor_key").agg(F.count("*").alias("n_codes"))
+    done = F.coalesce("naics_enriched", F.lit(False)).alias("naics_enriched")
+    return store.read("vendors").join(n, "vendor_key", "left").select("vendor_key", done, "naics_match_count", F.coalesce("n_codes", F.lit(0)).alias("n_codes"))
+
+
 @query(C + ", d AS (SELECT DISTINCT external_id AS vendor_key, gsin AS code FROM x WHERE gsin <> '') SELECT vendor_key, code, false AS is_primary FROM d WHERE code NOT LIKE 'N1%'")
 def bridge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ingest.contract_rows(X.view(spark, sf_dir, X.CONTRACTS)).where("gsin is not null").select(F.col("external_id").alias("vendor_key"), F.col("gsin").alias("code"))

@@ -3,7 +3,7 @@
 Vendors arrive in an order (`ord`). A vendor is a duplicate of the kept vendor that holds its identifier, else its
 website, else its name; only kept vendors hold keys. So the relation is not transitive and depends on the order.
 It is decided in rounds over the whole table, whatever the components of shared keys look like; none of them is
-gathered in one task.
+gathered in one task. A chain, where each vendor is linked to the one before by another key, takes as many rounds as its length has binary digits.
 """
 
 from __future__ import annotations
@@ -28,24 +28,60 @@ def keys(vendors: DataFrame) -> DataFrame:
     return vendors.select("ord", F.explode(all_keys).alias("k")).select("ord", "k.kind", "k.key").where("key is not null")
 
 
+def _links(state: DataFrame) -> DataFrame:
+    """(ord, before): open vendors that share keys with one earlier open vendor alone. state: (kind, key, ord, first).
+
+    Such a vendor is first or second of each of its keys, and second behind the same one. Minima again, no order within a key."""
+    second = state.where("ord <> first").groupBy("kind", "key").agg(F.min("ord").alias("second"))
+    near = state.join(second, ["kind", "key"], "left")
+    plain = F.bool_and((F.col("ord") == F.col("first")) | (F.col("ord") == F.col("second")))
+    before = F.when(F.col("ord") != F.col("first"), F.col("first"))
+    one = near.groupBy("ord").agg(plain.alias("plain"), F.min(before).alias("before"), F.max(before).alias("other"))
+    return one.where("plain AND before = other").select("ord", "before")
+
+
+def _contracted(links: DataFrame, kept: DataFrame) -> DataFrame:
+    """(ord): vendors an even number of links behind a kept one. A vendor whose one earlier neighbour is kept is a duplicate, and kept if that is one, so
+    along a chain of links they alternate; pointers double until each reaches the chain's head."""
+    jump = checkpointed(links.select("ord", "before", F.lit(1).alias("odd")))
+    while True:
+        far = jump.select(F.col("ord").alias("before"), F.col("before").alias("_to"), F.col("odd").alias("_odd"))
+        longer = jump.join(far, "before", "left")
+        jump = checkpointed(longer.select("ord", F.coalesce("_to", "before").alias("before"), ((F.col("odd") + F.coalesce("_odd", F.lit(0))) % 2).alias("odd"), F.col("_to").isNotNull().alias("moved")))
+        moved = not jump.where("moved").isEmpty()
+        jump = jump.drop("moved")
+        if not moved:
+            return jump.where("odd = 0").join(kept.select(F.col("ord").alias("before")), "before", "left_semi").select("ord")
+
+
 def survivors(vendors: DataFrame) -> DataFrame:
     """(ord, survivor): survivor = ord for vendors that stay.
 
     Rounds over all vendors that are still open: one that is the first open holder of each of its keys is kept, and every
-    other one that shares a key with it is a duplicate, whichever key will name its survivor. When all are
+    other one that shares a key with it is a duplicate, whichever key will name its survivor. Where that leaves most of the open ones, vendors hang in chains,
+    each behind one other; these are decided in the same round by doubling pointers. When all are
     decided, a duplicate's survivor is the kept vendor before it that holds its identifier, else its website, else its name."""
     known = checkpointed(keys(vendors))
-    open_keys, holders = known, None
+    open_keys, holders, left = known, None, None
     while True:
         # a minimum and a join, not a window: a key that very many vendors share is summed up before it is moved
-        state = open_keys.join(open_keys.groupBy("kind", "key").agg(F.min("ord").alias("first")), ["kind", "key"])
-        kept = state.groupBy("ord").agg(F.bool_and(F.col("first") == F.col("ord")).alias("kept")).where("kept")
-        new = checkpointed(open_keys.join(kept, "ord", "left_semi").select("kind", "key", F.col("ord").alias("holder")))
+        state = checkpointed(open_keys.join(open_keys.groupBy("kind", "key").agg(F.min("ord").alias("first")), ["kind", "key"]))
+        kept = checkpointed(state.groupBy("ord").agg(F.bool_and(F.col("first") == F.col("ord")).alias("kept")).where("kept").select("ord"))
+
+        def decide(kept: DataFrame, state: DataFrame = state) -> tuple[DataFrame, DataFrame]:
+            new = checkpointed(state.join(kept, "ord", "left_semi").select("kind", "key", F.col("ord").alias("holder")))
+            # whoever shares a key with a vendor that is kept now is decided, the kept ones themselves included
+            gone = state.join(new, ["kind", "key"]).select("ord").distinct()
+            return new, checkpointed(state.drop("first").join(gone, "ord", "left_anti"))
+
+        new, rest = decide(kept)
+        still = rest.count()
+        if still and left is not None and 2 * still > left:
+            new, rest = decide(kept.unionByName(_contracted(_links(state), kept)))
+            still = rest.count()
         holders = new if holders is None else holders.unionByName(new)
-        # whoever shares a key with a vendor that is kept now is decided, the kept ones themselves included
-        gone = open_keys.join(new, ["kind", "key"]).select("ord").distinct()
-        open_keys = checkpointed(open_keys.join(gone, "ord", "left_anti"))
-        if open_keys.isEmpty():
+        open_keys, left = rest, still
+        if not still:
             break
     match = known.join(holders, ["kind", "key"]).where("holder <= ord")
     return match.groupBy("ord").agg(F.min(F.struct((F.col("holder") != F.col("ord")).alias("other"), "kind", "holder")).alias("m")).select("ord", F.col("m.holder").alias("survivor"))
