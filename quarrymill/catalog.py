@@ -755,3 +755,40 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = lambda b: filtering.match_rows(b.withColumn("scorer_response", F.concat(F.lit('{"score": '), F.col("ord") % 100, F.lit("}"))), TENDER)
     done = batches.run_gated(placed, content, score)
     return sections.union_texts(done.scored).select("ord", "place", "capability_match_score", "match_status")
+
+
+_REQUESTS = """SELECT concat('v', user_id) AS vendor_key, ts AS asked, CASE WHEN user_id % 29 = 3 THEN concat('own', user_id, '.com') END AS website,
+  CASE WHEN event_type = 'error' THEN 202 WHEN event_id % 11 = 5 THEN 403 ELSE 200 END AS first_status, CASE WHEN event_id % 3 <> 0 THEN concat('f', event_id, '.com') END AS first_website,
+  CASE WHEN event_id % 5 = 0 THEN 0.25 ELSE 0.75 END AS first_confidence, CASE WHEN event_id % 4 = 1 THEN concat('s', event_id, '.com') END AS second_website, CAST(user_id % 50 AS INT) AS searcher FROM {events}"""
+
+LADDER_SQL = "WITH RECURSIVE r AS (" + X.plain(_REQUESTS) + """),
+e AS (SELECT *, epoch_us(asked) AS t, row_number() OVER (PARTITION BY searcher ORDER BY asked, vendor_key) AS n, CASE WHEN first_status = 200 AND first_website IS NOT NULL AND first_confidence >= 0.5 THEN first_website END AS good FROM r),
+walk AS (SELECT DISTINCT searcher, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS banned, MAP {'': {'until': CAST(0 AS BIGINT), 'site': CAST(NULL AS VARCHAR), 'sure': CAST(NULL AS DOUBLE)}} AS known,
+         CAST(NULL AS VARCHAR) AS vendor_key, CAST(NULL AS TIMESTAMP) AS asked, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS website, CAST(NULL AS DOUBLE) AS confidence, false AS skipped FROM e
+  UNION ALL SELECT searcher, n, CASE WHEN lvl IN ('first', 'second', 'none') AND NOT skp AND first_status = 202 THEN t + 300000000 ELSE banned END,
+         CASE WHEN lvl IN ('first', 'second', 'none') THEN map_concat(known, MAP {vendor_key: {'until': t + 604800000000, 'site': found, 'sure': sure}}) ELSE known END, vendor_key, asked, lvl, found, sure, skp FROM (
+    SELECT e.*, w.banned, w.known, w.known[e.vendor_key] AS hit, e.website IS NULL AND NOT coalesce(hit['until'] > e.t, false) AND e.t < w.banned AS skp,
+           CASE WHEN e.website IS NOT NULL THEN 'given' WHEN hit['until'] > e.t THEN CASE WHEN hit['site'] IS NULL THEN 'negative' ELSE 'cache' END WHEN NOT skp AND e.good IS NOT NULL THEN 'first' WHEN e.second_website IS NOT NULL THEN 'second' ELSE 'none' END AS lvl,
+           CASE lvl WHEN 'given' THEN e.website WHEN 'cache' THEN hit['site'] WHEN 'first' THEN e.good WHEN 'second' THEN e.second_website END AS found,
+           CASE lvl WHEN 'cache' THEN hit['sure'] WHEN 'first' THEN CAST(e.first_confidence AS DOUBLE) WHEN 'second' THEN 0.9::DOUBLE END AS sure
+    FROM e JOIN walk w ON w.searcher = e.searcher AND e.n = w.n + 1))
+SELECT searcher, vendor_key, asked, level, website, confidence, skipped FROM walk WHERE n > 0"""
+
+
+@query(LADDER_SQL)
+def website_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Websites asked for over time, by searchers that are refused now and then and remember for a week what they found or did not."""
+    from .streaming import flows, ladder
+
+    root = f"{step_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = X.view(spark, sf_dir, _REQUESTS).withColumn("asked", F.col("asked").cast("timestamp")).withColumnRenamed("asked", "at").withColumn("first_confidence", F.col("first_confidence").cast("double"))
+    rows.write.parquet(f"{root}/in")
+    before = spark.conf.get(ladder.STATE_STORE, None)
+    spark.conf.set(ladder.STATE_STORE, ladder.ROCKS)
+    try:
+        stream = flows.read_stream(spark, f"{root}/in", rows.schema, files_per_batch=1_000_000)
+        found = ladder.website_ladder(stream, searcher=F.col("searcher"))
+        found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(ladder.STATE_STORE, before) if before else spark.conf.unset(ladder.STATE_STORE)
+    return spark.read.parquet(f"{root}/out").withColumnRenamed("at", "asked")
