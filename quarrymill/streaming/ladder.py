@@ -57,7 +57,6 @@ class Searcher(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["at", "vendor_key"], kind="stable")
         held = self.banned.get()
         self.ladder.banned = held[0] if held is not None else float("-inf")
-        timers = {t for t in self.handle.listTimers()}
         out, entries, new = [], {}, set()  # a call to the state per vendor and batch, not per request
         for r in batch.itertuples(index=False):
             request = {k: None if pd.isna(v) else v for k, v in r._asdict().items()}
@@ -71,17 +70,24 @@ class Searcher(StatefulProcessor):
             out.append((key[0], vendor, r.at, level, website, confidence, skipped))
         for vendor in sorted(new):
             self.known.updateValue((vendor,), entries[vendor])
-            due = (int(entries[vendor][0]) // 86400 + 1) * 86400 * 1000  # entries that expire on a day leave at its end
-            if due not in timers:
-                self.handle.registerTimer(due)
-                timers.add(due)
+        if new and not any(True for _ in self.handle.listTimers()):
+            self._wake(min(entries[v][0] for v in new))
         self.banned.update((self.ladder.banned,))
         yield pd.DataFrame(out, columns=["searcher", "vendor_key", "at", "level", "website", "confidence", "skipped"])
 
+    def _wake(self, until: float) -> None:
+        """One timer per searcher: entries that expire on a day leave after its end."""
+        self.handle.registerTimer((int(until) // 86400 + 1) * 86400 * 1000)
+
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs() / 1000
-        for vendor in [v for v, entry in self.known.iterator() if entry[0] <= due]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        held = [(v, entry[0]) for v, entry in self.known.iterator()]
+        for vendor in [v for v, until in held if until <= now]:
             self.known.removeKey(vendor)
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        stay = [until for _, until in held if until > now]
+        if stay:
+            self._wake(min(stay))
         return iter([])
 
     def close(self) -> None:
