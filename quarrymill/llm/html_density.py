@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree by one linear pass. Elements that are never article text (menus, page headers, footers,
-asides, forms, scripts, styles) and blocks whose class, id or role names an advert, a notice, a sidebar, a menu or
+asides, controls, scripts, styles), forms and blocks whose class, id or role names an advert, a notice, a sidebar, a menu or
 reader comments are penalised: their text counts for nothing, and they are left out unless they turn out to wrap
 the article. On the rest every node gets its link-adjusted number of characters per tag; a node's density sum is that
 of its children, and the node with the largest sum is the core. The least number of plain characters per tag on
@@ -29,7 +29,7 @@ from .common import require
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object canvas select".split())
-CUT = frozenset("head nav footer aside form button menu dialog label".split()) | RAW
+CUT = frozenset("head nav footer aside button menu dialog".split()) | RAW
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody "
@@ -47,9 +47,18 @@ NAMED_BLOCKS = frozenset("div section ul ol dl table td header main article cent
 ADVERTS = "ads? advert\\w* adsense sponsor\\w* promo\\w* cookies? consent gdpr newsletter subscribe signup"
 OTHERS = (
     "banner breadcrumbs? notice notification alert popup modal overlay login sidebar side widget menu navbar nav navigation topbar masthead header footer "
-    "footnav copyright share sharing social related recommend\\w* pagination pager toolbar search skip\\w* disclaimer"
+    "footnav copyright share sharing social related recommend\\w* pagination pager toolbar search skip\\w* disclaimer widgets"
 )
-COMMENTS = "comments? commentlist disqus replies reply respond responses discussion"
+# what may stand beside such a word in a name that still says the same; with any other word ("side-effects") the name says nothing
+PARTS = (
+    "area areas article articles bar bars block blocks body bottom box btn button buttons center col cols column columns container content desktop dropdown "
+    "fixed form global group holder home icon icons info inner item items layout left link links list lists main mini mobile news outer page pages panel "
+    "post posts primary right row section secondary site small sticky stories story text tab tabs title tools top trail wrap wrapper zone"
+)
+COMMENTS = "comments? commentlist disqus replies reply respond responses discussion threads?"
+TEASERS = "teasers? preview previews card cards excerpt related recommend\\w* promo\\w*"
+WRITERS = "author authors byline user username avatar commenter poster"
+TIMES = "date time timestamp posted published ago datetime"
 CONTENT = "post article entry story content main blog text body page"
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
@@ -58,26 +67,27 @@ def _named(words: str) -> re.Pattern:
     return re.compile(rf"(?:^|[_-])(?:{'|'.join(words.split())})(?=$|[_-])")
 
 
-ADVERT, OTHER, READERS, OWN = map(_named, (ADVERTS, OTHERS, COMMENTS, CONTENT))
+ADVERT, READERS, OWN, TEASER, WRITER, TIME = map(_named, (ADVERTS, COMMENTS, CONTENT, TEASERS, WRITERS, TIMES))
+OTHER, PART = (re.compile(rf"(?:{'|'.join(w.split())})$") for w in (OTHERS, f"{OTHERS} {ADVERTS} {PARTS}"))
 #: Modifiers: "has-sidebar" or "comments-open" say something about a wrapper.
 MODIFIER = re.compile(r"^(?:has|with|no|without|is|not)[_-]|[_-](?:open|closed|enabled|disabled|free|count|left|right)$")
 
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ZEROS = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])")
 HUGE = re.compile(r"&#(?:[0-9]{9,}+|[xX][0-9a-fA-F]{9,}+);?")
 
-PLAIN, CUT_OFF, NAME_OF_OTHER, OF_READERS, OF_ADVERT, HEADER = range(6)
+PLAIN, CUT_OFF, NAME_OF_OTHER, OF_READERS, OF_ADVERT, HEADER, FORM = range(7)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "own", "names", "cut", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "kids", "parent", "own", "names", "signs", "cut", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, parent: Node | None, own: int, names: bool = False):
-        self.tag, self.parent, self.own, self.names, self.cut, self.kids = tag, parent, own, names, False, []
+    def __init__(self, tag: str, parent: Node | None, own: int, names: bool = False, signs: int = 0):
+        self.tag, self.parent, self.own, self.names, self.signs, self.cut, self.kids = tag, parent, own, names, signs, False, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
@@ -89,49 +99,68 @@ class Node:
         return (self.chars - self.link_chars) / max(self.tags, 1)
 
 
-def _own(tag: str, attributes: str) -> tuple[int, bool]:
-    """What an element is by itself, and whether it is named as content."""
+def _says_other(word: str) -> bool:
+    """Whether a class or id names a menu, a sidebar and the like: by one of these words, with nothing beside it that may mean something else."""
+    parts = [p for p in re.split("[_0-9-]+", word) if p]
+    return any(map(OTHER.match, parts)) and all(map(PART.match, parts))
+
+
+def _own(tag: str, attributes: str) -> tuple[int, bool, int]:
+    """What an element is by itself, whether it is named as content, and signs of who wrote it (1) and when (2)."""
     if tag in CUT:
-        return CUT_OFF, False
-    out, content = (HEADER if tag == "header" else PLAIN), False
+        return CUT_OFF, False, 0
+    out, content = (HEADER if tag == "header" else FORM if tag == "form" else PLAIN), False
+    signs = 1 if tag == "cite" else 2 if tag == "time" else 0
     if attributes and tag not in ("body", "html"):
-        for name, a, b, c in NAMED.findall(attributes):
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
             value, name = a or b or c, name.lower()
             if name in ("class", "id"):
                 for word in CAMEL.sub("-", value).lower().split():
                     if MODIFIER.search(word):
                         continue
                     content = content or OWN.search(word) is not None
+                    signs |= (WRITER.search(word) is not None) | 2 * (TIME.search(word) is not None)
                     if READERS.search(word) and (tag in NAMED_BLOCKS or tag == "li"):
                         out = OF_READERS
                     elif out in (PLAIN, NAME_OF_OTHER, HEADER) and tag not in ("article", "main") and ADVERT.search(word):
                         out = OF_ADVERT
-                    elif out == PLAIN and tag in NAMED_BLOCKS and tag not in ("article", "main") and OTHER.search(word):
+                    elif out == PLAIN and tag == "article" and TEASER.search(word):
+                        out = NAME_OF_OTHER
+                    elif out == PLAIN and tag in NAMED_BLOCKS and tag not in ("article", "main") and _says_other(word):
                         out = NAME_OF_OTHER
             elif (
-                (name == "role" and value.strip().lower() in ROLES)
+                (name == "role" and value.strip().lower() in ROLES and not (tag == "form" and value.strip().lower() == "form"))
                 or name == "hidden"
                 or (name == "aria-hidden" and value.lower() == "true")
                 or (name == "style" and "display:none" in value.replace(" ", "").lower())
             ):
-                return CUT_OFF, False
-    return out, content
+                return CUT_OFF, False, 0
+    return out, content, signs
 
 
 def settle(root: Node) -> None:
     """Decides what is cut. A named block is kept if it wraps an article or main element, or if it holds two fifths of the
-    text of the article around it (of the page, without one); a block of reader comments only if it holds a page's heading.
-    A header is kept in an article, or where it or its parent is named as content."""
+    text of the article around it (of the page, without one); a form if it wraps one or if its paragraphs do; a block of reader comments only if it holds a
+    page's heading. A block of items that all tell who wrote them and when is one of reader comments. A header is kept in an article, or where it or its
+    parent is named as content."""
     order = _order(root)
     holds: dict[int, bool] = {}
     heads: dict[int, bool] = {}
     text: dict[int, int] = {}
+    prose: dict[int, int] = {}
+    signs: dict[int, int] = {}
     for n in reversed(order):
         kids = n.nodes()
+        signs[id(n)] = n.signs
+        for k in kids:
+            signs[id(n)] |= signs[id(k)]
+        heads[id(n)] = n.tag in ("h1", "main") or any(heads[id(k)] for k in kids)
+        if n.own == PLAIN and signs[id(n)] == 3 and n.tag in ("ul", "ol", "dl", "div", "section") and not heads[id(n)] and _is_thread(n, kids, signs):
+            n.own = OF_READERS
         gone = n.own in (CUT_OFF, OF_READERS)
         holds[id(n)] = not gone and ((n.tag in ("article", "main") and n.own == PLAIN) or any(holds[id(k)] for k in kids))
-        heads[id(n)] = n.tag in ("h1", "main") or any(heads[id(k)] for k in kids)
         text[id(n)] = 0 if gone or n.own == OF_ADVERT else sum(len(k.strip()) for k in n.kids if isinstance(k, str)) + sum(text[id(k)] for k in kids)
+        prose[id(n)] = text[id(n)] if n.tag == "p" or gone else sum(prose[id(k)] for k in kids)
     around: dict[int, int] = {}
     within: dict[int, bool] = {}
     for n in order:
@@ -145,11 +174,19 @@ def settle(root: Node) -> None:
             stays = heads[id(n)]
         elif n.own == HEADER:
             stays = within[id(n)] or holds[id(n)] or n.names or (up is not None and up.names and up.tag not in ("body", "html") and not any(k.tag == "nav" for k in n.nodes()))
+        elif n.own == FORM:
+            stays = holds[id(n)] or prose[id(n)] * 5 > around[id(n)] * 2
         else:
             stays = n.own != CUT_OFF and (holds[id(n)] or (n.own == NAME_OF_OTHER and text[id(n)] * 5 > around[id(n)] * 2))
         n.cut = (up is not None and up.cut) or not stays
 
 
+def _is_thread(node: Node, kids: list[Node], signs: dict[int, int]) -> bool:
+    """Whether most of a block's parts are items of one kind, at least two, that each tell who wrote them and when."""
+    items = [k for k in kids if signs[id(k)] == 3 and k.tag in ("li", "div", "article", "section", "dd", "blockquote")]
+    return len(items) >= 2 and len({k.tag for k in items}) == 1 and 4 * len(items) >= 3 * sum(k.tag not in ("br", "hr") for k in kids)
+
+
 class Open:
     """The open elements, with the depths of each name, so that the nearest one is known without climbing."""
 
@@ -252,7 +289,10 @@ def parse(page: str) -> Node:
             if found > wall:
                 open_.close(found)
         node = open_.stack[-1]
-        new = Node(tag, node, *_own(tag, attributes))
+        if tag == "label" and open_.last("form") > open_.last("p"):
+            new = Node(tag, node, CUT_OFF)  # the label of a control
+        else:
+            new = Node(tag, node, *_own(tag, attributes))
         node.kids.append(new)
         if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
             open_.push(new)

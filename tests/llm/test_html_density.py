@@ -109,3 +109,42 @@ def test_pages_without_their_semantic_elements(spark):
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in inside]
         want = "\n".join(b for b in want if b)
         assert [main_text(way(r.html)) == want for way in [str, *ways]] == [True] * 5
+
+
+def test_attributes_are_whole_names():
+    parts = ["<p title='The hidden valley'>one</p>", '<p data-hidden="false">two</p>', "<section data-id='sidebar'><p>three</p></section>", "<p data-x=\"class='ad' hidden\">four</p>", "<p HIDDEN>no</p>", "<p hidden='' >no</p>", "<div class = sidebar>no</div>", "<div Class=\"x  menu\">no</div>"]
+    assert main_text(f"<body><article><h1>Title</h1>{TEXT}{''.join(parts)}</article></body>").split("\n") == ["Title", *LINES, "one", "two", "three", "four"]
+
+
+def test_forms_that_hold_the_article():
+    page = "<body><form id='aspnetForm' method=post><input type=hidden><div id='top'>{}</div><div id='main'>{}</div><div class='foot'>{}</div><label for=q>Find</label><input id=q></form></body>"
+    search = "<form role=search><label>Search for</label><input><p>Type a word.</p></form>"
+    for inner in (f"<article><h1>Title</h1>{TEXT}</article>", f"<div class='story'><h1>Title</h1>{TEXT}</div>"):
+        assert main_text(page.format(LINKS, inner, LINKS)).split("\n") == ["Title", *LINES]
+        assert main_text(f"<body>{inner.replace(LINES[3] + '</p>', LINES[3] + '</p>' + search)}</body>").split("\n") == ["Title", *LINES]
+    assert main_text("<body><article><p>A <label>labelled</label> word.</p><form><label>Name</label><input></form></article></body>") == "A labelled word."
+
+
+def test_words_in_compound_names_are_no_proof():
+    sections = "".join(f"<section {kind}='{name}'><p>Words under {name}.</p></section>" for kind, name in (("id", "side-effects"), ("class", "the-search"), ("class", "social-history"), ("id", "menuPlanning")))
+    gone = "".join(f"<div class='{name}'><p>No words.</p></div>" for name in ("side-bar", "search-box", "social-links", "related-posts", "footer-widgets", "site-header2", "nav"))
+    assert main_text(f"<body><article><h1>Title</h1>{TEXT}{sections}{gone}</article></body>").split("\n") == ["Title", *LINES, *(f"Words under {n}." for n in ("side-effects", "the-search", "social-history", "menuPlanning"))]
+
+
+@pytest.mark.parametrize("thread", ["<ol class='thread'>{}</ol>", "<div><h3>What people say</h3>{}</div>", "<ul>{}</ul>"])
+def test_reader_threads_go_however_long(thread):
+    item = "div" if "h3" in thread else "li"
+    said = "".join(f"<{item}><span class='user'>Ann {i}</span> <time>today</time><p>{'I have read this and say so. ' * 20}</p></{item}>" for i in range(6))
+    said = thread.format(said)
+    post = TEXT[: len(TEXT) // 5]
+    for inner in (f"<article><h1>Title</h1>{TEXT}</article>{said}", f"<article><h1>Title</h1>{TEXT}{said}</article>", f"<div class='post'><h1>Title</h1>{TEXT}</div>{said}", f"<div class='post'><h1>Title</h1>{TEXT}{said}</div>"):
+        assert main_text(f"<body>{inner}</body>").split("\n") == ["Title", *LINES]
+    assert "say so" not in main_text(f"<body><article><h1>Title</h1>{post}</article>{said}</body>")
+    # dates alone make no thread
+    dated = "".join(f"<li><time>19{i}0</time>: something happened</li>" for i in range(4, 8))
+    assert main_text(f"<body><article>{TEXT}<ul>{dated}</ul></article></body>").count("something happened") == 4
+
+
+def test_teasers_beside_the_article():
+    teaser = f"<article class='teaser'><h2>Another</h2><p>{'A lead of another story. ' * 20}</p></article>"
+    assert main_text(f"<body><div>{teaser}<article><h1>Title</h1>{TEXT}</article>{teaser}</div></body>").split("\n") == ["Title", *LINES]
