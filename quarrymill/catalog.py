@@ -792,3 +792,5 @@ def website_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         spark.conf.set(ladder.STATE_STORE, before) if before else spark.conf.unset(ladder.STATE_STORE)
     return spark.read.parquet(f"{root}/out").withColumnRenamed("at", "asked")
+
+from . import catalog_feeds  # noqa: E402, F401 - adds its queries

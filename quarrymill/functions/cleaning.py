@@ -61,7 +61,7 @@ def city_key(c: Column) -> Column:
 def split_present(c: Column, separators: tuple[str, ...] = ("*", ";", "|", ",")) -> Column:
     """Split at the first of the separators that occurs at all; parts trimmed, empty ones dropped."""
     cut = reduce(lambda rest, s: F.when(F.contains(c, F.lit(s)), F.split(c, "\\" + s if s in "*|" else s)).otherwise(rest), reversed(separators), F.array(c))
-    return F.when(c.isNotNull(), F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    return F.when(c.isNotNull(), F.filter(F.transform(cut, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def path_parts(c: Column) -> Column:

@@ -29,4 +29,5 @@ def differences(spark, query, sql, sf_dir=SF):
     theirs = [d[0] for d in found.description]
     assert sorted(theirs) == names
     rows = sorted(tuple(_norm(r[theirs.index(n)]) for n in names) for r in found.fetchall())
-    return [r for r in mine if r not in set(rows)], [r for r in rows if r not in set(mine)], (len(mine), len(rows))
+    a, b = set(mine), set(rows)
+    return [r for r in mine if r not in b], [r for r in rows if r not in a], (len(mine), len(rows))
