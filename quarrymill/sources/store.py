@@ -37,6 +37,33 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def publish(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Creates a file with this text, whole or not at all; False if one of that name is there. Of several writers one succeeds: the rename does not replace,
+    and a local disk, where it would, has hard links."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    own, target = path(f"{folder}/.{uuid.uuid4().hex}.tmp"), path(f"{folder}/{name}")
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(path(folder))
+    out = fs.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(own.toUri().getPath(), target.toUri().getPath())
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(own, target, none)
+        return True
+    except Exception as e:
+        if isinstance(e, FileExistsError) or "FileAlreadyExists" in str(e) or fs.exists(target):
+            return False
+        raise
+    finally:
+        if fs.exists(own):
+            fs.delete(own, False)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -98,26 +125,8 @@ class Store:
 
     def _publish(self, version: int, manifest: dict) -> None:
         """Creates a version that is not there yet, whole or not at all."""
-        own, name = f"{self.root}/versions/.{uuid.uuid4().hex}", f"{self.root}/versions/{version:012d}.json"
-        self._fs.mkdirs(self._path(f"{self.root}/versions"))
-        out = self._fs.create(self._path(own), False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        try:
-            if self._fs.getScheme() == "file":
-                local = self._path(name).toUri().getPath()
-                os.link(self._path(own).toUri().getPath(), local)
-            else:
-                jvm = self.spark._jvm
-                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(name).toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._path(own), self._path(name), none)
-        except Exception as e:
-            if isinstance(e, FileExistsError) or "FileAlreadyExists" in str(e) or self._fs.exists(self._path(name)):
-                raise Conflict(f"version {version} is there already") from e
-            raise
-        finally:
-            if self._fs.exists(self._path(own)):
-                self._fs.delete(self._path(own), False)
+        if not publish(self.spark, f"{self.root}/versions", f"{version:012d}.json", json.dumps(manifest)):
+            raise Conflict(f"version {version} is there already")
 
     def vacuum(self, seconds: float) -> int:
         """Deletes versions that were replaced longer ago than this, and folders of that age which no version left names. How many folders went."""
@@ -126,6 +135,8 @@ class Store:
         stay = [v for v, following in zip(numbers, [*numbers[1:], None]) if following is None or written[f"{following:012d}.json"] > limit]
         for v in set(numbers) - set(stay):
             self._delete(f"versions/{v:012d}.json")
+        for name in [n for n, at in written.items() if n.endswith(".tmp") and at <= limit]:
+            self._delete(f"versions/{name}")
         named = {f for v in stay for t in self.manifest(v)["tables"].values() for f in t["files"].values()}
         gone = 0
         for folder, at in self._list("data").items():
