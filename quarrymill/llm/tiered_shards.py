@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import publish
 from .common import column, shared_dir
 
 TAKEN = {"shard", "position", "_name"}
@@ -103,15 +104,11 @@ class Store:
         new = {"version": base["version"] + 1, "schema": base.get("schema") or schema, "shards": shards}
         name = f"manifests/v{new['version']:010d}.json"
         lock = self._path(f"{name}.lock")
-        if not self._lock(lock) or self._fs.exists(self._path(name)):
-            raise Conflict(f"version {new['version']} is being written or is there")
-        temporary = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
-        try:
-            out = self._fs.create(temporary, True)
-            out.write(bytearray(json.dumps(new).encode()))
-            out.close()
-            if self._fs.exists(self._path(name)) or not self._fs.rename(temporary, self._path(name)):
-                raise Conflict(f"version {new['version']} can't be committed")
+        if not self._lock(lock):
+            raise Conflict(f"version {new['version']} is being written")
+        try:  # the lock saves work; that one writer alone creates a version does not rest on it
+            if not publish(self.spark, f"{self.root}/manifests", name.removeprefix("manifests/"), json.dumps(new)):
+                raise Conflict(f"version {new['version']} is there")
         finally:
             self._fs.delete(lock, False)
         return new
@@ -234,9 +231,11 @@ def _schema(text: str):
 
 
 def shard(docs: DataFrame, root: str | None = None, target: int = 128 << 20, fanout: int = 4, in_order: bool = False) -> DataFrame:
-    """Appends docs to a new store (or the one at root), compacts it, and reads it: docs' columns, shard, position."""
+    """Appends docs to a new store (or the one at root), compacts it, and reads it: docs' columns, shard, position. What compaction replaced is deleted
+    in a new store, which nobody else reads yet; in one that is given, readers of older versions go on until vacuum() is called."""
     store = Store(docs.sparkSession, root)
     store.append(docs, in_order)
     store.compact(target, fanout)
-    store.vacuum()
+    if root is None:
+        store.vacuum()
     return store.read()

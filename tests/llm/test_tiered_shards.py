@@ -83,3 +83,36 @@ def test_any_names(spark, tmp_path):
     got = shard(rows, str(tmp_path / "s"))
     assert got.columns == ["id", "Shard_given", "POSITION_given", "a.b", "_name_given", "shard", "position"] and got.count() == 20
     assert spark.conf.get("spark.sql.unionOutputPartitioning", None) in (None, "true")
+
+
+def test_readers_of_older_versions_go_on(spark, tmp_path):
+    rows = spark.range(50)
+    shard(rows, str(tmp_path / "s"), target=1000, fanout=2)
+    old = Store(spark, str(tmp_path / "s")).read()
+    shard(rows, str(tmp_path / "s"), target=1000, fanout=2)
+    assert old.count() == 50 and Store(spark, str(tmp_path / "s")).read().count() == 100
+
+
+def test_two_writers_at_an_expired_lock(spark, tmp_path):
+    import threading
+
+    root = str(tmp_path / "s")
+    Store(spark, root).append(spark.range(10))
+    writers = [Store(spark, root, lock_seconds=-1) for _ in range(4)]  # any lock counts as left by a dead writer
+    base, done, lost, start = writers[0].manifest(), [], [], threading.Barrier(4)
+
+    def commit(store, n):
+        start.wait()
+        try:
+            store._commit(base, base["shards"] + [{"name": f"data/x{n}", "bytes": 1, "seq": 99 + n}], None)
+            done.append(n)
+        except Conflict:
+            lost.append(n)
+
+    threads = [threading.Thread(target=commit, args=(w, n)) for n, w in enumerate(writers)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(done) == 1 and len(lost) == 3
+    assert Store(spark, root).manifest()["shards"][-1]["name"] == f"data/x{done[0]}" and Store(spark, root).versions()[-1] == base["version"] + 1
