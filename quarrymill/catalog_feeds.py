@@ -223,3 +223,58 @@ def appended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = X.view(spark, sf_dir, X.REGISTRY)
     narrow, wide = registry.search(r, province="ON"), registry.search(r)
     return registry.append_new(registry._by_value(narrow.where("state = 'ON'"), 5, 3), registry._by_value(wide, 12, 4), 100).select("vendor_key", "arm")
+
+
+@query("WITH w AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS word FROM part), r AS (SELECT word, row_number() OVER (ORDER BY word) AS r FROM w WHERE length(word) > 3) SELECT a.word || ' ' || b.word AS term FROM r a JOIN r b ON b.r BETWEEN a.r + 1 AND a.r + 3 ORDER BY a.r, b.r LIMIT 20")
+def keyword_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    return sections.keyword_pairs(words)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'A > B/' || o_orderstatus ELSE 'A/' || o_orderpriority END AS path, CASE WHEN o_orderkey % 3 <> 0 THEN 'ottawa' END AS city FROM orders")
+def paths_and_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisation paths cut at the separator that is there, and keys of cities."""
+    k = F.col("o_orderkey")
+    path = F.when(k % 2 == 0, F.concat(F.lit(" A > B >> "), "o_orderstatus", F.lit(" >> "))).otherwise(F.concat(F.lit("A >"), "o_orderpriority"))
+    city = cleaning.city_key(F.when(k % 3 == 0, "  ").otherwise(" OTTawa "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", _list(cleaning.path_parts(path)).alias("path"), city.alias("city"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN ' - home' ELSE 'Firm ' || c_custkey END AS name FROM customer")
+def titles_to_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company names from page titles, cut at known endings; a title that is nothing else stays."""
+    from .functions import names
+
+    k = F.col("c_custkey")
+    firm = F.concat(F.lit("Firm "), k)
+    title = F.when(k % 4 == 0, F.concat(firm, F.lit(" | HOME | more"))).when(k % 4 == 1, F.concat(firm, F.lit(" - Company Profile"))).when(k % 4 == 2, firm).otherwise(" - home")
+    return table(spark, sf_dir, "customer").select("c_custkey", names.title_to_name(title).alias("name"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 0 AND epoch(TIMESTAMP '2024-01-15') - floor(epoch(ts)) > 600")
+def idle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that were downloaded and not looked at since."""
+    from .sources import sinks
+
+    runs = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 2 == 0).alias("downloaded"), F.col("ts").cast("timestamp").alias("viewed_at"))
+    return sinks.idle(runs, F.lit("2024-01-15").cast("timestamp")).select("event_id")
+
+
+@query(V + "SELECT company_name, website, city, state, CAST(NULL AS VARCHAR) AS rationale, CAST(ord % 5 AS INTEGER) AS batch FROM v")
+def exported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an export written as CSV and read again; a column that the run does not know is null."""
+    from .sources import sinks
+
+    path = _folder(spark)
+    sinks.export(X.vendors(spark, sf_dir).withColumn("batch", F.col("ord") % 5), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select("company_name", "website", "city", "state", "rationale", F.col("batch").cast("int").alias("batch"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'kept' WHEN c_custkey % 2 = 0 THEN 'f' || c_custkey END AS phone FROM customer")
+def filled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields filled where they are empty from facts found by hand."""
+    k = F.col("c_custkey")
+    v = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, "kept").when(k % 3 == 1, "").alias("phone"))
+    facts = v.where("c_custkey % 2 = 0").select("c_custkey", F.concat(F.lit("f"), k).alias("phone"))
+    return enrich.fill_if_empty(v, facts, ["phone"], "c_custkey").withColumn("phone", F.nullif("phone", F.lit("")))

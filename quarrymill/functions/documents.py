@@ -81,12 +81,18 @@ TERM_AND_EXTENSION = r"\(?\s*(\d+)\s*\)?\s+years?\s+with\s+(?:one\s+\(?\s*)?(\d+
 TERM = [r"\(?\s*(\d+)\s*\)?\s+years?\s+(?:contract\s+)?(?:term)?", r"(?:term|duration)[:\s\-–]+\(?\s*(\d+)\s*\)?\s+year"]
 EXTENSION = [r"(?:extension|additional\s+period)[:\s\-–]+(?:up\s+to\s+)?(?:one\s+)?\(?\s*(\d+)\s*\)?\s+year"]
 IRREVOCABLE = [r"irrevocable.*?(\d+)\s+(?:calendar\s+)?days"]
-STATE_NAMES = (
-    "Alabama|Alaska|Arizona|Arkansas|California|Colorado|Connecticut|Delaware|Florida|Georgia|Hawaii|Idaho|Illinois|Indiana|Iowa|Kansas|Kentucky|Louisiana|Maine|Maryland|"
-    "Massachusetts|Michigan|Minnesota|Mississippi|Missouri|Montana|Nebraska|Nevada|New Hampshire|New Jersey|New Mexico|New York|North Carolina|North Dakota|Ohio|Oklahoma|Oregon|"
-    "Pennsylvania|Rhode Island|South Carolina|South Dakota|Tennessee|Texas|Utah|Vermont|Virginia|Washington|West Virginia|Wisconsin|Wyoming|DC"
-)
-CITY_STATE = [(r"\b(Washington)\s+(DC)\b", False), (rf"(?:in|at|located in)\s+([A-Za-z]+(?:\s+[A-Z][a-z]+)?),\s*({STATE_NAMES})\b", True), (r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?),\s*([A-Z]{2})\s+\d{5}\b", True)]
+CITY_STATE = [
+    (r"\b(Washington)\s+(DC)\b", False),
+    (
+        r"(?:in|at|located in)\s+([A-Za-z]+(?:\s+[A-Z][a-z]+)?),\s*("
+        r"Alabama|Alaska|Arizona|Arkansas|California|Colorado|Connecticut|Delaware|Florida|Georgia|Hawaii|Idaho|Illinois|Indiana|Iowa|Kansas|Kentucky|Louisiana|"
+        r"Maine|Maryland|Massachusetts|Michigan|Minnesota|Mississippi|Missouri|Montana|Nebraska|Nevada|New Hampshire|New Jersey|New Mexico|New York|"
+        r"North Carolina|North Dakota|Ohio|Oklahoma|Oregon|Pennsylvania|Rhode Island|South Carolina|South Dakota|Tennessee|Texas|Utah|Vermont|Virginia|"
+        r"Washington|West Virginia|Wisconsin|Wyoming|DC"
+        r")\b", True,
+    ),
+    (r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?),\s*([A-Z]{2})\s+\d{5}\b", True),
+]
 NO_CITIES = ["facilities", "systems", "information", "resources", "services", "operations"]
 WIDE_PLACES = [
     ("Nationwide", "United States", ["nationwide", "throughout the united states", "conus", "all states"]),
