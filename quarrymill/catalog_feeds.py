@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .catalog import _SCORE, _REASON, _TIER, C, TENDER, V, query, table
+from .catalog import _REASON, _SCORE, _TIER, ORACLE_SQL, TENDER, C, V, query, table
 from .functions import cleaning
 from .operators import enrich, filtering, ingest, registry, sections
 from .operators.filtering import FilterConfig
@@ -195,10 +195,14 @@ def rerun_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RELEVANT = "CAST(CASE WHEN ord % 100 >= 40 THEN 1 ELSE 0 END AS BIGINT)"
 
 
-@query(V + f""", t AS (SELECT ord, website, row_number() OVER (ORDER BY total_contract_value DESC NULLS LAST, ord) - 1 AS place FROM v QUALIFY place < 500),
+GATE_SQL = V + f""", t AS (SELECT ord, website, row_number() OVER (ORDER BY total_contract_value DESC NULLS LAST, ord) - 1 AS place FROM v QUALIFY place < 500),
 b AS (SELECT place // 100 AS batch, count(*) FILTER (WHERE website IS NOT NULL) AS base, sum({_RELEVANT}) FILTER (WHERE website IS NOT NULL) AS good FROM t GROUP BY 1),
 g AS (SELECT batch, coalesce(sum(good) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
-SELECT ord, place, CAST(ord % 100 AS DOUBLE) AS capability_match_score FROM t JOIN g ON g.batch = t.place // 100 WHERE before < 50 AND website IS NOT NULL""")
+SELECT ord, place, CAST(ord % 100 AS DOUBLE) AS capability_match_score, CASE WHEN ord % 100 >= 40 THEN 'selected' ELSE 'needs_review' END AS match_status FROM t JOIN g ON g.batch = t.place // 100 WHERE before < 50 AND website IS NOT NULL"""
+ORACLE_SQL["quality_gate"] = GATE_SQL
+
+
+@query(GATE_SQL)
 def gated_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of ranked vendors, two under way at once, until enough are relevant: the rows that were scored. Each batch of the 500 has more than the least share
     of relevant vendors, so the gate closes at the target alone."""
@@ -213,7 +217,7 @@ def gated_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = lambda b: b.withColumn("website_content", F.col("website")).withColumn("scrape_error", F.lit(None).cast("string"))
     score = lambda b: filtering.match_rows(b.withColumn("scorer_response", F.concat(F.lit('{"score": '), F.col("ord") % 100, F.lit("}"))), TENDER)
     done = batches.run_gated_ahead(placed, content, score)
-    return sections.union_texts(done.scored).select("ord", "place", F.col("capability_match_score").cast("double").alias("capability_match_score"))
+    return sections.union_texts(done.scored).select("ord", "place", F.col("capability_match_score").cast("double").alias("capability_match_score"), "match_status")
 
 
 @query("WITH r AS (" + X.plain(X.REGISTRY) + "), f AS (SELECT * FROM r WHERE source IN ('canada_contracts', 'canada_odbus') AND state = 'ON'), a AS (SELECT vendor_key, row_number() OVER (ORDER BY total_contract_value DESC NULLS LAST, contract_count DESC NULLS LAST, vendor_key) AS n FROM f), one AS (SELECT vendor_key FROM a WHERE n <= 5), "
@@ -278,3 +282,53 @@ def filled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, "kept").when(k % 3 == 1, "").alias("phone"))
     facts = v.where("c_custkey % 2 = 0").select("c_custkey", F.concat(F.lit("f"), k).alias("phone"))
     return enrich.fill_if_empty(v, facts, ["phone"], "c_custkey").withColumn("phone", F.nullif("phone", F.lit("")))
+
+
+@query("SELECT 'q' || p_partkey AS query, 'local' AS level, CAST(i AS INTEGER) AS position, p_brand || i AS title, 'site' || (p_partkey % 9) || '.com' AS domain FROM part, (SELECT unnest([1, 2, 3]) AS i) WHERE i <= 1 + p_partkey % 3")
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured answers of a search service, one row per result."""
+    k = F.col("p_partkey")
+    result = lambda i: F.struct(F.concat("p_brand", i).alias("title"), F.concat(F.lit("https://www.Site"), k % 9, F.lit(".com/"), i).alias("link"), F.lit("s").alias("snippet"))
+    captured = table(spark, sf_dir, "part").select(F.concat(F.lit("q"), k).alias("query"), F.lit("local").alias("level"), F.transform(F.sequence(F.lit(1), (1 + k % 3).cast("int")), result).alias("organic"))
+    path = _folder(spark)
+    captured.write.json(path)
+    return feeds.search_results(spark.read.schema(captured.schema).json(path)).select("query", "level", "position", "title", "domain")
+
+
+@query("SELECT 'U' || s_suppkey AS uei, s_name AS company_name, s_suppkey % 3 = 0 AS is_wosb, s_suppkey % 2 = 0 AS is_hubzone FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey % 4 = 1 ORDER BY s_suppkey")
+def small_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies of a captured certification search, by certificate and state."""
+    k = F.col("s_suppkey")
+    text = lambda c: F.lit(c).cast("string")
+    named = lambda c: F.struct(c.alias("certification_name"))
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("U"), k).alias("uei"), text(None).alias("cage_code"), F.col("s_name").alias("businessName"), text("u").alias("url"), text("c").alias("sam_address_city"), F.when(F.col("s_nationkey") % 4 == 1, "tx").otherwise("NM").alias("sam_address_state"),
+        text(None).alias("email"), text(None).alias("phone"), F.array(text("238")).alias("naics_codes"), F.when(k % 3 == 0, F.array(named(text("Women-Owned Small Business")))).alias("certifications"), F.when(k % 2 == 0, F.array(named(text("HUBZone firm")))).alias("self_certifications"),
+    )
+    found = feeds.small_business_companies(_json(spark, rows, "results"), certification="hubzone", state="TX", cap=1_000_000_000)
+    return found.select("uei", "company_name", "is_wosb", "is_hubzone")
+
+
+@query("SELECT 'R' || o_orderkey AS external_id, o_orderstatus AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'N1/N2' ELSE 'N3' END AS gsin, strftime(o_orderdate, '%Y-%m-%d') AS posted, CASE WHEN o_orderkey % 3 = 0 THEN 'http://a' ELSE '' END AS attachments FROM orders")
+def open_data_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices of an open-data service; fields that end in _url are attachments."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("R"), k).alias("reference_number"), F.col("o_orderstatus").alias("title_en"), F.when(k % 2 == 0, "N1, N2").otherwise("N3").alias("gsin_code"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("publication_date"),
+        F.when(k % 3 == 0, "http://a").when(k % 3 == 1, "ftp://b").alias("notice_url"),
+    )
+    payload = _json(spark, rows, "records").select(F.struct("records").alias("result"))
+    return feeds.ckan_records(payload).select("external_id", "title", _list("gsin").alias("gsin"), "posted", _list("attachments").alias("attachments"))
+
+
+@query("WITH r AS (" + X.plain(X.REGISTRY) + ") SELECT vendor_key, legal_name FROM r WHERE source = 'canada_contracts' AND vendor_key IN ('s3', 's4')")
+def vendor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = X.view(spark, sf_dir, X.REGISTRY)
+    return registry.by_id(r, "s3").unionByName(registry.by_id(r, "s4").where("source = 'canada_contracts'")).select("vendor_key", "legal_name")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE '2024' END AS day FROM events")
+def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    stamp = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).otherwise("2024")
+    return e.select("event_id", cleaning.date_part(stamp).alias("day"))

@@ -18,14 +18,12 @@ EARTH_MILES = 3958.7613
 EQUATOR_METRES, FLATTENING, MILE_METRES = 6378137.0, 1 / 298.257223563, 1609.344
 
 
-def _neighbours(table: dict[str, list[str]]) -> Column:
-    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-
-
 def is_neighbour(tender_state: Column, vendor_state: Column, country: Column) -> Column:
-    """Whether the tender's region lists the vendor's as a neighbour, in the table of the tender's country."""
-    row = F.when(F.contains(F.coalesce(country, F.lit("")), F.lit("Canada")), F.element_at(_neighbours(CANADA_NEIGHBOURS), tender_state)).otherwise(F.element_at(_neighbours(US_NEIGHBOURS), tender_state))
-    return F.coalesce(F.array_contains(row, vendor_state), F.lit(False))
+    """Whether the tender's region lists the vendor's as a neighbour, in the table of the tender's country. Pairs of regions are looked up in a hash set."""
+    pair = F.concat(tender_state, F.lit("|"), vendor_state)
+    listed = lambda table: pair.isin([f"{k}|{x}" for k, v in table.items() for x in v])
+    row = F.when(F.contains(F.coalesce(country, F.lit("")), F.lit("Canada")), listed(CANADA_NEIGHBOURS)).otherwise(listed(US_NEIGHBOURS))
+    return F.coalesce(row, F.lit(False))
 
 
 def geo_tier(tender_state: Column, vendor_state: Column, country: Column) -> Column:
