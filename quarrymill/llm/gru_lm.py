@@ -281,20 +281,18 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def frequent_words(counts: DataFrame, known: int) -> tuple[list[tuple[bytes, int]], int]:
-    """At most `known` words with their counts, most frequent first, and the least count that makes a word one of them:
-    all words of that count and more. Found by a histogram over classes of counts, so executors send only these."""
+    """At most `known` words with their counts, most frequent first, and the least count whose words, and those of more, are all among them. Words
+    of about equal counts are taken together or not at all, but where that leaves less than half of `known`, they are taken by count and word. Found by a histogram over classes of counts, so executors send only these."""
     step = 64.0
     level = F.floor(F.log2("c") * step)
     sizes = {r[0]: (r[1], r[2]) for r in counts.groupBy(level.alias("l")).agg(F.count("*"), F.min("c")).collect()}  # at most 64 a doubling
-    least, total = 0, 0
-    for x in sorted(sizes, reverse=True):
-        total += sizes[x][0]
-        if total > known:
-            break
-        least = sizes[x][1]
-    if not least:
-        return [], 1 << 62
-    rows = [(r.w.encode("utf-8", "surrogatepass"), r.c) for r in counts.where(F.col("c") >= least).collect()]
+    levels, least, total, fit = sorted(sizes, reverse=True), 1 << 62, 0, 0
+    while fit < len(levels) and total + sizes[levels[fit]][0] <= known:
+        total, least, fit = total + sizes[levels[fit]][0], sizes[levels[fit]][1], fit + 1
+    taken = counts.where(F.col("c") >= least)
+    if fit < len(levels) and 2 * total < known:
+        taken = taken.unionByName(counts.where(level == levels[fit]).orderBy(F.desc("c"), "w").limit(known - total))
+    rows = [(r.w.encode("utf-8", "surrogatepass"), r.c) for r in taken.collect()]
     return sorted(rows, key=lambda x: (-x[1], x[0])), least
 
 

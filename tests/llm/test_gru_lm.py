@@ -134,3 +134,18 @@ def test_few_documents_reach_the_model(spark):
     assert sum(s for s, _ in got.values()) > 0.9 * sum(b for _, b in got.values())  # the order of words is learnt
     none = score(share=1e-9)  # no document has so small a hash
     assert all(math.isclose(none[i][0], got[i][0], rel_tol=1e-6) for i in got)
+
+
+def test_words_of_equal_counts_fill_the_table(spark):
+    from quarrymill.llm.gru_lm import frequent_words
+
+    equal = spark.createDataFrame([(f"w{i:04d}", 3) for i in range(2000)] + [("top", 9)], "w string, c long")
+    rows, least = frequent_words(equal, 100)
+    assert rows == [(b"top", 9)] + [(f"w{i:04d}".encode(), 3) for i in range(99)] and least == 9
+    rows, least = frequent_words(equal.where("c = 3"), 100)
+    assert len(rows) == 100 and least > 3
+    assert frequent_words(equal, 5000)[1] == 3 and len(frequent_words(equal, 5000)[0]) == 2001
+    # the base scores don't depend on how many words the table holds
+    docs = spark.createDataFrame([(i, " ".join(f"w{(7 * i + j) % 400}" for j in range(20))) for i in range(200)], "doc_id long, text string")
+    base = lambda known: {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in score_documents(docs, known=known).collect()}
+    assert base(60) == base(100_000)
