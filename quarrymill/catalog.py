@@ -772,7 +772,7 @@ walk AS (SELECT DISTINCT searcher, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS
            CASE lvl WHEN 'given' THEN e.website WHEN 'cache' THEN hit['site'] WHEN 'first' THEN e.good WHEN 'second' THEN e.second_website END AS found,
            CASE lvl WHEN 'cache' THEN hit['sure'] WHEN 'first' THEN CAST(e.first_confidence AS DOUBLE) WHEN 'second' THEN 0.9::DOUBLE END AS sure
     FROM e JOIN walk w ON w.searcher = e.searcher AND e.n = w.n + 1))
-SELECT searcher, vendor_key, asked, level, website, confidence, skipped FROM walk WHERE n > 0"""
+SELECT searcher, vendor_key, epoch_us(asked) AS asked, level, website, confidence, skipped FROM walk WHERE n > 0"""
 
 
 @query(LADDER_SQL)
@@ -791,6 +791,6 @@ def website_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
         found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(ladder.STATE_STORE, before) if before else spark.conf.unset(ladder.STATE_STORE)
-    return spark.read.parquet(f"{root}/out").withColumnRenamed("at", "asked")
+    return spark.read.parquet(f"{root}/out").withColumn("at", F.unix_micros("at")).withColumnRenamed("at", "asked")
 
 from . import catalog_feeds  # noqa: E402, F401 - adds its queries
