@@ -1,7 +1,8 @@
 """The nearest of many entities, exactly, by distance on the ellipsoid.
 
-Entities lie on a grid of cells of `cell` degrees. How many a cell holds is counted first: these counts are one row per occupied cell, at
-most 180 * 360 / cell^2 rows whatever the input, and go to every task. A question takes cells in the order of the farthest that their
+Entities lie on a grid of cells of `cell` degrees, by default such that a cell holds about 2 k of them: the pairs of a question and the entities in
+its cells stay as many when entities grow in number. How many a cell holds is counted first: these counts are one row per occupied cell, at
+most 180 * 360 / cell^2 rows whatever the input, and go to every task. Questions at one place are answered once. A question takes cells in the order of the farthest that their
 entities can be, until they hold k; that bounds the k-th distance, and only cells that can be nearer than this bound are joined. The rings
 that a question reaches therefore grow where entities are few and end at once where they are many.
 
@@ -23,6 +24,7 @@ from ..functions.geo import EARTH_MILES, located, miles
 from ..session import checkpointed
 
 UNKNOWN = -1  # the cell of entities without coordinates
+MOST_CELLS = 1 << 18  # that a finer grid may have, as they go to every task
 SPREAD = 0.006  # the sphere's distances differ from the ellipsoid's by less than this share
 
 
@@ -36,56 +38,106 @@ def cell_of(lat: Column, lon: Column, cell: float) -> Column:
 def _sphere(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
     a, b = np.radians(lat1), np.radians(lat2)
     h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_MILES * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+    return 2 * EARTH_MILES * np.arcsin(np.sqrt(np.clip(h, 0.0, 1.0)))  # middles of the last cells lie beyond the pole
+
+
+def _sphere_of(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    a, b = F.radians(lat1), F.radians(lat2)
+    h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return 2 * EARTH_MILES * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+
+
+def _shape(number: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Middles of cells, and the farthest that a place in the cell is from them."""
+    across = int(np.ceil(360 / cell))
+    south, west = number // across * cell - 90.0, number % across * cell - 180.0
+    lat, lon = south + cell / 2, west + cell / 2
+    radius = np.max([_sphere(lat, lon, np.clip(south + a * cell, -90, 90), west + b * cell) for a in (0, 1) for b in (0, 1)], axis=0)
+    # a cell that the equator runs along is widest at its side, not in its corners
+    return lat, lon, np.maximum(radius, np.radians(cell) * EARTH_MILES * 0.75)
 
 
 class Cells:
     """Occupied cells: middles, the farthest that a corner is from the middle, and how many entities they hold."""
 
     def __init__(self, counts: dict[int, int], cell: float):
-        across = int(np.ceil(360 / cell))
+        self.cell = cell
         self.number = np.array(sorted(counts), np.int64)
         self.count = np.array([counts[c] for c in self.number.tolist()], np.int64)
         self.unknown = self.number == UNKNOWN
-        south, west = self.number // across * cell - 90.0, self.number % across * cell - 180.0
-        self.lat, self.lon = south + cell / 2, west + cell / 2
-        self.radius = np.max([_sphere(self.lat, self.lon, np.clip(south + a * cell, -90, 90), west + b * cell) for a in (0, 1) for b in (0, 1)], axis=0)
-        # a cell that the equator runs along is widest at its side, not in its corners
-        self.radius = np.maximum(self.radius, np.radians(cell) * EARTH_MILES * 0.75)
+        self.lat, self.lon, self.radius = _shape(self.number, cell)
+
+    def _reach(self, lat: np.ndarray, lon: np.ndarray, around: float, among: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For questions within `around` miles of each of these places: (place, cell) as indices, and how far the k-th nearest of a place can be."""
+        away = _sphere(self.lat[among], self.lon[among], lat[:, None], lon[:, None])
+        unknown, radius = self.unknown[among], self.radius[among] + around
+        farthest = np.where(unknown, np.inf, (away + radius) * (1 + SPREAD))
+        nearest = np.where(unknown, np.inf, np.maximum(0.0, away - radius) * (1 - SPREAD))
+        order = np.argsort(farthest, axis=1, kind="stable")
+        enough = np.minimum((np.cumsum(self.count[among][order], axis=1) < k).sum(axis=1), len(among) - 1)
+        limit = np.take_along_axis(farthest, np.take_along_axis(order, enough[:, None], 1), 1)
+        place, cell = np.nonzero(nearest <= limit)
+        return place, among[cell], limit[:, 0]
 
     def reach(self, lat: float, lon: float, k: int) -> np.ndarray:
         """The cells that can hold one of the k nearest."""
-        away = _sphere(self.lat, self.lon, lat, lon)
-        farthest = np.where(self.unknown, np.inf, (away + self.radius) * (1 + SPREAD))
-        nearest = np.where(self.unknown, np.inf, np.maximum(0.0, away - self.radius) * (1 - SPREAD))
-        order = np.argsort(farthest, kind="stable")
-        enough = np.searchsorted(np.cumsum(self.count[order]), k)
-        limit = farthest[order[min(enough, len(order) - 1)]] if len(order) else 0.0
-        return self.number[nearest <= limit]
-
-
-def nearest(questions: DataFrame, entities: DataFrame, k: int = 10, cell: float = 1.0) -> DataFrame:
+        return self.number[self._reach(np.array([lat]), np.array([lon]), 0.0, np.arange(len(self.number)), k)[1]]
+
+    def reaches(self, lat: np.ndarray, lon: np.ndarray, number: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For places that lie in the cells `number`: (place, cell, limit) in lots; the cells can hold one of the k nearest of the place, none of
+        which is farther than the limit. What a whole cell of places can reach is worked out first, and only that for each place."""
+        own = np.unique(number)
+        middle = _shape(own, self.cell)
+        for i, n in enumerate(own):
+            at = np.flatnonzero(number == n)
+            _, among, _ = self._reach(middle[0][i : i + 1], middle[1][i : i + 1], middle[2][i], np.arange(len(self.number)), k)
+            step = max(1, (1 << 20) // len(among))
+            for lot in (at[j : j + step] for j in range(0, len(at), step)):
+                place, cell, limit = self._reach(lat[lot], lon[lot], 0.0, among, k)
+                yield lot[place], self.number[cell], limit[place]
+
+
+def _cell_size(held: DataFrame, k: int) -> float:
+    """The width of cells of which one holds about 2 k entities, where an entity lies on average; from one degree down, while cells stay few."""
+    cell = 1.0
+    s = held.where("lat is not null").groupBy(cell_of(F.col("lat"), F.col("lon"), cell)).count().agg(F.sum(F.col("count").cast("double") ** 2), F.sum("count"), F.count("*")).first()
+    crowd, occupied = (s[0] / s[1], s[2]) if s[1] else (0.0, 0)
+    while crowd > 2 * k and occupied * 4 <= MOST_CELLS:
+        cell, crowd, occupied = cell / 2, crowd / 4, occupied * 4
+    return cell
+
+
+def nearest(questions: DataFrame, entities: DataFrame, k: int = 10, cell: float | None = None) -> DataFrame:
     """questions: (question, lat, lon); entities: (key, lat, lon). (question, key, miles, place) with the k nearest entities of every question
     that has coordinates, ties by key, those without coordinates last."""
     known = F.col("lat").between(-90, 90) & F.col("lon").isNotNull() & ~F.isnan("lon")
     spot = lambda c: F.when(known, F.col(c).cast("double"))
-    rows = entities.select("key", spot("lat").alias("lat"), spot("lon").alias("lon")).withColumn("cell", cell_of(F.col("lat"), F.col("lon"), cell))
-    first = F.row_number().over(Window.partitionBy("cell", "lat", "lon").orderBy("key"))
+    rows = entities.select("key", spot("lat").alias("lat"), spot("lon").alias("lon"))
+    first = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("key"))
     held = checkpointed(rows.withColumn("_n", first).where(F.col("_n") <= k).drop("_n"))
+    cell = cell or _cell_size(held, k)
+    held = held.withColumn("cell", cell_of(F.col("lat"), F.col("lon"), cell))
     counts = {r.cell: r.n for r in held.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row per cell
     cells = Cells(counts, cell)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at, lat, lon in zip(b["question"], b["qlat"], b["qlon"]):
-                yield pd.DataFrame({"cell": cells.reach(lat, lon, k)}).assign(question=at, qlat=lat, qlon=lon)[["question", "qlat", "qlon", "cell"]]
+            lat, lon, own = b["qlat"].to_numpy(), b["qlon"].to_numpy(), b["qcell"].to_numpy()
+            for place, number, limit in cells.reaches(lat, lon, own, k):
+                yield pd.DataFrame({"qlat": lat[place], "qlon": lon[place], "cell": number, "limit": limit})
 
     asked = questions.where(known).select("question", spot("lat").alias("qlat"), spot("lon").alias("qlon"))
-    kind = asked.schema["question"].dataType.simpleString()
-    reached = asked.mapInPandas(spread, f"question {kind}, qlat double, qlon double, cell long") if counts else asked.withColumn("cell", F.lit(0)).limit(0)
-    pairs = reached.join(held, "cell").withColumn("miles", miles(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")))
-    place = F.row_number().over(Window.partitionBy("question").orderBy("miles", "key"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k).select("question", "key", "miles", "place")
+    if not counts:
+        return asked.limit(0).select("question", F.lit(None).cast(entities.schema["key"].dataType).alias("key"), F.lit(0.0).alias("miles"), F.lit(0).alias("place"))
+    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as a few rows here are much work
+    # questions at one place have one answer; those of a cell come together
+    places = asked.select("qlat", "qlon").distinct().withColumn("qcell", cell_of(F.col("qlat"), F.col("qlon"), cell)).repartitionByRange(parts, "qcell", "qlat", "qlon")
+    reached = places.mapInPandas(spread, "qlat double, qlon double, cell long, limit double")
+    near = F.col("lat").isNull() | (_sphere_of(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")) * (1 - SPREAD) <= F.col("limit"))
+    pairs = reached.join(held, "cell").where(near).withColumn("miles", miles(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")))
+    place = F.row_number().over(Window.partitionBy("qlat", "qlon").orderBy("miles", "key"))
+    best = pairs.withColumn("place", place).where(F.col("place") <= k).select("qlat", "qlon", "key", "miles", "place")
+    return asked.join(best, ["qlat", "qlon"]).select("question", "key", "miles", "place")
 
 
 def estimated(entities: DataFrame, lat: float, lon: float, city: str = "city", state: str = "state") -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,32 @@ def test_few_cells_are_reached(spark):
     assert max(len(cells.reach(lat, -75.3, 10)) for lat in (0.0, 45.2, -60.0)) < 60
 
 
+def test_work_grows_with_places_not_with_their_square(spark, monkeypatch):
+    """Distances worked out: a bounded number for each place that is asked about, however many ask and however dense entities lie."""
+    from pyspark.sql.functions import pandas_udf
+
+    from quarrymill.operators import nearest as N
+
+    done = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("double")
+    def counted(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+        done.add(len(lat1))
+        return pd.Series(geo.geodesic_miles(*(x.to_numpy(float) for x in (lat1, lon1, lat2, lon2))))
+
+    monkeypatch.setattr(N, "miles", lambda *c: counted(*c))
+    rng = np.random.default_rng(3)
+    at = rng.uniform(0, 1, (2000, 2)) + [40, -75]
+    e = spark.createDataFrame([(f"e{i:04d}", float(a), float(o)) for i, (a, o) in enumerate(at)], "key string, lat double, lon double")
+    q = spark.createDataFrame([(i, 40.0 + i % 20 / 20, -74.5) for i in range(400)], "question int, lat double, lon double")
+    got = {(r.question, r.place): r.key for r in nearest(q, e, 3).collect()}
+    assert len(got) == 1200 and all(got[i, n] == got[i % 20, n] for i in range(400) for n in (1, 2, 3))
+    for i in range(20):
+        d = geo.geodesic_miles(np.full(2000, 40.0 + i / 20), np.full(2000, -74.5), *at.T)
+        assert [got[i, n] for n in (1, 2, 3)] == [f"e{j:04d}" for j in np.argsort(d)[:3]]
+    assert done.value < 20 * 200  # 800,000 pairs before
+
+
 def test_estimates(spark):
     rows = [(1, "Santa Fe ", "NM"), (2, "Nowhere", "NM"), (3, None, "TX"), (4, "Paris", "FR"), (5, "Toronto", None), (6, "x", "")]
     got = by_distance(spark.createDataFrame(rows, "id int, city string, state string"), 35.0844, -106.6504, "id").collect()
