@@ -166,8 +166,12 @@ def filled(vendors: DataFrame, *names: str) -> DataFrame:
 
 def cross_reference(vendors: DataFrame, registry: DataFrame, threshold: float = 0.6, most: int = 5) -> DataFrame:
     """(vendor_key, match_key, similarity, place): the registry's most similar names in the vendor's city, at most `most` per vendor."""
-    theirs = registry.select(F.lower("city").alias("place_key"), match_name(F.col("legal_name")).alias("name"), F.col("vendor_key").cast("string").alias("key"))
-    return similar_names.cross_reference(vendors, theirs, match_name(F.col("company_name")), F.col("city"), threshold, most)
+    return similar_names.cross_reference(vendors, register_names(registry), match_name(F.col("company_name")), F.col("city"), threshold, most)
+
+
+def register_names(registry: DataFrame) -> DataFrame:
+    """(place_key, name, key) of the registry, as similar names are looked for."""
+    return registry.select(F.lower("city").alias("place_key"), match_name(F.col("legal_name")).alias("name"), F.col("vendor_key").cast("string").alias("key"))
 
 
 def cross_referenced_codes(matches: DataFrame, bridge: DataFrame) -> DataFrame:

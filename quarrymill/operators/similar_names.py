@@ -159,8 +159,12 @@ def most_similar(names: DataFrame, register: DataFrame, threshold: float = 0.6,
     return met.withColumn("place", place).where(F.col("place") <= most)
 
 
+def asked_names(vendors: DataFrame, name: Column, city: Column) -> DataFrame:
+    """(vendor_key, place_key, name) of vendors that have a city."""
+    return vendors.withColumn("place_key", F.lower(city)).where("place_key <> ''").withColumn("name", name).select("vendor_key", "place_key", "name")
+
+
 def cross_reference(vendors: DataFrame, register: DataFrame, name: Column, city: Column, threshold: float = 0.6, most: int = 5) -> DataFrame:
     """(vendor_key, match_key, similarity, place): most_similar() of every vendor's name, as `name` cleans it, in its city."""
-    rows = vendors.withColumn("place_key", F.lower(city)).where("place_key <> ''").withColumn("name", name)
-    own = rows.select("vendor_key", "place_key", "name")
+    own = asked_names(vendors, name, city)
     return own.join(most_similar(own, register, threshold, most), ["place_key", "name"]).select("vendor_key", F.col("key").alias("match_key"), "similarity", "place")

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import Change, Store, append_new
-from .registry import cross_reference, cross_referenced_codes
+from ..functions.names import match_name
+from ..session import checkpointed
+from ..sources.store import Change, Store
+from .registry import register_names
+from .similar_names import asked_names, most_similar
 
 SOURCE = "canada_odbus_cross_reference"
 FLAGS = {"naics_enriched": "boolean", "naics_source": "string", "naics_match_count": "int"}
@@ -44,25 +47,36 @@ def write_back_codes(
 ) -> dict[str, int]:
     """For vendors of `source` that have a city: the codes of the most similar names of the registry in their city. What this run has done."""
     out = {"ranges": 0, "vendors": 0, "codes": 0}
-    for part in pending(store, ranges, name):
+    left = pending(store, ranges, name)
+    if left:
+        register = checkpointed(register_names(registry))
+    bridge = registry_codes.select(F.col("vendor_key").cast("string").alias("key"), "code")
+    for part in left:
 
         def work(change: Change, part: int = part) -> tuple[int, int]:
             buckets = change.tables["vendors"]["buckets"]
             own = [b for b in range(buckets) if b * ranges // buckets == part]
             vendors = change.read("vendors", buckets=own).where((F.col("source") == source) & F.col("city").isNotNull()).select("vendor_key", F.col("legal_name").alias("company_name"), "city")
-            matches = cross_reference(vendors, registry, threshold, most)
-            codes = cross_referenced_codes(matches, registry_codes)
-            counts = matches.groupBy("vendor_key").agg(F.count("*").cast("int").alias("naics_match_count"))
-            found = codes.join(counts, "vendor_key").where(F.size("naics_codes") > 0)
-            marked = found.select("vendor_key", F.lit(True).alias("naics_enriched"), F.lit(SOURCE).alias("naics_source"), "naics_match_count")
-            new = found.select("vendor_key", F.explode("naics_codes").alias("code"), F.lit(False).alias("is_primary"))
-            before = change.read("vendor_codes", buckets=own).count()
-            change.upsert("vendor_codes", new, ["vendor_key"], append_new(["vendor_key", "code"]))
+            named = asked_names(vendors, match_name(F.col("company_name")), F.col("city"))
+            matches = checkpointed(most_similar(named, register, threshold, most))
+            counts = matches.groupBy("place_key", "name").agg(F.count("*").cast("int").alias("naics_match_count"))
+            codes = matches.join(bridge.join(matches.select("key").distinct(), "key", "left_semi"), "key")
+            codes = codes.groupBy("place_key", "name").agg(F.collect_set("code").alias("codes"))
+            # a row per name until the rows are written: vendors of one name share its codes
+            by_name = checkpointed(codes.join(counts, ["place_key", "name"]).where(F.size("codes") > 0))
+            marked = named.join(by_name.drop("codes"), ["place_key", "name"]).select("vendor_key", F.lit(True).alias("naics_enriched"), F.lit(SOURCE).alias("naics_source"), "naics_match_count")
+            before = change.read("vendor_codes", buckets=own)
+            n_before = before.count()
+            found = named.join(by_name.hint("merge"), ["place_key", "name"]).select("vendor_key", "codes")
+            if n_before:
+                has = before.groupBy("vendor_key").agg(F.collect_set("code").alias("_has"))
+                found = found.join(has, "vendor_key", "left").withColumn("codes", F.array_except("codes", F.coalesce("_has", F.array().cast("array<string>"))))
+            change.extend("vendor_codes", found.select("vendor_key", F.explode("codes").alias("code"), F.lit(False).alias("is_primary")))
             change.update("vendors", marked, ["vendor_key"])
             progress = change.meta.get(name, {"ranges": ranges, "done": []})
             change.meta[name] = {"ranges": ranges, "done": sorted({*progress["done"], part})}
             flagged = change.read("vendors", buckets=own).where("naics_enriched").count()
-            return flagged, change.read("vendor_codes", buckets=own).count() - before
+            return flagged, change.read("vendor_codes", buckets=own).count() - n_before
 
         vendors, codes = store.transact(work)
         out = {"ranges": out["ranges"] + 1, "vendors": out["vendors"] + vendors, "codes": out["codes"] + codes}

@@ -6,7 +6,8 @@ commits all its tables at once by creating the next number, which only one write
 replace, on a local disk by a hard link. So readers see a version whole or not at all, whatever is written beside them; a writer that dies leaves
 folders that no version names; and a writer that comes second works its change out again on the new version.
 
-Rows lie in the bucket of their key's hash. An upsert reads and writes the buckets of the keys that it brings, not the table. Old versions and folders
+Rows lie in the bucket of their key's hash. An upsert reads and writes the buckets of the keys that it brings, not the table; rows known to be new are
+added in further folders of their buckets. Old versions and folders
 without a version are deleted by vacuum(), by age alone; the age has to exceed the longest read and the longest change.
 """
 
@@ -37,6 +38,11 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def _folders(files: dict[str, str | list[str]]) -> list[str]:
+    """The folders of buckets; one that was extended has several."""
+    return [f for own in files.values() for f in ([own] if isinstance(own, str) else own)]
+
+
 def publish(spark: SparkSession, folder: str, name: str, text: str) -> bool:
     """Creates a file with this text, whole or not at all; False if one of that name is there. Of several writers one succeeds: the rename does not replace,
     and a local disk, where it would, has hard links."""
@@ -101,7 +107,7 @@ class Store:
 
     def _table(self, table: dict, buckets: list[int] | None = None) -> DataFrame:
         schema = StructType.fromJson(table["schema"])
-        wanted = [f for b, f in table["files"].items() if buckets is None or int(b) in set(buckets)]
+        wanted = _folders({b: f for b, f in table["files"].items() if buckets is None or int(b) in set(buckets)})
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in wanted]) if wanted else self.spark.createDataFrame([], schema)
 
     def begin(self) -> Change:
@@ -137,7 +143,7 @@ class Store:
             self._delete(f"versions/{v:012d}.json")
         for name in [n for n, at in written.items() if n.endswith(".tmp") and at <= limit]:
             self._delete(f"versions/{name}")
-        named = {f for v in stay for t in self.manifest(v)["tables"].values() for f in t["files"].values()}
+        named = {f for v in stay for t in self.manifest(v)["tables"].values() for f in _folders(t["files"])}
         gone = 0
         for folder, at in self._list("data").items():
             if at > limit:
@@ -174,6 +180,26 @@ class Change:
         found = [n for n in self.store._list(folder) if n.startswith(BUCKET + "=")]
         return {n.split("=")[1]: f"{folder}/{n}" for n in found}
 
+    def extend(self, name: str, rows: DataFrame) -> None:
+        """Adds rows, which the caller knows to be new, in folders of their own beside those of their buckets. Each task writes what it has: rows that are many
+        times what they were made of are neither shuffled nor sorted."""
+        table, conf = self.tables[name], self.store.spark.conf
+        folder, writers = f"data/{uuid.uuid4().hex}", "spark.sql.maxConcurrentOutputFileWriters"
+        self._written.append(folder)
+        known = conf.get(writers)
+        conf.set(writers, str(table["buckets"]))  # else a sort by bucket comes first
+        try:
+            own = rows.select(*[f["name"] for f in table["schema"]["fields"]]).withColumn(BUCKET, bucket_of(table["keys"], table["buckets"]))
+            own.write.partitionBy(BUCKET).parquet(f"{self.store.root}/{folder}")
+        finally:
+            conf.set(writers, known)
+        files = dict(table["files"])
+        for n in self.store._list(folder):
+            if n.startswith(BUCKET + "="):
+                b = n.split("=")[1]
+                files[b] = [*_folders({b: files[b]} if b in files else {}), f"{folder}/{n}"]
+        self.tables[name] = {**table, "files": files}
+
     def put(self, name: str, df: DataFrame, keys: list[str], buckets: int = 16) -> None:
         """The whole table anew."""
         self.tables[name] = {"schema": json.loads(df.schema.json()), "keys": keys, "buckets": buckets, "files": self._write(df, keys, buckets, buckets)}

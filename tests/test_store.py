@@ -163,3 +163,20 @@ def test_codes_are_written_back_and_resumed(spark, tmp_path):
     assert len(pairs) == len(set(pairs)) == 2 * len(flagged) + 1  # 237 of v1 is stored already, 111 of v2 stays
     with pytest.raises(ValueError):
         writeback.pending(again, 5)
+
+
+def test_written_back_codes_are_not_shuffled(spark, tmp_path):
+    """Vendors of one name share its codes: what is dealt to tasks grows with vendors and names, not with the rows that are written."""
+    vendors = spark.range(600).select(F.concat(F.lit("v"), "id").alias("vendor_key"), F.concat(F.lit("Maple Works "), F.col("id") % 3).alias("legal_name"), F.lit("Ottawa").alias("city"), F.lit("canada_contracts").alias("source"))
+    registry = spark.range(3).select(F.concat(F.lit("r"), "id").alias("vendor_key"), F.concat(F.lit("Maple Works "), "id").alias("legal_name"), F.lit("OTTAWA").alias("city"))
+    codes = spark.range(150).select(F.concat(F.lit("r"), F.col("id") % 3).alias("vendor_key"), F.concat(F.lit("5"), "id").alias("code"))
+    none = spark.createDataFrame([("v1", "51", True), ("v2", "x", True)], "vendor_key string, code string, is_primary boolean")
+    store = writeback.prepare(vendors, none, str(tmp_path / "s"), buckets=4)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    dealt = lambda: {(s := all_.apply(i)).stageId(): s.shuffleWriteRecords() for all_ in [stages()] for i in range(all_.size())}
+    before = set(dealt())
+    assert writeback.write_back_codes(store, registry, codes, ranges=2) == {"ranges": 2, "vendors": 600, "codes": 600 * 150 - 1}
+    assert sum(n for stage, n in dealt().items() if stage not in before) < 20_000
+    pairs = [(r.vendor_key, r.code) for r in store.read("vendor_codes").collect()]
+    assert len(pairs) == len(set(pairs)) == 600 * 150 + 1
+    assert store.vacuum(0) >= 1 and store.read("vendor_codes").count() == len(pairs)
