@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .cleaning import MONTHS
+from .names import once
 
 # Phrases of headings that open a field, in the order in which fields are tried.
 HEADINGS = {
@@ -163,23 +164,28 @@ def _table_lines(content: Column) -> Column:
 
 
 def _cells(line: Column) -> Column:
-    parts = F.split(line, r"\|")
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.trim(x))
+    return once(F.split(line, r"\|"), lambda parts: F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.trim(x)))
 
 
 def table_type(content: Column) -> Column:
-    lines = _table_lines(content)
-    header = F.array_join(_cells(F.get(lines, F.lit(0))), " ")
-    top = F.array_join(F.slice(lines, 1, 5), "\n")
-    return (
-        F.when(F.size(lines) < 2, "unknown")
-        .when(top.rlike(QA_ROWS) | has_any(header, ["question", "answer", "q&a", "q/a"]), "qa")
-        .when((hits(header, LINE_ITEMS) >= 2) | has_any(header, ["line item", "line-item"]), "line_items")
-        .when(has_any(header, TECHNICAL), "technical_specs")
-        .when(has_any(header, QUALITY) | (F.contains(_low(content), F.lit("defect description")) & F.contains(_low(content), F.lit("allowable"))), "quality")
-        .when(has_any(header, PRICING), "pricing")
-        .otherwise("unknown")
-    )
+    def judged(t: Column) -> Column:
+        header, low = t["header"], t["low"]
+        return (
+            F.when(t["n"] < 2, "unknown")
+            .when(t["top"].rlike(QA_ROWS) | has_any(header, ["question", "answer", "q&a", "q/a"]), "qa")
+            .when((hits(header, LINE_ITEMS) >= 2) | has_any(header, ["line item", "line-item"]), "line_items")
+            .when(has_any(header, TECHNICAL), "technical_specs")
+            .when(has_any(header, QUALITY) | (F.contains(low, F.lit("defect description")) & F.contains(low, F.lit("allowable"))), "quality")
+            .when(has_any(header, PRICING), "pricing")
+            .otherwise("unknown")
+        )
+
+    # the lines, then the header, are worked out once for all the words that are looked for in them
+    def parts(lines: Column) -> Column:
+        header = F.array_join(_cells(F.get(lines, F.lit(0))), " ")
+        return F.struct(F.size(lines).alias("n"), header.alias("header"), F.array_join(F.slice(lines, 1, 5), "\n").alias("top"), _low(content).alias("low"))
+
+    return once(once(_table_lines(content), parts), judged)
 
 
 def table_priority(kind: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ TITLE_ENDINGS = [
 ]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value worked out once for a row however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def given(c: Column) -> Column:
     """A string that is neither null nor empty."""
     return F.coalesce(c, F.lit("")) != ""
