@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from .names import compact, domain, domain_root, given
+from .names import compact, domain, domain_root, given, once
 
 
 def _any(c: Column, test, words: list[str]) -> Column:
@@ -102,23 +102,27 @@ def snippet_contacts(results: Column) -> Column:
 def vendor_emails(found: Column, website: Column, company: Column) -> Column:
     """The addresses that fit the vendor best: on its domain; else of its domain's root or its name; else
     any other, government inboxes only for government vendors."""
-    own, token = domain(website), compact(company)
-    root = domain_root(own)
-    is_government = given(own) & _ends(own, R.GOVERNMENT_SUFFIXES)
+    def vendor(own: Column) -> Column:
+        government = given(own) & _ends(own, R.GOVERNMENT_SUFFIXES)
+        return F.struct(own.alias("own"), domain_root(own).alias("root"), compact(company).alias("token"), government.alias("government"))
 
-    def rank(e: Column) -> Column:
-        d = F.trim(mail_domain(e))
+    def rank(d: Column, v: Column) -> Column:
         plain = F.regexp_replace(d, "[-.]", "")
         return (
-            F.when(given(own) & d.endswith(own), 0)
-            .when(given(root) & (domain_root(d) == root), 1)
-            .when(given(token) & F.contains(plain, token), 1)
-            .when(_ends(d, R.GOVERNMENT_SUFFIXES) & ~is_government, F.lit(None).cast("int"))
+            F.when(given(v["own"]) & d.endswith(v["own"]), 0)
+            .when(given(v["root"]) & (domain_root(d) == v["root"]), 1)
+            .when(given(v["token"]) & F.contains(plain, v["token"]), 1)
+            .when(_ends(d, R.GOVERNMENT_SUFFIXES) & ~v["government"], F.lit(None).cast("int"))
             .otherwise(2)
         )
 
-    ranks = F.filter(F.transform(found, rank), lambda r: r.isNotNull())
-    return F.filter(found, lambda e: rank(e) == F.array_min(ranks))
+    def best(ranks: Column) -> Column:
+        least = F.struct(ranks.alias("all"), F.array_min(ranks).alias("least"))
+        return once(least, lambda r: F.filter(found, lambda e, i: F.get(r["all"], i) == r["least"]))
+
+    # the vendor's domain and name, an address's domain and the ranks are each worked out once
+    ranks = once(once(domain(website), vendor), lambda v: F.transform(found, lambda e: once(F.trim(mail_domain(e)), lambda d: rank(d, v))))
+    return once(ranks, best)
 
 
 def contact_status(email: Column, phone: Column) -> Column:
