@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,13 +51,9 @@ def page_text(html: str | None, navigation: bool = False, mails: bool = False, l
 
 
 def readable(navigation: bool = False, mails: bool = False, least: int = 0):
-    """A pandas function from html to text with these options."""
-
-    @F.pandas_udf("string")
-    def run(html: pd.Series) -> pd.Series:
-        return pd.Series([page_text(h, navigation, mails, least) for h in html], dtype=object)
-
-    return run
+    """A function from html to text with these options. It gets pages in lots of a hundred: an Arrow batch would hold ten thousand of them, whatever their
+    size, in every Python worker."""
+    return F.udf(lambda html: page_text(html, navigation, mails, least), "string", useArrow=False)
 
 
 def site_text(pages: Column, most: int = 3000, after_first: int = 1000, after_second: int = 1500) -> Column:

@@ -155,3 +155,11 @@ def test_pages(spark):
     assert site([(1, 1, "abc", 200), (2, 1, "defgh", 200), (3, 1, "z" * 40, 200)]) == "abc\n\ndefgh\n\n" + "z" * 30
     assert site([(1, 1, "a" * 12, 200), (2, 1, "no", 200)]) == "a" * 12
     assert site([(1, 1, "abc", 200), (1, 2, None, 403), (2, 1, "no", 200)]) == "abc" and site([]) is None
+
+
+def test_readable_gets_pages_in_small_lots(spark):
+    """However many pages a task has, a Python worker holds a hundred at a time."""
+    df = spark.createDataFrame([("<p>some words</p>",), (None,), ("",)], "html string").select(pages.readable()(F.col("html")).alias("t"))
+    assert [r.t for r in df.collect()] == ["some words", None, None]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
