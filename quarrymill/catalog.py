@@ -344,7 +344,7 @@ def contract_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The roll-up of one half of the feed with that of the other half merged in."""
     rows = ingest.contract_rows(X.view(spark, sf_dir, X.CONTRACTS))
     cols = ["source", "external_id", "total_contract_value", "contract_count", "first_contract_date", "last_contract_date"]
-    old, new = (ingest.contract_rollup(rows.where(F.col("ord") % 2 == i)).select(*cols) for i in (0, 1))
+    old, new = (ingest.contract_rollup(rows.where(F.col("ord") % 2 == i), history=False).select(*cols) for i in (0, 1))
     return ingest.upsert_vendors(old, new).drop("source")
 
 
@@ -353,12 +353,13 @@ def _roll_up_in_steps(spark: SparkSession, sf_dir: str) -> Store:
     rows = X.view(spark, sf_dir, X.CONTRACTS)
     store = Store(spark, f"{step_dir(spark)}/store-{uuid.uuid4().hex}")
     known = spark.createDataFrame([], "source string, digest string")
+    parts = {part: checkpointed(ingest.chunks(rows.where(F.col("ord") % 3 == part), 2_000)) for part in (0, 1, 2)}
     for part in (0, 1, 0, 2):
-        own = checkpointed(ingest.chunks(rows.where(F.col("ord") % 3 == part), 2_000))
+        own = parts[part]
 
         def merge(change: Change, own: DataFrame = own) -> None:
             new, digests = ingest.unseen(own, change.read("ledger", known), "canada_contracts")
-            delta = ingest.contract_rollup(ingest.contract_rows(new.drop("chunk"))).drop("contract_history")
+            delta = ingest.contract_rollup(ingest.contract_rows(new.drop("chunk")), history=False)
             change.upsert("vendors", delta, ["source", "external_id"], ingest.upsert_vendors, 8)
             change.upsert("ledger", digests, ["source", "digest"], append_new(["source", "digest"]), 8)
 

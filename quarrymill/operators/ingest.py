@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean, content_digest, decimal, iso_date, postal_code
 from ..functions.names import given
+from ..session import checkpointed
 
 HISTORY = 100
 
@@ -39,16 +40,19 @@ def contract_rows(feed: DataFrame) -> DataFrame:
     return out.where(given(F.col("legal_name"))).withColumn("external_id", F.concat_ws("_", "legal_name", F.coalesce("postal_code", F.lit("NO_POSTAL"))))
 
 
-def contract_rollup(rows: DataFrame, source: str = "canada_contracts") -> DataFrame:
-    """One row per vendor of a feed: first attributes, codes, contract figures, and its first contracts."""
+def contract_rollup(rows: DataFrame, source: str = "canada_contracts", history: bool = True) -> DataFrame:
+    """One row per vendor of a feed: first attributes, codes, contract figures, and its first contracts. Without history no row is ranked, and
+    vendors are partly added up before they are dealt out."""
     counted = F.col("value").isNotNull() | F.col("date").isNotNull()
     out = rows.groupBy("external_id").agg(
         *_first("legal_name", "standardized_name", "address", "city", "state", "postal_code", "employee_count_range", "contact_name", "contact_email", "contact_phone"),
         _codes("gsin"), _codes("unspsc"), F.nullif(F.sum("value").cast("double"), F.lit(0.0)).alias("total_contract_value"),
         F.nullif(F.count_if(counted), F.lit(0)).alias("contract_count"), F.min("date").alias("first_contract_date"), F.max("date").alias("last_contract_date"),
     )
-    entry = F.struct(F.col("value").cast("double").alias("value"), "date", F.col("contract_number").alias("number"), "description", "category")
-    return out.join(_history(rows, ["external_id"], entry, counted, "contract_history"), "external_id", "left").withColumn("source", F.lit(source)).withColumn("country", F.lit("CA"))
+    if history:
+        entry = F.struct(F.col("value").cast("double").alias("value"), "date", F.col("contract_number").alias("number"), "description", "category")
+        out = out.join(_history(rows, ["external_id"], entry, counted, "contract_history"), "external_id", "left")
+    return out.withColumn("source", F.lit(source)).withColumn("country", F.lit("CA"))
 
 
 def upsert_vendors(stored: DataFrame, delta: DataFrame, fill: tuple[str, ...] = ()) -> DataFrame:
@@ -142,7 +146,8 @@ def chunk_digests(chunked: DataFrame, source: str) -> DataFrame:
 def unseen(chunked: DataFrame, ledger: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     """Rows of chunks that the ledger does not know, and the ledger's new rows. Equal chunks count once."""
     new = chunk_digests(chunked, source).groupBy("source", "digest").agg(F.min("chunk").alias("chunk"))
-    new = new.join(ledger.select("source", "digest"), ["source", "digest"], "left_anti")
+    # written, so that rows are digested once and a short list of chunks is known to be short before rows are dealt out to meet it
+    new = checkpointed(new.join(ledger.select("source", "digest"), ["source", "digest"], "left_anti"))
     return chunked.join(new.select("chunk"), "chunk", "left_semi"), new.select("source", "digest")
 
 

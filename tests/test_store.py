@@ -180,3 +180,15 @@ def test_written_back_codes_are_not_shuffled(spark, tmp_path):
     pairs = [(r.vendor_key, r.code) for r in store.read("vendor_codes").collect()]
     assert len(pairs) == len(set(pairs)) == 600 * 150 + 1
     assert store.vacuum(0) >= 1 and store.read("vendor_codes").count() == len(pairs)
+
+
+def test_chunks_and_rollups_of_a_store_deal_no_whole_rows(spark):
+    """Rows of unseen chunks are not shuffled to meet a short list of chunks, and a roll-up without history ranks none."""
+    rows = spark.range(4000).select(F.col("id").alias("ord"), F.concat(F.lit("v"), F.col("id") % 5).alias("legal_name"), *[F.lit(None).cast("string").alias(c) for c in ("standardized_name", "address", "city", "state", "employee_count_range", "gsin", "unspsc", "contact_name", "contact_email", "contact_phone", "description", "category", "postal_code")], F.col("id").cast("string").alias("contract_number"), F.lit("2").alias("value"), F.lit("2024-01-02").alias("date"))
+    new, digests = ingest.unseen(ingest.chunks(rows, 100), spark.createDataFrame([], "source string, digest string"), "f")
+    out = ingest.contract_rollup(ingest.contract_rows(new.drop("chunk")), history=False)
+    assert "contract_history" not in out.columns
+    whole = ingest.contract_rollup(ingest.contract_rows(rows)).drop("contract_history")
+    assert sorted(map(str, out.select(*whole.columns).collect())) == sorted(map(str, whole.where("external_id is not null").collect())) and out.count() == 5
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
