@@ -23,12 +23,12 @@ N and V are 0, n_known is 0 and every word is rare. Rows that repeat an id are s
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,10 +276,39 @@ class Gru:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8: of bytes, lower() folds A-Z alone and split() cuts at just the six blanks."""
+    """Words of one text as UTF-8: of bytes, lower() folds A-Z alone and split() cuts at just the six blanks."""
     return text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
 
 
+def words_of_column(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, as words_of gives them (no text is null), and where each text's begin, with the end as one more."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # cuts at just the six blanks; blanks at the ends of a text leave empty words
+    words, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    words = pc.cast(words, pa.binary())
+    given = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(given.to_numpy(zero_copy_only=False))])
+    return words.filter(given), before[edges]
+
+
+def in_lots(batches: Iterator[pa.RecordBatch], size: int = 8 << 20, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in order, in lots of about `size` bytes of `text` or `rows` rows, whatever the batches' own size."""
+    waiting: list[pa.RecordBatch] = []
+    held = n = 0
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(b):
+            done = int(ends[a - 1]) if a else 0
+            z = min(int(np.searchsorted(ends, done + size - held)) + 1, a + rows - n, len(b))
+            waiting.append(b.slice(a, z - a))
+            held, n, a = held + int(ends[z - 1]) - done, n + z - a, z
+            if held >= size or n >= rows:
+                yield pa.concat_batches(waiting)
+                waiting, held, n = [], 0, 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def frequent_words(counts: DataFrame, known: int) -> tuple[list[tuple[bytes, int]], int]:
     """At most `known` words with their counts, most frequent first, and the least count whose words, and those of more, are all among them. Words
     of about equal counts are taken together or not at all, but where that leaves less than half of `known`, they are taken by count and word. Found by a histogram over classes of counts, so executors send only these."""
@@ -299,24 +328,27 @@ def frequent_words(counts: DataFrame, known: int) -> tuple[list[tuple[bytes, int
 def _counts(training: DataFrame, distinct: int = 400_000) -> DataFrame:
     """(w, c): every word and its count. Workers add up runs of documents before the shuffle, sending on what they have at `distinct` words."""
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[bytes] = Counter()
-
-        def done() -> pd.DataFrame:
-            words = b" ".join(found).decode("utf-8", "surrogatepass").split(" ")
-            pdf = pd.DataFrame({"w": words, "c": np.fromiter(found.values(), np.int64, len(found))})
-            found.clear()
-            return pdf
-
-        for b in batches:
-            for text in b["text"]:
-                found.update(words_of(text))
-                if len(found) >= distinct:
-                    yield done()
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[pa.Table] = []
+
+        def whole() -> pa.Table:
+            sums = pa.concat_tables(found).group_by("w", use_threads=False).aggregate([("c", "sum")])
+            return pa.table({"w": sums["w"], "c": sums["c_sum"]})
+
+        for b in in_lots(batches):
+            words, _ = words_of_column(b.column("text"))
+            one = pc.value_counts(words)
+            found.append(pa.table({"w": one.field("values"), "c": one.field("counts")}))
+            if sum(map(len, found)) >= 2 * distinct:
+                found = [whole()]
+                if len(found[0]) >= distinct:
+                    yield from found[0].cast(sent).to_batches()
+                    found = []
         if found:
-            yield done()
+            yield from whole().cast(sent).to_batches()
 
-    return training.select("text").mapInPandas(add_up, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    sent = pa.schema([("w", pa.string()), ("c", pa.int64())])
+    return training.select("text").mapInArrow(add_up, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def _average(weights: DataFrame) -> list[np.ndarray] | None:
@@ -351,19 +383,23 @@ def score_documents(
     n_words, v_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, v_all = n_words + ends, v_words + (ends > 0)
     top, least = frequent_words(counts, known)
-    places = {w: i for i, (w, _) in enumerate(top)}
-    in_head = {w: i for i, (w, _) in enumerate(top[: max(head - 2, 0)])}
+    places = pa.array([w for w, _ in top], pa.binary())
+    in_head = pa.array([w for w, _ in top[: max(head - 2, 0)]], pa.binary())
     logs = np.log10(np.array([c for _, c in top] + [0], np.float64) + 1)  # the last one stands for place -1
     in_model = min(head - 2, len(top))
     rare_tokens, rare_words = n_words - sum(c for _, c in top[:in_model]), v_words - in_model
     model = Gru(np.array([max(ends, 1), max(rare_tokens, 1)] + [c for _, c in top[:in_model]], float), hidden, per_class)
     names = list(model.p)
 
-    def find(table: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(table.get, words, repeat(-1)), np.int32, len(words))
-
-    def as_tokens(at: np.ndarray) -> np.ndarray:
-        return np.append(np.where((at >= 0) & (at < in_model), at + 2, 1), 0).astype(np.int32)
+    def look_up(table: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Tokens of texts, one text after the other with its end, where each text begins, the places in the table (-1: none, ends too), and the words."""
+        words, edges = words_of_column(texts)
+        at = pc.fill_null(pc.index_in(words, value_set=table), -1).to_numpy()
+        at = np.insert(at, edges[1:], -1)
+        tokens = np.where((at >= 0) & (at < in_model), at + 2, 1).astype(np.int32)
+        starts = edges + np.arange(len(edges))
+        tokens[starts[1:] - 1] = 0
+        return tokens, starts, at, words
 
     def load(flat: np.ndarray) -> Gru:
         at, out = 0, Gru.__new__(Gru)
@@ -390,63 +426,45 @@ def score_documents(
         mine = sample.where(F.pmod(F.xxhash64("k", F.lit(23)), F.lit(rounds)) == turn).repartition(trainers, "k", "salt").sortWithinPartitions("k").select("text", F.spark_partition_id().alias("part"))
         given = flat
 
-        def learn(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            table, net, lists, memory, part, waiting, learned = in_head, load(given), [], {}, 0, 0, 0
-            for b in batches:
-                for t, part in zip(b["text"], b["part"]):
-                    lists.append(as_tokens(find(table, words_of(t))))  # words outside the model are rare, counted or not
-                    waiting += len(lists[-1])
+        def learn(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            net, lists, memory, part, waiting, learned = load(given), [], {}, 0, 0, 0
+            for b in in_lots(batches):
+                part = b.column("part")[0].as_py()
+                tokens, starts, _, _ = look_up(in_head, b.column("text"))  # words outside the model are rare, counted or not
+                for one in np.split(tokens, starts[1:-1]):
+                    lists.append(one)
+                    waiting += len(one)
                     if waiting > 1_000_000:  # memory follows tokens, not documents
                         net.train(lists, memory=memory)
                         learned, waiting, lists = learned + waiting, 0, []
             net.train(lists, memory=memory)
             if learned + waiting:
-                yield pd.DataFrame({"part": [part], "n": [learned + waiting], "data": [np.concatenate([net.p[n].ravel() for n in names]).tobytes()]})
+                data = np.concatenate([net.p[n].ravel() for n in names]).tobytes()
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([learned + waiting], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        flat = _average(materialize(mine.mapInPandas(learn, "part long, n long, data binary"), "lm-weights"))
+        flat = _average(materialize(mine.mapInArrow(learn, "part long, n long, data binary"), "lm-weights"))
         flat = given if flat is None else flat
     trained = flat
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, table = load(trained), places
-        out = {"doc_id": [], "held_out": [], "n": [], "n_head": [], "known": [], "log_c": [], "log_rare": [], "rare": []}
-        lists: list[np.ndarray] = []
-
-        def done() -> pd.DataFrame:
-            ln = net.score(lists)
-            pdf = pd.DataFrame(out | {"ln": ln})
-            pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-            for x in (*out.values(), lists):
-                x.clear()
-            return pdf
-
-        size = 0
-        for b in batches:
-            for i, h, t in zip(b["doc_id"], b["held_out"], b["text"]):
-                words = words_of(t)
-                at = find(table, words)
-                tokens, log_c = as_tokens(at), logs[at]
-                lists.append(tokens)
-                out["doc_id"].append(i)
-                out["held_out"].append(h)
-                out["n"].append(len(tokens))
-                out["n_head"].append(int((tokens != 1).sum()) - 1)
-                out["known"].append(int((at >= 0).sum()))
-                out["log_c"].append(float(log_c.sum()))
-                out["log_rare"].append(float(log_c[tokens[:-1] == 1].sum()))
-                out["rare"].append(b" ".join([words[k] for k in np.flatnonzero(at < 0).tolist()]).decode("utf-8", "surrogatepass"))
-                size += len(words) + 1
-                if size > 800_000 or len(lists) >= 20_000:
-                    yield done()
-                    size = 0
-        if lists:
-            yield done()
-
-    schema = "doc_id long, held_out boolean, n long, n_head long, known long, log_c double, log_rare double, rare string, ln double"
-    scored = rows.mapInPandas(score, schema).withColumn("row", F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = load(trained)
+        for b in in_lots(batches):
+            tokens, starts, at, words = look_up(places, b.column("text"))
+            log_c, first = logs[at], starts[:-1]
+            add = lambda x, first=first: np.add.reduceat(x, first)
+            n, known = np.diff(starts), add((at >= 0).astype(np.int64))
+            rare = words.filter(pa.array(np.delete(at, starts[1:] - 1) < 0))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - 1 - known)]), pa.int32()), pc.cast(rare, pa.string()))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "n": n, "n_head": add((tokens != 1).astype(np.int64)) - 1, "known": known,
+                "log_c": add(log_c), "log_rare": add(np.where(tokens == 1, log_c, 0.0)), "rare": rare, "ln": net.score(np.split(tokens, first[1:])),
+            })
+
+    schema = "doc_id long, held_out boolean, n long, n_head long, known long, log_c double, log_rare double, rare array<string>, ln double"
+    scored = rows.mapInArrow(score, schema).withColumn("row", F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
     scored = materialize(scored.withColumn("row", F.col("row.m")), "lm-scored")
     # words outside the table: their counts come by a join, and go back as sums per row
-    rare = scored.select("row", F.explode(F.split("rare", " ")).alias("w")).where("w <> ''")
+    rare = scored.select("row", F.explode("rare").alias("w"))
     rare = rare.join(counts.where(F.col("c") < least), "w")
     sums = rare.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_log"))
     out = scored.drop("rare").join(sums, "row", "left").na.fill({"more_known": 0, "more_log": 0.0})

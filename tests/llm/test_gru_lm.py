@@ -149,3 +149,21 @@ def test_words_of_equal_counts_fill_the_table(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{(7 * i + j) % 400}" for j in range(20))) for i in range(200)], "doc_id long, text string")
     base = lambda known: {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in score_documents(docs, known=known).collect()}
     assert base(60) == base(100_000)
+
+
+def test_words_of_a_column_are_those_of_its_texts():
+    import pyarrow as pa
+
+    from quarrymill.llm.gru_lm import in_lots, words_of_column
+
+    texts = ["", " a\x0bB  c\x1fd\x85 \t\n x\x1c\x0c\r", "É é ÀZ", " ", "word", "", "\n\n", "Zz   zz\x00"]
+    for some in (pa.array(texts), pa.array(["x y", *texts]).slice(1), pa.array(texts).slice(0, 0)):
+        words, edges = words_of_column(some)
+        assert [words[a:z].to_pylist() for a, z in zip(edges, edges[1:])] == [words_of(t) for t in some.to_pylist()]
+    # lots follow the size of texts, not that of batches: no row is lost or moved
+    sizes = [3, 0, 40, 1, 1, 1, 9, 0, 0, 25, 10, 2]
+    rows = pa.RecordBatch.from_pydict({"text": ["x" * n for n in sizes], "i": list(range(12))})
+    for width in (1, 5, 12):
+        lots = list(in_lots((rows.slice(a, width) for a in range(0, 12, width)), size=10, rows=5))
+        assert [i for b in lots for i in b.column("i").to_pylist()] == list(range(12))
+        assert [b.column("i").to_pylist() for b in lots] == [[0, 1, 2], [3, 4, 5, 6], [7, 8, 9], [10], [11]]
